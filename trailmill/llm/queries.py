@@ -1,12 +1,15 @@
 """The queries of this subpackage and their SQL where SQL can express them."""
 
-from trailmill.llm import mixing, sharding
+from trailmill.llm import mixing, quality, sharding, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op7_sharding": sharding.op7_sharding,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op10_quality": quality.OP10_SQL,
 }
