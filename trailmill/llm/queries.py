@@ -1,15 +1,18 @@
 """The queries of this subpackage and their SQL where SQL can express them."""
 
-from trailmill.llm import mixing, quality, sharding, token_counts
+from trailmill.llm import decontaminate, mixing, page_text, quality, sharding, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_page_text": page_text.op6_page_text,
     "op7_sharding": sharding.op7_sharding,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_quality": quality.OP10_SQL,
 }
