@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL where SQL can express them."""
 
-from trailmill.llm import decontaminate, mixing, page_text, quality, sharding, token_counts
+from trailmill.llm import decontaminate, mixing, page_text, quality, repeats, sharding, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_repeats": repeats.op2_repeats,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_page_text": page_text.op6_page_text,
     "op7_sharding": sharding.op7_sharding,
