@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmill.llm._frequent import coarse
 from trailmill.llm._scratch import written
 from trailmill.llm._tokens import SPACED, U64, chunks, mix, prefix_hash, range_hash, words_of
 
@@ -103,12 +104,6 @@ def ratios() -> dict[str, Column]:
     }
 
 
-def coarse(value: Column) -> Column:
-    """The value with all but its eight highest bits cleared."""
-    shift = F.greatest(F.length(F.bin(value)) - 8, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
-
-
 def sketches(counts: DataFrame) -> DataFrame:
     """(lang, source, ratio, value, n): one histogram per group and ratio."""
     return (

@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL where SQL can express them."""
 
-from trailmill.llm import decontaminate, mixing, page_text, quality, repeats, sharding, shingle_join, token_counts
+from trailmill.llm import decontaminate, lm_score, mixing, page_text, quality, repeats, sharding, shingle_join, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_repeats": repeats.op2_repeats,
+    "op3_lm_score": lm_score.op3_lm_score,
     "op4_shingle_join": shingle_join.op4_shingle_join,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_page_text": page_text.op6_page_text,
