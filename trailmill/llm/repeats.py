@@ -131,8 +131,32 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], length: int = LENGT
                 yield group, left, right
 
 
+def reaches(rights: list[bytes], lefts: list[bytes], length: int = LENGTH) -> list[tuple[int, int]]:
+    """Bytes before and after the anchor that maximal repeats cover, for each entry; (0, 0) if none.
+
+    The innermost repeat of an entry in a right interval is the one it shares
+    with a neighbour in the order of left contexts.  All repeats of an entry hold its anchor, so what they
+    cover is one stretch, from the largest reach before to the largest after.
+    """
+    m = len(rights)
+    if m == 2:
+        left, right = common(lefts[0], lefts[1]), common(rights[0], rights[1])
+        return [(left, right) if left + right >= length else (0, 0)] * 2
+    found = [(0, 0)] * m
+    lcp = [0] + [common(a, b) for a, b in zip(rights, rights[1:])]
+    reach = max(map(len, lefts))
+    for first, last, right in intervals(lcp, max(1, length - reach)):
+        members = sorted(range(first, last + 1), key=lefts.__getitem__)
+        before = [common(lefts[a], lefts[b]) for a, b in zip(members, members[1:])]
+        for x, left in zip(members, map(max, [0, *before], [*before, 0])):
+            if left + right >= length:
+                a, b = found[x]
+                found[x] = (max(a, left), max(b, right))
+    return found
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, near, lefts, rights) in order of (gram, rights) to (gram, near, before, after) of each entry of each maximal repeat."""
+    """Rows (gram, near, lefts, rights, n) in order of (gram, rights) to (gram, near, before, after) of each single entry that repeats."""
     out: list[tuple] = []
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -141,13 +165,9 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["gram", "near", "before", "after"])
 
     def finish(group: list[tuple]) -> None:
-        if len(group) < 2:
-            return
-        reach: dict[tuple[int, int], int] = {}  # per entry and length after: the longest before
-        for members, left, right in maximal_repeats([g[3] for g in group], [g[2] for g in group]):
-            for m in members:
-                reach[m, right] = max(reach.get((m, right), 0), left)
-        out.extend((group[m][0], group[m][1], left, right) for (m, right), left in reach.items())
+        if len(group) > 1:
+            found = reaches([g[3] for g in group], [g[2] for g in group])
+            out.extend((g[0], g[1], *r) for g, r in zip(group, found, strict=True) if r[1] and g[4] == 1)
 
     group: list[tuple] = []
     for batch in batches:
@@ -209,13 +229,12 @@ def surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def counted_windows(near: DataFrame) -> DataFrame:
-    """(gram, near, before, after) of each window that occurs twice."""
+    """(gram, near, before, after): what windows that occur twice cover, of each single entry."""
     windows = near.mapInArrow(_windows, "gram long, near long, n long, before int, window long")
     several = windows.groupBy("gram", "before", "window").agg(F.sum("n").alias("n_all")).filter("n_all > 1")
     several = several.select(F.col("gram").alias("g"), F.col("before").alias("b"), F.col("window").alias("x"))
-    return windows.join(several, (F.col("gram") == F.col("g")) & (F.col("before") == F.col("b")) & (F.col("window") == F.col("x"))).select(
-        "gram", "near", "before", (F.lit(LENGTH) - F.col("before")).alias("after")
-    )
+    found = windows.filter("n = 1").join(several, (F.col("gram") == F.col("g")) & (F.col("before") == F.col("b")) & (F.col("window") == F.col("x")))
+    return found.groupBy("gram", "near").agg(F.max("before").alias("before"), (F.lit(LENGTH) - F.min("before")).alias("after"))
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -227,9 +246,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     again = written(anchors.join(twice, F.col("gram") == F.col("g")).drop("g"), "repeat-again")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "at")).alias("first")
     entries = written(again.groupBy("gram", "near").agg(F.count("*").alias("n"), least), "repeat-entries")
-    sizes = entries.groupBy("gram").agg(F.count("*").alias("n_near")).filter("n_near > 1").withColumnRenamed("gram", "g")
+    # Entries that occur twice are covered whole; they are read only as partners of those that occur once.
+    sizes = entries.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n_near"), F.count_if(F.col("n") == 1).alias("single")).filter("n_near > 1 AND single > 0")
     wanted = entries.join(sizes, F.col("gram") == F.col("g")).select("first.doc_id", "first.text_hash", "first.at", "gram", "near", "n", "n_near")
-    sorted_ = surroundings(texts, wanted.filter(F.col("n_near") <= MOST)).select("gram", "near", "lefts", "rights")
+    sorted_ = surroundings(texts, wanted.filter(F.col("n_near") <= MOST)).select("gram", "near", "lefts", "rights", "n")
     sorted_ = sorted_.repartition(F.col("gram")).sortWithinPartitions("gram", "rights")
     reach = sorted_.mapInArrow(_trees, "gram long, near long, before int, after int")
     if not sizes.filter(F.col("n_near") > MOST).isEmpty():
@@ -237,7 +257,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     equal = entries.filter("n > 1").select("gram", "near", F.lit(LENGTH - K).alias("before"), F.lit(LENGTH).alias("after"))
     reach = reach.unionByName(equal).select(F.col("gram").alias("g"), F.col("near").alias("e"), "before", "after")
     return again.join(reach, (F.col("gram") == F.col("g")) & (F.col("near") == F.col("e"))).select(
-        "doc_id", "text_hash", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end")
+        "doc_id", "text_hash", F.greatest(F.col("at") - F.col("before"), F.lit(0)).alias("start"), (F.col("at") + F.col("after")).alias("end")
     )
 
 
