@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL where SQL can express them."""
 
-from trailmill.llm import decontaminate, lm_score, mixing, page_text, quality, repeats, sharding, shingle_join, token_counts
+from trailmill.llm import decontaminate, line_dedup, lm_score, mixing, page_text, quality, repeats, sharding, shingle_join, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_page_text": page_text.op6_page_text,
     "op7_sharding": sharding.op7_sharding,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_quality": quality.op10_quality,
 }
