@@ -35,8 +35,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     The target is min(cap * size, level * weight) with the one level at which
     the targets add up to share * total: what repeated resharing of the excess
     ends in.  Sources sorted by cap * size / weight are capped up to some
-    place; running sums give the level for every place and the first that
-    fits is taken.  Windows run over one row per source.
+    place; running sums give the level for every place.  From the first that fits on
+    levels only fall, so the largest that fits is it.  Windows run over one row per source.
     """
     n = len(weights)
     ordered = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         ).alias("level_here"),
     )
     fits = F.when(F.col("level_here") * F.col("weight") <= F.lit(cap) * F.col("source_size"), F.col("level_here"))
-    return levels.withColumn("level", F.min(fits).over(everything)).select(
+    return levels.withColumn("level", F.max(fits).over(everything)).select(
         "source",
         "source_size",
         F.coalesce(F.least(F.lit(cap) * F.col("source_size"), F.col("level") * F.col("weight")), F.lit(cap) * F.col("source_size")).alias("target"),
@@ -135,7 +135,7 @@ WITH sized AS (
                                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level_here
   FROM weighed
 ), levelled AS (
-  SELECT *, min(CASE WHEN level_here * weight <= 2.0::DOUBLE * source_size THEN level_here END) OVER () AS level FROM levels
+  SELECT *, max(CASE WHEN level_here * weight <= 2.0::DOUBLE * source_size THEN level_here END) OVER () AS level FROM levels
 ), goal AS (
   SELECT source, source_size,
          CAST(coalesce(least(2.0::DOUBLE * source_size, level * weight), 2.0::DOUBLE * source_size) AS DOUBLE) AS target FROM levelled
