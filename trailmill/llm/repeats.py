@@ -242,12 +242,14 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     rows = texts.select("doc_id", "text_hash", "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
     anchors = written(rows.mapInArrow(_anchors, f"doc_id {kind}, text_hash long, at int, gram long, near long"), "repeat-anchors")
-    twice = anchors.groupBy("gram").agg(F.count("*").alias("n_all")).filter("n_all > 1").select(F.col("gram").alias("g"))
+    # Stored, so that the join reads both sides from plain shuffles, which Spark can split where a gram is hot.
+    twice = written(anchors.groupBy("gram").agg(F.count("*").alias("n_all")).filter("n_all > 1").select(F.col("gram").alias("g")), "repeat-twice")
     again = written(anchors.join(twice, F.col("gram") == F.col("g")).drop("g"), "repeat-again")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "at")).alias("first")
     entries = written(again.groupBy("gram", "near").agg(F.count("*").alias("n"), least), "repeat-entries")
     # Entries that occur twice are covered whole; they are read only as partners of those that occur once.
-    sizes = entries.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n_near"), F.count_if(F.col("n") == 1).alias("single")).filter("n_near > 1 AND single > 0")
+    sizes = entries.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n_near"), F.count_if(F.col("n") == 1).alias("single"))
+    sizes = written(sizes.filter("n_near > 1 AND single > 0"), "repeat-sizes")
     wanted = entries.join(sizes, F.col("gram") == F.col("g")).select("first.doc_id", "first.text_hash", "first.at", "gram", "near", "n", "n_near")
     sorted_ = surroundings(texts, wanted.filter(F.col("n_near") <= MOST)).select("gram", "near", "lefts", "rights", "n")
     sorted_ = sorted_.repartition(F.col("gram")).sortWithinPartitions("gram", "rights")
