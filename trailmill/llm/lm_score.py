@@ -4,8 +4,8 @@ A token's probability is P(group | history) P(class | group, history)
 P(token | class): softmax over 16 groups, over the 16 classes of a group, and
 the smoothed share of the token among its class.  Classes hold about equal
 mass, in order of frequency.  A history's features are a bias and hashes of the last word,
-the pair of the last two, and the words two and three back (skips); each
-hashes to one of FEATURES rows of weights.
+the pair of the last two, and the word two back (a skip); each hashes to one of
+FEATURES rows of weights.
 
 Training is gradient descent in ROUNDS over disjoint parts of all training
 documents: each task starts from the broadcast weights, steps through its
@@ -37,15 +37,15 @@ GROUPS = 16
 FEATURES = 1 << 13
 ROUNDS = 2
 HEAD = 1 << 18
-BATCH = 1 << 15
+BATCH = 1 << 16
 RATE = 0.4
 BLOCK = 1 << 12
 WEIGHT = -1
 END = U64(0x0E5D0E5D0E5D0E5D)
 START = U64(0x57A2757A2757A275)
 RARE = GROUPS * GROUPS - 1
-#: One odd multiplier per kind of feature: last, last two, two back, three back.
-KINDS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93))
+#: One odd multiplier per kind of feature: last, last two, two back.
+KINDS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 WIDTH = GROUPS + GROUPS * GROUPS
 
 
@@ -58,18 +58,18 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return tokens, np.repeat(np.arange(len(texts)), counts + 1)
 
 
-def features(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Rows of weights of each token's history, (n, 4); the bias is row FEATURES."""
+def features(tokens: np.ndarray, text: np.ndarray) -> list[np.ndarray]:
+    """Rows of weights of each token's history, one array for each kind; the bias is row FEATURES."""
     n = len(tokens)
     back = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         b = np.full(n, START)
-        same = np.flatnonzero(text[k:] == text[:-k]) + k if n > k else np.zeros(0, np.int64)
-        b[same] = tokens[same - k]
+        if n > k:
+            b[k:] = np.where(text[k:] == text[:-k], tokens[:-k], START)
         back.append(b)
-    kinds = (back[0], mix(back[0] * U64(3) + back[1]), back[1], back[2])
+    kinds = (back[0], mix(back[0] * U64(3) + back[1]), back[1])
     shift = U64(64 - FEATURES.bit_length() + 1)
-    return np.stack([((x * c) >> shift).astype(np.int64) for x, c in zip(kinds, KINDS, strict=True)], axis=1)
+    return [((x * c) >> shift).astype(np.int64) for x, c in zip(kinds, KINDS, strict=True)]
 
 
 @dataclass
@@ -83,13 +83,24 @@ class Vocabulary:
     tokens: int
     types: int
 
+    def __post_init__(self) -> None:
+        self.first = np.searchsorted(self.hash, np.arange(1 << 18, dtype=U64) << U64(46)).astype(np.int32)
+        self.most = int(np.diff(np.append(self.first, len(self.hash))).max(initial=0))
+
     def look_up(self, tokens: np.ndarray) -> np.ndarray:
-        """Places in the head, -1 for the tail."""
+        """Places in the head, -1 for the tail: by the hash's first bits, then along the few that share them."""
+        found = np.full(len(tokens), -1)
         if not len(self.hash):
-            return np.full(len(tokens), -1)
-        at = np.searchsorted(self.hash, tokens)
-        at[at == len(self.hash)] = 0
-        return np.where(self.hash[at] == tokens, at, -1)
+            return found
+        at = self.first[(tokens >> U64(46)).astype(np.int64)].astype(np.int64)
+        left = np.arange(len(tokens))
+        for _ in range(self.most):
+            here = np.minimum(at, len(self.hash) - 1)
+            same = self.hash[here] == tokens[left]
+            found[left[same]] = here[same]
+            more = ~same & (self.hash[here] < tokens[left])
+            left, at = left[more], at[more] + 1
+        return found
 
     def classes(self, at: np.ndarray) -> np.ndarray:
         return np.where(at >= 0, self.cls[at], RARE) if len(self.cls) else np.full(len(at), RARE)
@@ -140,28 +151,24 @@ def first_weights(vocabulary: Vocabulary) -> np.ndarray:
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
+    """Of the rows, in place."""
+    x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    return x / x.sum(axis=1, keepdims=True)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
-def forward(w1: np.ndarray, w2: np.ndarray, rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward(w1: np.ndarray, w2: np.ndarray, rows: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(. | history) over groups, and over the classes of the token's group.  w2 has a row for each (feature, group)."""
-    a = w1[FEATURES] + w1[rows[:, 0]]
-    b = w2[FEATURES * GROUPS + group] + w2[rows[:, 0] * GROUPS + group]
-    for k in range(1, rows.shape[1]):
-        a += w1[rows[:, k]]
-        b += w2[rows[:, k] * GROUPS + group]
+    a, b = w1[rows[0]], w2[rows[0] * GROUPS + group]
+    for k in rows[1:]:
+        a += w1[k]
+        b += w2[k * GROUPS + group]
+    a += w1[FEATURES]
+    b += w2[FEATURES * GROUPS + group]
     return softmax(a), softmax(b)
 
 
-def _sums(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    out = np.empty((size, values.shape[1]), np.float32)
-    for c in range(values.shape[1]):
-        out[:, c] = np.bincount(rows, weights=values[:, c], minlength=size)
-    return out
-
-
 class Trainer:
     """AdaGrad steps from given weights; the gradient of a row is taken per occurrence, shrunk for few."""
 
@@ -171,22 +178,24 @@ class Trainer:
         self.g1, self.g2 = np.full_like(self.w1, 1e-3), np.full_like(self.w2, 1e-3)
         self.tokens = 0
 
-    def step(self, rows: np.ndarray, cls: np.ndarray) -> None:
+    def step(self, rows: list[np.ndarray], cls: np.ndarray) -> None:
         n = len(cls)
         group, inner = cls // GROUPS, cls % GROUPS
         p1, p2 = forward(self.w1, self.w2, rows, group)
         p1[np.arange(n), group] -= 1
         p2[np.arange(n), inner] -= 1
-        kinds = [np.full(n, FEATURES), *rows.T]
-        for w, g, at, grad in ((self.w1, self.g1, kinds, p1), (self.w2, self.g2, [k * GROUPS + group for k in kinds], p2)):
-            total, seen = np.zeros_like(w), np.zeros(len(w), np.float32)
-            for k in at:
-                total += _sums(k, grad, len(w))
-                seen += np.bincount(k, minlength=len(w))
+        kinds = np.concatenate([*rows, np.full(n, FEATURES)])
+        for w, g, at, grad in ((self.w1, self.g1, kinds, p1), (self.w2, self.g2, kinds * GROUPS + np.tile(group, len(rows) + 1), p2)):
+            seen = np.bincount(at, minlength=len(w))
             on = np.flatnonzero(seen)
-            d = total[on] / np.sqrt(seen[on] + 16)[:, None]
-            g[on] += d * d
-            w[on] -= RATE * d / np.sqrt(g[on]) * (seen[on] / (seen[on] + 16))[:, None]
+            d = np.empty((len(on), GROUPS), np.float32)
+            for c in range(GROUPS):
+                d[:, c] = np.bincount(at, weights=np.tile(grad[:, c], len(rows) + 1), minlength=len(w))[on]
+            n_on = seen[on].astype(np.float32)[:, None] + 16
+            d /= np.sqrt(n_on)
+            g_on = g[on] + d * d
+            g[on] = g_on
+            w[on] -= RATE * d / np.sqrt(g_on) * (1 - 16 / n_on)
         self.tokens += n
 
     def weights(self) -> np.ndarray:
@@ -207,7 +216,7 @@ def changes(train: DataFrame, weights, vocabulary) -> DataFrame:
                 tokens, text = sequences(texts)
                 rows, cls = features(tokens, text), known.classes(known.look_up(tokens))
                 for at in range(0, len(cls), BATCH):
-                    trainer.step(rows[at : at + BATCH], cls[at : at + BATCH])
+                    trainer.step([r[at : at + BATCH] for r in rows], cls[at : at + BATCH])
         if trainer:
             scale = trainer.tokens / 1e6
             flat = np.zeros(-(-before.size // BLOCK) * BLOCK, np.float32)
@@ -242,6 +251,9 @@ def trained(train: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     spark = train.sparkSession
     w = first_weights(vocabulary)
     known = spark.sparkContext.broadcast(vocabulary)
+    # What a task sends is as large as the weights, so a task takes several of the scan's parts.
+    parts = train.rdd.getNumPartitions()
+    train = train.coalesce(max(1, min(parts, max(spark.sparkContext.defaultParallelism, parts // 8))))
     schema = "block long, salt long, scale double, change binary"
     for k in range(ROUNDS):
         part = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k)
@@ -278,7 +290,7 @@ def _scorer(weights, vocabulary, kind: str):
                 for k in range(0, len(tokens), BATCH):
                     part = slice(k, k + BATCH)
                     group, inner = cls[part] // GROUPS, cls[part] % GROUPS
-                    p1, p2 = forward(w1, w2, rows[part], group)
+                    p1, p2 = forward(w1, w2, [r[part] for r in rows], group)
                     i = np.arange(len(group))
                     p[part] = np.log10(np.maximum(p1[i, group], 1e-30)) + np.log10(np.maximum(p2[i, inner], 1e-30))
                 head = at >= 0
