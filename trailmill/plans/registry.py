@@ -1,4 +1,7 @@
 """All queries of the engine's own operators, by name, with their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from trailmill.plans import discovery
+
+MODULES = (discovery,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
