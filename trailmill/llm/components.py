@@ -3,8 +3,9 @@
 Alternating large-star and small-star steps: every step replaces an edge by one
 towards a smaller neighbour, and ends with stars around the smallest node of
 each component after O(log^2) rounds.  All steps are groupings and joins, so
-hubs are pre-aggregated and their joins can be split; each round is written to
-the shared folder, which keeps lineage short and survives lost executors.
+hubs are pre-aggregated and their joins can be split; each half round is
+written to the shared folder, and so is the smallest neighbour of each node, so that the
+joins read plain shuffles and Spark can split a hub.  Lineage stays short and survives lost executors.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from trailmill.llm._scratch import written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
+    least = written(both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")), "components-least")
     joined = both.filter("v > u").join(least, F.col("u") == F.col("n"))
     return joined.select(F.col("v").alias("u"), F.least("m", "n").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges run from the larger to the smaller node."""
-    least = edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
+    least = written(edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")), "components-least")
     joined = edges.join(least, F.col("u") == F.col("n")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
 
@@ -39,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(pairs, "components")
     state = _state(now)
     while True:
-        now = written(_small_star(_large_star(now)), "components")
+        now = written(_small_star(written(_large_star(now), "components")), "components")
         before, state = state, _state(now)
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmill.llm._bitmap import bitmap
+from trailmill.llm._rows import anti
 from trailmill.llm._scratch import written
 from trailmill.llm._tokens import ALNUM, U64, Words, chunks, hex_free, words_of
 
@@ -68,16 +70,6 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_windows, "item_id string, words string, grams array<bigint>").distinct(), "bench-windows")
 
 
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of BITS bits with those of a column of hashes set; BITS / 64 rows reach the driver at most."""
-    spot = F.pmod(F.col("hash"), F.lit(BITS))
-    words = hashes.groupBy(F.floor(spot / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))).alias("bits")).collect()
-    packed = np.zeros(BITS // 64, np.int64)
-    for row in words:
-        packed[row["word"]] = row["bits"]
-    return np.unpackbits(packed.view(np.uint8), bitorder="little").view(bool)
-
-
 def _hits(w: Words, bits: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """First word and hash of the shingles whose bit is set."""
     found = [(at[on], h[on]) for k in lengths for at, h in [shingles(w, k)] for on in [bits[(h & U64(BITS - 1)).astype(np.int64)]]]
@@ -167,8 +159,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = windows.select(F.least(F.size(F.split("words", " ")), F.lit(SHINGLE)).alias("k")).distinct().collect()  # SHINGLE rows at most
     lengths = sorted(r["k"] for r in sizes) or [SHINGLE]
     sent = lambda bits: spark.sparkContext.broadcast(np.packbits(bits).tobytes())  # noqa: E731  BITS / 8 bytes
-    index = prefixes(windows, shingle_counts(docs, sent(bitmap(grams)), lengths))
-    found = occurrences(docs, sent(bitmap(index.select("hash"))), lengths)
+    index = prefixes(windows, shingle_counts(docs, sent(bitmap(grams, BITS)), lengths))
+    found = occurrences(docs, sent(bitmap(index.select("hash"), BITS)), lengths)
     hit = written(matches(found, index).distinct(), "bench-matches")
     spans = hit.groupBy("row").agg(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))).alias("spans"))
     owners = windows.select("words", "item_id")
@@ -187,6 +179,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that are not contaminated, all columns."""
+    hit = contamination(docs, benchmark).filter("contaminated").select("doc_id", "text_hash").distinct()
+    return anti(docs, written(hit, "bench-contaminated"))
+
+
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

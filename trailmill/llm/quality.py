@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmill.llm._frequent import coarse
+from trailmill.llm._rows import anti
 from trailmill.llm._scratch import written
 from trailmill.llm._tokens import SPACED, U64, chunks, mix, prefix_hash, range_hash, words_of
 
@@ -160,9 +161,10 @@ def judged(counts: DataFrame) -> DataFrame:
     ).select(*counts.columns, (~F.col("base_failed") & inside).alias("kept"))
 
 
-def rejected(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash) of the documents that the rules reject."""
-    return judged(counted(docs)).filter(~F.col("kept")).select("doc_id", "text_hash").distinct()
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep, all columns."""
+    out = judged(counted(docs)).filter(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    return anti(docs, written(out, "quality-rejected"))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -93,13 +93,14 @@ def keyed_documents(docs: DataFrame) -> DataFrame:
 
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """All rows and columns of the documents, with their shard and slot."""
-    keep = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    """All rows and columns of the documents, with size, text_crc32, shard and slot; columns of these names give way."""
+    added = ("size", "text_crc32", "shard", "slot")
+    keep = F.struct(*[docs[c] for c in docs.columns if c not in added]).alias("row")
     rows = docs.select(
         docs["doc_id"], byte_size(docs["text"]).alias("size"), F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary")).alias("text_crc32"), keep
     )
     done = shard(rows, ["doc_id", "text_crc32", "size"], shards)
-    return done.select("row.*", "size", "text_crc32", "shard", "slot")
+    return done.select("row.*", *added)
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,15 @@
 """N-gram Jaccard join over count vectors.
 
 A document is the set of its five-word shingles.  Equal sets are one class from
-the start; only one member of a class is compared.  To bring together what can
-link, shingles are ordered from rare to frequent by counts over all documents;
-sets that link share a shingle among their first n - ceil(0.75 n) + 1.  Sets
-that share such shingles, directly or by others, form a block.
+the start; only one member of a class is compared.
+
+What can link is brought together by a prefix filter in two steps.  Sets of n
+shingles that link have, in any common order, some k(n) (of the smaller; a few,
+and n / 24) in common among their first n - ceil(0.75 n) + k(n) shingles.  In order of
+hash, these are counted; those that no other set has there are dropped, and a
+set with too few left links with nothing.  The rest are ordered once more, by
+how many sets have them, from rare to frequent: all but the last k - 1 of these
+still hold a common one.  Sets that share such, directly or by others, form a block.
 
 In a block the shingles are hashed into groups and a set is the point of its
 group counts.  The points are packed into an R-tree whose nodes know the
@@ -16,7 +21,7 @@ costs about one comparison a member.
 
 Blocks above MOST shingles are split by their shared shingles, and a shingle
 shared by more than that by pairs of chunks, so every pair still meets and no
-task holds an unbounded group.  Texts are shuffled once.
+task holds an unbounded group.  Only sets of texts that are asked for are shuffled.
 
 Defined results: a null text, or one without words, has the empty set and is
 linked with nothing; fewer than five words are one shingle, their whole
@@ -30,15 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmill.llm._bitmap import bitmap
+from trailmill.llm._rows import anti, semi
 from trailmill.llm._scratch import written
 from trailmill.llm._tokens import SPACED, U64, chunks, hex_free, mix, words_of
 from trailmill.llm.components import components
 
 SHINGLE = 5
-COUNTERS = 1 << 16
+#: Bits of the map that says which texts are asked for; more texts make it denser, not larger.
+BITS = 1 << 24
 #: Shingles, copies included, of a block that one task compares.
 MOST = 8_000_000
 FANOUT = 16
@@ -71,30 +79,30 @@ def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document, and at the end a row per counter: of how many documents' shingles it has seen."""
-    names = ["doc_id", "text_hash", "n", "set_a", "set_b", "counter", "seen"]
-    total, kind = np.zeros(COUNTERS, np.int64), None
     for batch in batches:
-        kind = batch.column(0).type
         for first, texts in chunks(batch):
             sets = shingle_sets(texts)
-            flat = np.concatenate(sets) if sets else np.zeros(0, U64)
-            total += np.bincount((flat & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             a, b = fingerprints(sets)
-            part, none = batch.slice(first, len(texts)), pa.nulls(len(texts), pa.int64())
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sizes, pa.array(hex_free(a)), pa.array(hex_free(b)), none, none], names=names)
-    on = np.flatnonzero(total)
-    if len(on):
-        none = pa.nulls(len(on), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(on), kind), none, none, none, none, pa.array(on), pa.array(total[on])], names=names)
+            part, sizes = batch.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), sizes, pa.array(hex_free(a)), pa.array(hex_free(b))], names=["doc_id", "text_hash", "n", "set_a", "set_b"]
+            )
+
+
+def demanded(n: int) -> int:
+    """Shingles that a set of n must have in common with another in their prefixes; grows with n."""
+    return max(1, n // 24 + min(n // 3, 16))
+
+
+def prefix_size(n: int) -> int:
+    """Shingles in order of hash that hold demanded(n) in common with any set of at least this size that links."""
+    return min(n, n - (3 * n + 3) // 4 + demanded(n))
 
 
-def prefix_of(s: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """The first n - ceil(3n/4) + 1 shingles in order of (rarity class, hash)."""
-    n = len(s)
-    order = np.argsort(rarity[(s & U64(COUNTERS - 1)).astype(np.int64)], kind="stable")  # s is sorted: ties stay so
-    return s[order[: n - (3 * n + 3) // 4 + 1]]
+def least_common(n: Column) -> Column:
+    """What a set of n shingles has in common, among the prefixes, with any that it links with: these have 3n/4 or more, so demanded(ceil(3n/4))."""
+    least = F.ceil(n * 3 / 4)
+    return F.greatest(F.lit(1), F.floor(least / 24) + F.least(F.floor(least / 3), F.lit(16))).cast("long")
 
 
 class Tree:
@@ -179,7 +187,7 @@ def linked(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, set_a, set_b, shingles) in order of the block to links (a, b) between set ids."""
+    """Rows (block, set_a, set_b, shingles) in order of block and id, an id perhaps repeated, to links (a, b) between set ids."""
 
     def done(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         pairs = list(linked(sets)) if len(sets) > 1 else []
@@ -192,58 +200,75 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(ids) > 1:
                     yield done(ids, sets)
                 block, ids, sets = b, [], []
-            ids.append(x)
-            sets.append(np.frombuffer(raw, U64))
+            if not ids or ids[-1] != x:
+                ids.append(x)
+                sets.append(np.frombuffer(raw, U64))
     yield done(ids, sets)
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, wanted (block, id)) to (block, id, shingles)."""
-    for batch in batches:
-        wanted = batch.column(1).to_pylist()
-        for first, texts in chunks(batch.select(["text"])):
-            asked = [i for i in range(len(texts)) if wanted[first + i]]
-            sets = shingle_sets([texts[i] for i in asked]) if asked else []
-            rows = [(w["block"], w["id"], s.tobytes()) for i, s in zip(asked, sets, strict=True) for w in wanted[first + i]]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-            kinds = (pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "id", "shingles"])
-
-
-def prefix_keys(texts: DataFrame, rarity) -> DataFrame:
-    """(key, set_a): the prefix shingles of each set; a task emits equal sets once as far as it remembers."""
-
-    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = np.frombuffer(rarity.value, np.uint8)
-        seen: set[int] = set()
+def asked_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(doc_id, text_hash, shingles) of the texts whose bit is set, so that only these are shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = sent.value
         for batch in batches:
-            for _, part in chunks(batch):
-                sets = [s for s in shingle_sets(part) if len(s)]
-                names = fingerprints(sets)[0].tolist()
-                fresh = {n: s for n, s in zip(names, sets, strict=True) if n not in seen}
-                if len(seen) > EMITTED:
-                    seen.clear()
-                seen.update(fresh)
-                prefixes = [prefix_of(s, classes) for s in fresh.values()]
-                ids = np.repeat(np.array(list(fresh), U64), [len(p) for p in prefixes])
-                keys = np.concatenate(prefixes) if prefixes else np.zeros(0, U64)
-                yield pa.RecordBatch.from_arrays([pa.array(hex_free(keys)), pa.array(hex_free(ids))], names=["key", "set_a"])
+            spot = batch.column(1).to_numpy() & (len(packed) * 8 - 1)
+            batch = batch.filter(pa.array((packed[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)))
+            for first, texts in chunks(batch):
+                part, sets = batch.slice(first, len(texts)), shingle_sets(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "text_hash", "shingles"]
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(sets_of, f"doc_id {kind}, text_hash long, shingles binary")
+
+
+def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to (key, set_a, n); a task emits equal sets once as far as it remembers."""
+    seen: set[int] = set()
+    for batch in batches:
+        for _, part in chunks(batch):
+            sets = [s for s in shingle_sets(part) if len(s)]
+            names = fingerprints(sets)[0].tolist()
+            fresh = {n: s for n, s in zip(names, sets, strict=True) if n not in seen}
+            if len(seen) > EMITTED:
+                seen.clear()
+            seen.update(fresh)
+            prefixes = [s[: prefix_size(len(s))] for s in fresh.values()]
+            lengths = [len(p) for p in prefixes]
+            ids = np.repeat(np.array(list(fresh), U64), lengths)
+            sizes = np.repeat(np.array([len(s) for s in fresh.values()], np.int64), lengths)
+            keys = np.concatenate(prefixes) if prefixes else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array(hex_free(keys)), pa.array(hex_free(ids)), pa.array(sizes)], names=["key", "set_a", "n"])
+
 
-    return texts.select("text").mapInArrow(emitted, "key long, set_a long")
+def prefix_keys(texts: DataFrame) -> DataFrame:
+    return texts.select("text").mapInArrow(_emitted, "key long, set_a long, n long")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, set_a, hub): keys that sets share, one key for equal groups of sets, stored.
+    """(key, set_a, hub): keys by which sets can link, one key for equal groups of sets, stored.
 
-    One shuffle by key serves the grouping and the rows; equal groups are found
-    by count and hash sums of their members.
+    Counting combines before its shuffle, and the joins by key are split where a
+    key is hot.  A set's own keys are bounded by its size.  Equal groups of sets
+    are found by count and hash sums of their members.
     """
-    by_key = keys.repartition(F.col("key")).groupBy("key", "set_a").agg(F.count("*").alias("_n")).drop("_n")
-    groups = by_key.groupBy("key").agg(
+    several = written(keys.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("df")).filter("df > 1"), "join-several")
+    found = keys.join(several, F.col("key") == F.col("k")).select("set_a", "key", "n", "df")
+    own = found.repartition(F.col("set_a")).groupBy("set_a", "key").agg(F.max("n").alias("n"), F.max("df").alias("df"))
+    of_set = Window.partitionBy("set_a")
+    ranked = own.select(
+        "set_a", "key", "n", F.row_number().over(of_set.orderBy("df", "key")).alias("rank"), F.count("*").over(of_set).alias("kept")
+    )
+    second = written(ranked.filter(F.col("rank") <= F.col("kept") - least_common(F.col("n")) + 1).select("key", "set_a"), "join-prefixes")
+    groups = second.groupBy("key").agg(
         F.count("*").alias("n"), F.min("set_a").alias("hub"), F.expr("bit_xor(xxhash64(set_a))").alias("x"), F.expr("bit_xor(xxhash64(set_a, 1))").alias("y")
     )
     chosen = groups.filter("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("key", "hub")).alias("c")).select(F.col("c.key").alias("k"), F.col("c.hub").alias("hub"))
-    return written(by_key.join(chosen, F.col("key") == F.col("k")).drop("k"), "join-keys")
+    return written(second.join(chosen, F.col("key") == F.col("k")).drop("k"), "join-keys")
 
 
 def blocks(shared: DataFrame, sizes: DataFrame, most: int = MOST) -> DataFrame:
@@ -265,7 +290,7 @@ def blocks(shared: DataFrame, sizes: DataFrame, most: int = MOST) -> DataFrame:
 def described(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(rows.mapInArrow(_described, f"doc_id {kind}, text_hash long, n long, set_a long, set_b long, counter long, seen long"), "join-documents")
+    return written(rows.mapInArrow(_described, f"doc_id {kind}, text_hash long, n long, set_a long, set_b long"), "join-documents")
 
 
 def set_links(docs: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
@@ -273,12 +298,7 @@ def set_links(docs: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
 
     An id stands for (set_a, set_b); ``known`` is what described() gives.
     """
-    spark = docs.sparkSession
-    counts = np.zeros(COUNTERS, np.int64)
-    for row in known.filter("counter IS NOT NULL").groupBy("counter").agg(F.sum("seen").alias("seen")).collect():  # COUNTERS rows at most
-        counts[row["counter"]] = row["seen"]
-    rarity = spark.sparkContext.broadcast(np.log2(counts + 1).astype(np.uint8).tobytes())
-    shared = shared_keys(prefix_keys(docs.select("text"), rarity))
+    shared = shared_keys(prefix_keys(docs))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     firsts = known.filter("n > 0").groupBy("set_a", "set_b").agg(F.max("n").alias("n"), least)
     firsts = written(firsts.withColumn("id", F.xxhash64("set_a", "set_b")), "join-sets")
@@ -288,33 +308,50 @@ def set_links(docs: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
         F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "block", "id"
     )
     asked = wanted.groupBy(F.col("doc_id").alias("r_doc_id"), F.col("text_hash").alias("r_text_hash")).agg(F.collect_set(F.struct("block", "id")).alias("wanted"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(asked, texts["doc_id"].eqNullSafe(asked["r_doc_id"]) & (texts["text_hash"] == asked["r_text_hash"]))
-    sets = found.select("text", "wanted").mapInArrow(_sets_of, "block long, id long, shingles binary")
-    sets = sets.repartition(F.col("block")).sortWithinPartitions("block")
-    return written(sets.mapInArrow(_links, "a long, b long"), "join-links")
+    asked = written(asked, "join-asked")
+    sets = asked_sets(docs, bitmap(asked.select(F.col("r_text_hash").alias("hash")), BITS))
+    found = sets.join(asked, sets["doc_id"].eqNullSafe(asked["r_doc_id"]) & (sets["text_hash"] == asked["r_text_hash"]))
+    rows = found.select(F.explode("wanted").alias("w"), "shingles").select("w.block", "w.id", "shingles")
+    rows = rows.repartition(F.col("block")).sortWithinPartitions("block", "id")
+    return written(rows.mapInArrow(_links, "a long, b long"), "join-links")
 
 
 def joined(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) of every document.
+    """(doc_id, text_hash, n_shingles, component_id, root) of every document; root names the component, null without words.
 
     A component's id is its smallest doc_id; it joins back by set, and a set
     that a third of the documents have is split by the adaptive skew join.
     """
     known = described(docs)
     roots = components(set_links(docs, known, most))
-    rows = known.filter("counter IS NULL").withColumn("id", F.xxhash64("set_a", "set_b"))
+    rows = known.withColumn("id", F.xxhash64("set_a", "set_b"))
     full = rows.filter("n > 0")
     per_set = full.groupBy("id").agg(F.min("doc_id").alias("least"))
     rooted = written(
         per_set.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root")), "join-roots"
     )
     names = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, F.col("root") == F.col("r")).select(F.col("id").alias("named_id"), "component_id")
-    with_words = full.join(named, F.col("id") == F.col("named_id")).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id")
-    without = rows.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = rooted.join(names, F.col("root") == F.col("r")).select(F.col("id").alias("named_id"), "component_id", "root")
+    with_words = full.join(named, F.col("id") == F.col("named_id")).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "root")
+    without = rows.filter("n = 0").select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")
+    )
     return with_words.unionByName(without)
 
 
+def one_of_each(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """The documents, with one of each component: the smallest doc_id (then text hash); of equal rows one."""
+    found = written(joined(docs, most).select("doc_id", "text_hash", "root"), "join-components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("f")
+    linked_ones = found.filter("root IS NOT NULL").groupBy("root").agg(first).select("f.doc_id", "f.text_hash")
+    stay = linked_ones.unionByName(found.filter("root IS NULL").select("doc_id", "text_hash").distinct())
+    kept = semi(docs, written(stay, "join-kept"))
+    times = found.filter("root IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.count("*").alias("times")).filter("times > 1")
+    times = written(times.drop("times"), "join-equal")
+    if times.isEmpty():
+        return kept
+    return anti(kept, times).unionByName(semi(kept, times).dropDuplicates())
+
+
 def op4_shingle_join(spark, sf_dir: str) -> DataFrame:
-    return joined(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    return joined(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "root")
