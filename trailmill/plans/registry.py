@@ -1,7 +1,7 @@
 """All queries of the engine's own operators, by name, with their SQL."""
 
-from trailmill.plans import discovery, scoring
+from trailmill.plans import discovery, scoring, trace
 
-MODULES = (discovery, scoring)
+MODULES = (discovery, scoring, trace)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

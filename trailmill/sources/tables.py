@@ -94,7 +94,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POINTS_SQL = """
-  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, epoch_ms(ts) AS t_ms,
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, epoch_us(ts) // 1000 AS t_ms,
     CAST((user_id % 140 - 70) + (event_id % 13) * 0.01::DOUBLE AS DOUBLE) AS lat,
     CAST((user_id * 7 % 360 - 180) + (event_id % 17) * 0.01::DOUBLE AS DOUBLE) AS lng,
     CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS accuracy
