@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def _joined(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     listed = rows.select(F.col("doc_id").alias("_row_id"), F.col("text_hash").alias("_row_hash"))
-    return docs.join(listed, docs["doc_id"].eqNullSafe(F.col("_row_id")) & (F.xxhash64(docs["text"]) == F.col("_row_hash")), how)
+    return docs.join(listed, docs["doc_id"].eqNullSafe(listed["_row_id"]) & (F.xxhash64(docs["text"]) == listed["_row_hash"]), how)
 
 
 def semi(docs: DataFrame, rows: DataFrame) -> DataFrame:

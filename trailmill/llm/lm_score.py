@@ -136,7 +136,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     share = (np.cumsum(c[order]) - c[order] / 2) / max(1, tokens)
     cls = np.empty(len(c), np.int64)
     cls[order] = np.minimum((share * (RARE + 1)).astype(np.int64), RARE - 1)
-    mass = np.bincount(cls, weights=c + 0.5, minlength=RARE + 1)
+    mass = np.bincount(cls, weights=c + 0.5, minlength=RARE + 1).astype(float)
     mass[RARE] = tokens - int(c.sum()) + 0.5 * (types - len(c) + 1)
     return Vocabulary(h, c, cls, mass, int(tokens), int(types)), least
 
