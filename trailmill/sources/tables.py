@@ -99,3 +99,47 @@ POINTS_SQL = """
     CAST((user_id * 7 % 360 - 180) + (event_id % 17) * 0.01::DOUBLE AS DOUBLE) AS lng,
     CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS accuracy
   FROM events"""
+
+
+def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, activity_id, started_at, line, skill, reason, xp, rules_version): order lines as rows of a ledger, the seventh of an order a floor."""
+    skill = F.element_at(F.array(*map(F.lit, LEDGER_SKILLS)), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    reason = F.when(F.col("l_linenumber") == 7, "floor").when(F.col("l_returnflag") == "A", "new_ground").when(F.col("l_returnflag") == "N", "distance").otherwise("duration")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.col("l_linenumber").alias("line"),
+        skill.alias("skill"),
+        reason.alias("reason"),
+        (F.floor(F.col("l_quantity") * 7) - 30).cast("long").alias("xp"),
+        F.when(F.col("l_linenumber") % 3 == 0, 4).otherwise(5).alias("rules_version"),
+    )
+    runs = activities(spark, sf_dir).select("user_id", "activity_id", "started_at")
+    return runs.join(lines, F.col("activity_id") == F.col("l_orderkey")).drop("l_orderkey")
+
+
+LEDGER_SKILLS = ("wayfaring", "might", "cartography", "constitution", "roving")
+
+LEDGER_SQL = """
+  SELECT o_custkey % 20 AS user_id, o_orderkey AS activity_id, o_orderdate AS started_at, l_linenumber AS line,
+    ['wayfaring', 'might', 'cartography', 'constitution', 'roving'][l_suppkey % 5 + 1] AS skill,
+    CASE WHEN l_linenumber = 7 THEN 'floor' WHEN l_returnflag = 'A' THEN 'new_ground' WHEN l_returnflag = 'N' THEN 'distance' ELSE 'duration' END AS reason,
+    CAST(floor(l_quantity * 7) AS BIGINT) - 30 AS xp, CASE WHEN l_linenumber % 3 = 0 THEN 4 ELSE 5 END AS rules_version
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, rec_id, at, elapsed_s, distance_m, has_sets): events as recordings that several sources may have made of one activity."""
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 5).alias("user_id"),
+        F.col("event_id").alias("rec_id"),
+        F.col("ts").alias("at"),
+        (F.col("value") * 6).cast("long").alias("elapsed_s"),
+        F.when(F.col("event_id") % 4 > 0, F.round(F.col("value") * 40, 2)).alias("distance_m"),
+        (F.col("event_id") % 9 == 0).alias("has_sets"),
+    )
+
+
+RECORDINGS_SQL = """
+  SELECT user_id % 5 AS user_id, event_id AS rec_id, ts AS at_, CAST(trunc(value * 6) AS BIGINT) AS elapsed_s,
+    CASE WHEN event_id % 4 > 0 THEN round(value * 40, 2) END AS distance_m, event_id % 9 = 0 AS has_sets
+  FROM events"""
