@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmill.llm._frequent import coarse
-from trailmill.llm._rows import anti
 from trailmill.llm._scratch import written
 from trailmill.llm._tokens import SPACED, U64, chunks, mix, prefix_hash, range_hash, words_of
 
@@ -84,13 +83,25 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole rows (doc) with the COUNTS of their texts."""
+    for batch in batches:
+        rows = batch.column(0)
+        for first, texts in chunks(pa.RecordBatch.from_arrays([rows.field("text")], names=["text"])):
+            counts = text_counts(texts)
+            yield pa.RecordBatch.from_arrays([rows.slice(first, len(texts)), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS)], names=["doc", *COUNTS])
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, text_hash) with the COUNTS of each text, stored."""
     rows = docs.select("doc_id", "lang", "source", F.xxhash64("text").alias("text_hash"), "text")
     schema = rows.drop("text").schema.simpleString()[7:-1] + "".join(f",{c}:bigint" for c in COUNTS)
     found = rows.mapInArrow(_counted, schema)
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return written(found.withColumn("base_failed", failed), "quality-counts")
+    return written(found.withColumn("base_failed", base_failed()), "quality-counts")
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
 def ratios() -> dict[str, Column]:
@@ -151,7 +162,10 @@ def judged(counts: DataFrame) -> DataFrame:
     Thresholds are stored first, so that the join knows their size: Spark
     broadcasts them below its threshold and shuffles else, splitting hot groups.
     """
-    fences = written(thresholds(sketches(counts)), "quality-fences")
+    return fenced(counts, written(thresholds(sketches(counts)), "quality-fences"))
+
+
+def fenced(counts: DataFrame, fences: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for k, value in ratios().items():
         upper = value <= F.col(f"t_{k}.high")
@@ -162,9 +176,18 @@ def judged(counts: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, all columns."""
-    out = judged(counted(docs)).filter(~F.col("kept")).select("doc_id", "text_hash").distinct()
-    return anti(docs, written(out, "quality-rejected"))
+    """The documents that the rules keep, all columns.
+
+    Texts are counted once more beside their rows, which costs less than a
+    shuffle of all texts: rows meet only the table of thresholds.
+    """
+    fences = written(thresholds(sketches(counted(docs))), "quality-fences")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("doc")
+    schema = docs.select(row).schema
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    rows = docs.select(row).mapInArrow(_counted_rows, schema).select("doc", "doc.lang", "doc.source", *COUNTS, base_failed().alias("base_failed"))
+    return fenced(rows, fences).filter("kept").select("doc.*")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
