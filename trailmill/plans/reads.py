@@ -31,9 +31,8 @@ def landmark_walk(spark, sf_dir):
 
 
 def places_crossed(spark, sf_dir):
-    """The two levels that are shown as places; XP is taken tenfold, so that the driver's users get there."""
-    ledger = ledger_entries(spark, sf_dir).withColumn("xp", F.col("xp") * 10)
-    return r.landmarks(r.standings(ledger)).withColumn("arc", F.round("arc", 6)).filter("level IN (50, 99)")
+    """The two levels that are shown as places; few of the driver's users get there."""
+    return landmark_walk(spark, sf_dir).filter("level IN (50, 99)")
 
 
 def recent_sessions(spark, sf_dir):
@@ -148,7 +147,7 @@ ORACLE_SQL = {
       SELECT activity_id, skill, CAST(sum(xp) AS BIGINT) AS xp, string_agg(reason || ' ' || xp, ', ' ORDER BY reason || ' ' || xp) AS parts FROM p GROUP BY 1, 2""",
     "xp_before_run": f"WITH {_STANDING} SELECT user_id, skill, activity_id, gained, before FROM standing",
     "landmark_walk": _WALK,
-    "places_crossed": f"SELECT * FROM ({_WALK}) WHERE level IN (50, 99)".replace("- 30 AS xp", "* 10 - 300 AS xp"),
+    "places_crossed": f"SELECT * FROM ({_WALK}) WHERE level IN (50, 99)",
     "recent_sessions": f"WITH {_LEDGER}, {_RECENT} SELECT user_id, skill, activity_id, xp, CAST(place AS INT) AS place FROM recent",
     "next_level": f"""WITH {_LEDGER}, {_STATE}, {_RECENT}, {_LEVELS}, {rules_sql()}, m AS (SELECT user_id, skill, median(xp) AS m FROM recent GROUP BY 1, 2),
       n AS (SELECT s.*, need - s.xp AS left_ FROM state s JOIN levels ON level = 1 + (SELECT max(level) FROM levels WHERE need <= s.xp AND level <= 99) WHERE level <= 99),
