@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,5 +82,20 @@ def render(template: Column, facts: dict[str, Column]) -> Column:
         forms = {f"{{{name}}}": value.cast("string"), f"{{{name}:words}}": number_words(number), f"{{{name}:ordinal}}": ordinal_words(number)}
         forms |= {f"{{{name}:Words}}": first_up(number_words(number)), f"{{{name}:Ordinal}}": first_up(ordinal_words(number))}
         for mark, text in forms.items():
-            out = F.when(F.instr(template, mark) > 0, F.replace(out, F.lit(mark), text)).otherwise(out)
-    return F.when(~out.rlike(r"\{[A-Za-z]+(:[A-Za-z]+)?\}"), out)
+            out = F.replace(out, F.lit(mark), F.coalesce(text, F.lit(mark)))  # a mark that stays makes null below
+    return F.when(~out.rlike(r"\{[A-Za-z_]+(:[A-Za-z]+)?\}"), out)
+
+
+def sentence(template: str, facts: dict[str, Column]) -> Column:
+    """render() of a template known beforehand: only the forms that it uses are built; a missing fact makes null."""
+    first_up = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), c.substr(F.lit(2), F.length(c)))
+    forms = {"": lambda c: c.cast("string"), "words": number_words, "ordinal": ordinal_words}
+    forms |= {"Words": lambda c: first_up(number_words(c)), "Ordinal": lambda c: first_up(ordinal_words(c))}
+    parts = []
+    for piece in re.split(r"(\{[A-Za-z_]+(?::[A-Za-z]+)?\})", template):
+        if piece.startswith("{"):
+            name, _, form = piece[1:-1].partition(":")
+            parts.append(forms[form](facts[name]))
+        elif piece:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)

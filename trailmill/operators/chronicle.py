@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmill.functions.text import fnv1a, render
+from trailmill.functions.text import fnv1a, sentence
 
 YEAR_US = 365 * 86_400_000_000
 IN_YEAR_PRIOR, EVER_PRIOR = 8, 20
@@ -62,11 +62,10 @@ def holds(when: dict[str, dict]) -> Column:
 def pick(runs: DataFrame, table: list[dict], names: tuple[str, ...]) -> DataFrame:
     """(activity_id, row_id, sentence): the fitting row of highest rank whose facts are all known; ties by a hash seeded with the run."""
     seed = F.col("activity_id").cast("string")
-    known = {n: F.col(n) for n in names}
     each = []
     for row in table:
-        sentence = render(F.lit(row["text"]), known)
-        order = F.struct((-F.lit(row["rank"])).alias("minus_rank"), fnv1a(F.concat(seed, F.lit("\0" + row["id"]))).alias("h"), F.lit(row["id"]).alias("row_id"), sentence.alias("sentence"))
-        each.append(F.when(holds(row["when"]) & sentence.isNotNull(), order))
+        text = sentence(row["text"], {n: F.col(n) for n in names})
+        order = F.struct((-F.lit(row["rank"])).alias("minus_rank"), fnv1a(F.concat(seed, F.lit("\0" + row["id"]))).alias("h"), F.lit(row["id"]).alias("row_id"), text.alias("sentence"))
+        each.append(F.when(holds(row["when"]) & text.isNotNull(), order))
     best = F.array_min(F.array_compact(F.array(*each)))
     return runs.select("activity_id", best.alias("b")).filter("b IS NOT NULL").select("activity_id", "b.row_id", "b.sentence")

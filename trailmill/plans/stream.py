@@ -5,17 +5,19 @@ from pyspark.sql import functions as F
 from trailmill.operators import late
 from trailmill.sources.tables import VISITS_SQL, table, visits
 
-#: Visits come in three deliveries, the earliest not always first.
-ARRIVED = F.col("activity_id") % 3
+
+def arrived():
+    """Visits come in three deliveries, the earliest not always first."""
+    return F.col("activity_id") % 3
 
 
 def late_backfill(spark, sf_dir):
-    return late.arrived_state(late.arrivals(visits(spark, sf_dir), ARRIVED))
+    return late.arrived_state(late.arrivals(visits(spark, sf_dir), arrived()))
 
 
 def deferred_visits(spark, sf_dir):
     """Users whose history needs a replay, and from when."""
-    rows = late.arrivals(visits(spark, sf_dir), ARRIVED).filter(F.col("class") == "deferred")
+    rows = late.arrivals(visits(spark, sf_dir), arrived()).filter(F.col("class") == "deferred")
     return rows.groupBy("user_id").agg(F.count("*").alias("deferred"), F.min("started_at").alias("replay_from"))
 
 
