@@ -1,5 +1,6 @@
 """Every operator against its plain version, on awkward rows, an empty table and driver documents."""
 
+import hashlib
 import math
 from collections import Counter, defaultdict
 
@@ -296,6 +297,34 @@ def test_lines_on_awkward_rows(docs):
     assert texts[17].count("same line here now") == 1 and texts[7] == ""
 
 
+def whole_shingles(line, k=9):
+    return frozenset(line[i : i + k] for i in range(max(1, len(line) - k + 1)))
+
+
+def kept_by_brute(texts):
+    """{(doc_id, place)} of the first line of each component of full shingle sets."""
+    given = [(i, p, line) for i, text in texts for p, line in enumerate(text.split("\n"))]
+    first = {}
+    for (i, p, _), r in zip(given, brute.components([whole_shingles(line) for _, _, line in given]), strict=True):
+        first[r] = min((i, p), first.get(r, (i, p)))
+    return set(first.values())
+
+
+def kept_by_spark(spark, texts):
+    out = line_dedup.kept_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    return {(r["doc_id"], p) for r in out for p in r["kept"]}
+
+
+def test_lines_without_spaces_and_with_long_words(spark):
+    urls = [f"https://example.org/{hashlib.md5(b'%d' % k).hexdigest()}" for k in range(12)]
+    han = ["".join(chr(0x4E00 + (k * 7919 + j * 104729) % 5000) for j in range(60)) for k in range(6)]
+    near = [x[:2] + "々" + x[3:] for x in han] + ["龘" + urls[0][1:]]
+    tails = ["始" + x for x in han]
+    lines = [*urls, *han, *near, *tails, "ab", "abcdefgh", "abcdefghi", "𝒳𝒴𝒵" * 5 + "a", "𝒳𝒴𝒵" * 5 + "b"]
+    texts = [(k, line) for k, line in enumerate(lines)]
+    assert kept_by_spark(spark, texts) == kept_by_brute(texts)
+
+
 # 9 benchmark
 
 BENCH = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
