@@ -325,6 +325,15 @@ def test_lines_without_spaces_and_with_long_words(spark):
     assert kept_by_spark(spark, texts) == kept_by_brute(texts)
 
 
+@pytest.mark.parametrize("many", [0, line_dedup.MANY])
+def test_a_hot_band_of_several_clusters(spark, monkeypatch, many):
+    """All lines share one band, of which the hub is in one cluster at most."""
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    monkeypatch.setattr(line_dedup, "bands", lambda hashes: F.array(F.lit(1).cast("long")))
+    texts = [(c * 10 + k, f"template of a page {brute.sentence(c + 50, 30)} number {k}") for c in range(9) for k in range(5)]
+    assert kept_by_spark(spark, texts) == kept_by_brute(texts) == {(c * 10, 0) for c in range(9)}
+
+
 # 9 benchmark
 
 BENCH = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
