@@ -231,6 +231,25 @@ def test_pages(spark):
     assert found[92] == "plain text only" and found[93] == "un\nclosed"
 
 
+def test_pages_keep_text_beside_and_inside_named_containers(spark):
+    lead, body, more = "The lead of it. " * 5, "The body goes on and on. " * 10, "Another section. " * 3
+    side = '<div class="sidebar">Elsewhere</div>'
+    rare = "Only this rare page has all of its text here. " * 8
+    pages = [
+        (1, "https://lead.example/1", f'<body><div class="lead">{lead}</div><div class="body">{body}</div><div class="rest">{more}</div>{side}</body>'),
+        (2, "https://bar.example/1", f'<body><div class="content has-sidebar"><p>{body}</p>{side}</div></body>'),
+        (3, "https://post.example/1", f'<body><article class="post no-comments share"><p>{body}</p></article></body>'),
+        (4, "https://form.example/1", f'<body><form id="aspnet"><div><p>{body}</p></div><form class="search">Find</form></form></body>'),
+        *[(k, f"https://rare.example/{k}", f'<body><div class="main-text"><p>{body}</p></div></body>') for k in range(5, 9)],
+        (9, "https://rare.example/9", f'<body><div class="main-text">Go on:</div><div class="other"><p>{rare}</p></div></body>'),
+    ]
+    found = {r["page_id"]: " ".join(r["text"].split()) for r in page_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found[1] == f"{lead}{body}{more}".strip()
+    assert found[2] == found[3] == found[5] == body.strip()
+    assert found[4].startswith(body.strip())
+    assert found[9] == f"Go on: {rare}".strip()
+
+
 def test_pages_of_the_driver(spark):
     out = QUERIES["op6_page_text"](spark, SMALL).collect()
     assert len(out) == spark.read.parquet(f"{SMALL}/pages.parquet").count()

@@ -2,10 +2,12 @@
 
 Each page scores its containers: the share of the page's running text (link
 text discounted, boilerplate subtrees left out) that lies below each.  Its
-choice, the deepest container with most of the text, is a vote for a
-generalised path of tags and classes without digits.  Votes are counted per
-host in Spark; the winning path of a host is then what its pages are extracted
-by, and a page that has nothing there keeps its own choice.
+choice, the article or main element around most of the text, or else the
+deepest container with all of it, is a vote for a generalised path of tags and
+classes without digits.  Votes are counted per host in Spark; the winning path
+of a host is then what its pages are extracted by, and a page that has less
+than COVER of its own choice there keeps that.  What only a class word or a
+form makes boilerplate counts as text where it holds most of the page's.
 
 Defined results: a null or empty page, or one without text, gives the empty
 string; a null url belongs to a host of its own (the empty one); repeated pages
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from trailmill.llm._scratch import written
 
 SHARE = 0.7
+#: Share of a page's own choice that the path of its host must hold.
+COVER = 0.9
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|xmp|noembed|noframes|title"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+>(?<!/>).*?(?:</\1\s*>|\Z)"
@@ -46,7 +50,7 @@ ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"},
 }
-BOILERPLATE_TAGS = frozenset("aside button dialog footer form head header input menu nav object select".split())
+BOILERPLATE_TAGS = frozenset("aside button dialog footer head header input menu nav object select".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification"
     " alert popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets"
@@ -56,12 +60,13 @@ BOILERPLATE_WORDS = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "path", "good", "parent", "boiler", "link", "container", "depth")
+    __slots__ = ("tag", "path", "good", "parent", "boiler", "soft", "link", "container", "depth")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, boiler: bool):
+    def __init__(self, tag: str, label: str, parent: Node | None, boiler: bool, soft: bool = False):
         self.tag, self.parent = tag, parent
         self.path = f"{parent.path}/{label}" if parent else label
         self.boiler = boiler or bool(parent and parent.boiler)
+        self.soft = soft
         self.link = tag == "a" or bool(parent and parent.link)
         self.container = parent.container if parent else None
         self.depth = parent.depth + 1 if parent else 0
@@ -120,21 +125,40 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, int, str]]]:
             label = ".".join([tag, *sorted(set(re.sub(r"\d+", "", " ".join(v for k, v in found if k == "class").lower()).split()))])
         else:
             label = tag
-        boiler = hidden or tag in BOILERPLATE_TAGS or (tag not in ("body", "html") and any(x in BOILERPLATE_WORDS for x in re.split(r"[^a-z]+", names)))
-        node = Node(tag, label, open_[-1], boiler)
+        soft = tag == "form" or (tag not in ("body", "html") and any(x in BOILERPLATE_WORDS for x in re.split(r"[^a-z]+", names)))
+        node = Node(tag, label, open_[-1], hidden or tag in BOILERPLATE_TAGS, soft)
         nodes.append(node)
         if not m[4] or not m[4].endswith("/") or tag in BLOCK:
             open_.append(node)
     if at < len(page) and not open_[-1].boiler:
         runs.append((open_[-1], block, page[at:]))
-    return nodes, runs
+    return nodes, without_soft(nodes, runs)
+
+
+def running(node: Node, text: str) -> int:
+    return 0 if node.link else len(text.strip())
+
+
+def without_soft(nodes: list[Node], runs: list[tuple[Node, int, str]]) -> list[tuple[Node, int, str]]:
+    """The runs outside elements that a class word or a form makes boilerplate, save those that hold most of the text."""
+    if not any(node.soft for node in nodes):
+        return runs
+    held = dict.fromkeys(nodes, 0)
+    for node, _, text in runs:
+        held[node] += running(node, text)
+    for node in reversed(nodes):  # children come after their parents
+        if node.parent:
+            held[node.parent] += held[node]
+    for node in nodes:
+        node.soft = (node.soft and 2 * held[node] <= held[nodes[0]]) or bool(node.parent and node.parent.soft)
+    return [run for run in runs if not run[0].soft]
 
 
 def choose(nodes: list[Node], runs: list[tuple[Node, int, str]]) -> Node | None:
-    """The deepest container with SHARE of the text; the article around it, if there is one."""
+    """The article around the deepest container with SHARE of the text; without one, the deepest container with all text."""
     total = 0
     for node, _, text in runs:
-        n = 0 if node.link else len(text.strip())
+        n = running(node, text)
         if n:
             total += n
             home = node.container or nodes[0]
@@ -152,6 +176,8 @@ def choose(nodes: list[Node], runs: list[tuple[Node, int, str]]) -> Node | None:
     while x:
         if x.tag in WHOLE:
             return x
+        if (x.container is x or x is nodes[0]) and x.good > best.good:
+            best = x
         x = x.parent
     return best
 
@@ -192,10 +218,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, path in zip(batch.column(2), batch.column(3), strict=True):
             nodes, runs = parse(page.as_py() or "")
-            text = text_at(runs, path.as_py()) if path.is_valid else ""
-            if not text and (own := choose(nodes, runs)):
-                text = text_at(runs, own.path)
-            texts.append(text)
+            own = choose(nodes, runs)
+            at = path.as_py() if path.is_valid else None
+            if own and (at is None or sum(running(n, t) for n, _, t in runs if below(n, at)) < COVER * own.good):
+                at = own.path
+            texts.append("" if at is None else text_at(runs, at))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
