@@ -106,3 +106,20 @@ def test_events_are_accepted_once(spark, tmp_path):
     stream = accepted_once(spark.readStream.schema("key string, at timestamp").json(path), "key", "at")
     finished(stream.writeStream.format("memory").queryName("accepted").option("checkpointLocation", str(tmp_path / "c")).start())
     assert {r["key"] for r in spark.table("accepted").collect()} == {"a", "b"} and spark.table("accepted").count() == 2
+
+
+def test_speed_gate_holds_no_walk_in_memory(spark):
+    from trailmill.operators.trace import gate_speed
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        rows = [(u, k, k * 1000, 0.0, 1.0 if k % 4 == 2 else k * 1e-6) for u in range(5) for k in range(10 + u)] + [(None, 1, 0, None, 0.0), (9, 1, 0, 0.0, 0.0)]
+        out = gate_speed(spark.createDataFrame(rows, "user_id long, seq int, t_ms long, lat double, lng double").repartition(4), 5.0)
+        found = {r["user_id"]: (r["kept"], r["rejected"]) for r in out.collect()}
+    finally:
+        spark.conf.set(key, before)
+    bad = {u: sum(k % 4 == 2 for k in range(10 + u)) for u in range(5)}
+    assert found == {u: (10 + u - bad[u], bad[u]) for u in range(5)} | {None: (1, 0), 9: (1, 0)}
+    assert "collect_list" not in out._jdf.queryExecution().toString()

@@ -7,10 +7,14 @@ compares with the last point it accepted is a fold over a walk's sorted points.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmill.functions.geo import interpolate, metres, speed
+from trailmill.functions.geo import EARTH_M, interpolate, metres, speed
 
 GAP_MS = 30_000
 ACCURACY_M = 50.0
@@ -70,25 +74,57 @@ def dwell_islands(points: DataFrame, slow: float = DWELL_SPEED, least_s: float =
     return runs.withColumn("dwell", (F.col("n") > 1) & (F.col("seconds") >= least_s))
 
 
+def _metres(lat1: float | None, lng1: float | None, lat2: float | None, lng2: float | None) -> float | None:
+    """``geo.metres`` of two points, with Spark's results for nulls and numbers that are not finite."""
+    if None in (lat1, lng1, lat2, lng2):
+        return None
+    h = 1.0
+    if all(map(math.isfinite, (lat1, lng1, lat2, lng2))):
+        dlat, dlng = math.sin(math.radians(lat2 - lat1) / 2), math.sin(math.radians(lng2 - lng1) / 2)
+        h = dlat * dlat + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * dlng * dlng
+    return 2 * EARTH_M * math.asin(1.0 if h > 1 else math.sqrt(h))
+
+
+def _too_fast(last: tuple, point: tuple, gate: float) -> bool:
+    m = _metres(*last[1:], *point[1:])
+    if m is None:
+        return False
+    s = None if last[0] is None or point[0] is None else (point[0] - last[0]) / 1000
+    return (m / s if s is not None and s > 0 else math.inf if m > 0 else 0.0) > gate
+
+
 def gate_speed(points: DataFrame, gate: float) -> DataFrame:
-    """(user_id, kept, rejected, breaks) by comparing each point with the last accepted one.
+    """(user_id, kept, rejected) by comparing each point with the last accepted one.
 
-    A fold over the sorted points of a walk, native and bounded by its length.
+    A fold over the points of a walk as they come out of Spark's sort, which
+    spills: kept are the last accepted point and two counters, whatever the walk's length.
     """
-    point = F.struct("seq", "t_ms", "lat", "lng")
-    walks = points.groupBy("user_id").agg(F.array_sort(F.collect_list(point)).alias("p"))
-    zero = F.struct(F.lit(None).cast("struct<seq:int,t_ms:bigint,lat:double,lng:double>").alias("last"), F.lit(0).alias("kept"), F.lit(0).alias("rejected"))
-
-    def step(acc, x):
-        m = metres(acc["last"]["lat"], acc["last"]["lng"], x["lat"], x["lng"])
-        bad = acc["last"].isNotNull() & (speed(m, (x["t_ms"] - acc["last"]["t_ms"]) / 1000) > gate)
-        return F.struct(
-            F.when(bad, acc["last"]).otherwise(x).alias("last"),
-            (acc["kept"] + F.when(bad, 0).otherwise(1)).alias("kept"),
-            (acc["rejected"] + F.when(bad, 1).otherwise(0)).alias("rejected"),
-        )
-
-    return walks.select("user_id", F.aggregate("p", zero, step).alias("a")).select("user_id", "a.kept", "a.rejected")
+    kind = points.schema["user_id"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, last, kept, rejected = None, None, 0, 0
+        for batch in batches:
+            done = []
+            for who, *point in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if last is not None and who != user:
+                    done.append((user, kept, rejected))
+                    last, kept, rejected = None, 0, 0
+                user = who
+                if last is not None and _too_fast(last, point, gate):
+                    rejected += 1
+                else:
+                    last, kept = point, kept + 1
+            yield _counts(done, batch.schema.field(0).type)
+        if last is not None:
+            yield _counts([(user, kept, rejected)], batch.schema.field(0).type)
+
+    walks = points.select("user_id", "seq", "t_ms", "lat", "lng").repartition(F.col("user_id")).sortWithinPartitions("user_id", "seq", "t_ms", "lat", "lng")
+    return walks.select("user_id", "t_ms", "lat", "lng").mapInArrow(fold, f"user_id {kind}, kept long, rejected long")
+
+
+def _counts(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    users, kept, rejected = zip(*done, strict=True) if done else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(users, kind), pa.array(kept, pa.int64()), pa.array(rejected, pa.int64())], names=["user_id", "kept", "rejected"])
 
 
 def densify(points: DataFrame, step_m: float = STEP_M) -> DataFrame:
