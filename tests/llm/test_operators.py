@@ -197,6 +197,14 @@ def test_one_of_each(docs, pairs):
     same(kept, ("doc_id", "text"), set(expected))
 
 
+def test_one_of_each_of_rows_that_differ_elsewhere(spark):
+    text = brute.sentence(70, 30)
+    given = [(1, text, "web", 5), (1, text, "books", 7), (1, text, "books", 6), (None, "", "a", 1), (None, "", "b", 1)]
+    kept = shingle_join.one_of_each(spark.createDataFrame(given, "doc_id long, text string, source string, n long"))
+    assert kept.columns == ["doc_id", "text", "source", "n"]
+    same(kept, ("doc_id", "text", "source", "n"), [(1, text, "books", 6), *given[3:]])
+
+
 # 5 tokens
 
 

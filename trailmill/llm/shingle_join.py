@@ -340,7 +340,7 @@ def joined(docs: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """The documents, with one of each component: the smallest doc_id (then text hash); of equal rows one."""
+    """The documents, with one of each component: the smallest doc_id (then text hash); of its rows the least by the other columns, in their order."""
     found = written(joined(docs, most).select("doc_id", "text_hash", "root"), "join-components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("f")
     linked_ones = found.filter("root IS NOT NULL").groupBy("root").agg(first).select("f.doc_id", "f.text_hash")
@@ -350,7 +350,11 @@ def one_of_each(docs: DataFrame, most: int = MOST) -> DataFrame:
     times = written(times.drop("times"), "join-equal")
     if times.isEmpty():
         return kept
-    return anti(kept, times).unionByName(semi(kept, times).dropDuplicates())
+    again, others = semi(kept, times), [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not others:
+        return anti(kept, times).unionByName(again.dropDuplicates())
+    least = again.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("least_row"))
+    return anti(kept, times).unionByName(least.select("doc_id", "text", *[F.col("least_row")[c].alias(c) for c in others]))
 
 
 def op4_shingle_join(spark, sf_dir: str) -> DataFrame:
