@@ -6,11 +6,13 @@ anchors are indexed, about one in (LENGTH - K) / 2 bytes.  Anchors whose k-gram
 occurs once are dropped.  Anchors with equal surroundings (all bytes that a
 window over the anchor can reach) are one entry with a count.  The entries of a
 k-gram, sorted by what follows, are its part of the suffix array; a stack scan
-over the common-prefix lengths gives the interval tree, and inside each interval
-the same scan over the reversed left contexts tests whether left extensions
-differ.  What comes out are maximal repeats with all their occurrences; a repeat
-reaching ``left`` bytes before and ``right`` after the anchor, left + right >=
-LENGTH, covers just those bytes of every occurrence.
+over the common-prefix lengths gives the interval tree.  Inside each interval the
+entries are sorted by their reversed left contexts, and each takes the longer of
+what it shares with its two neighbours there.  What comes out is one reach per
+entry: the most bytes before and after the anchor over all intervals where both
+together are LENGTH at least.  Repeats of an entry all hold its anchor, so they
+cover just that stretch.  Groups of occurrences and left diversity are not
+formed; ``maximal_repeats`` does so and is only called by a test.
 
 No task holds a hot group: equal surroundings are counted by aggregation with
 map-side combining, and a k-gram with more than MOST different surroundings is
