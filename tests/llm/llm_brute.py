@@ -200,8 +200,8 @@ def mix_targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
     return capped
 
 
-def line_shingles(line):
-    return frozenset(m[1] for m in re.finditer(r"(?s)(?=(.{1,9}))[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*", line))
+def line_shingles(line, k=9):
+    return frozenset(line[i : i + k] for i in range(max(1, len(line) - k + 1)))
 
 
 def in_order(rows):

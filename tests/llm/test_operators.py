@@ -324,15 +324,11 @@ def test_lines_on_awkward_rows(docs):
     assert texts[17].count("same line here now") == 1 and texts[7] == ""
 
 
-def whole_shingles(line, k=9):
-    return frozenset(line[i : i + k] for i in range(max(1, len(line) - k + 1)))
-
-
 def kept_by_brute(texts):
     """{(doc_id, place)} of the first line of each component of full shingle sets."""
     given = [(i, p, line) for i, text in texts for p, line in enumerate(text.split("\n"))]
     first = {}
-    for (i, p, _), r in zip(given, brute.components([whole_shingles(line) for _, _, line in given]), strict=True):
+    for (i, p, _), r in zip(given, brute.components([brute.line_shingles(line) for _, _, line in given]), strict=True):
         first[r] = min((i, p), first.get(r, (i, p)))
     return set(first.values())
 
@@ -356,7 +352,7 @@ def test_lines_without_spaces_and_with_long_words(spark):
 def test_a_hot_band_of_several_clusters(spark, monkeypatch, many):
     """All lines share one band, of which the hub is in one cluster at most."""
     monkeypatch.setattr(line_dedup, "MANY", many)
-    monkeypatch.setattr(line_dedup, "bands", lambda hashes: F.array(F.lit(1).cast("long")))
+    monkeypatch.setattr(line_dedup, "bands", lambda low: F.array(F.lit(1).cast("long")))
     texts = [(c * 10 + k, f"template of a page {brute.sentence(c + 50, 30)} number {k}") for c in range(9) for k in range(5)]
     assert kept_by_spark(spark, texts) == kept_by_brute(texts) == {(c * 10, 0) for c in range(9)}
 

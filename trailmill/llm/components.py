@@ -5,7 +5,8 @@ towards a smaller neighbour, and ends with stars around the smallest node of
 each component after O(log^2) rounds.  All steps are groupings and joins, so
 hubs are pre-aggregated and their joins can be split; each half round is
 written to the shared folder, and so is the smallest neighbour of each node, so that the
-joins read plain shuffles and Spark can split a hub.  Lineage stays short and survives lost executors.
+joins read plain shuffles and Spark can split a hub.  Lineage stays short and
+survives lost executors; the tables of a half round go once the next is written.
 """
 
 from __future__ import annotations
@@ -13,21 +14,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.llm._scratch import written
+from trailmill.llm._scratch import dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = written(both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")), "components-least")
     joined = both.filter("v > u").join(least, F.col("u") == F.col("n"))
-    return joined.select(F.col("v").alias("u"), F.least("m", "n").alias("v")).distinct()
+    found = written(joined.select(F.col("v").alias("u"), F.least("m", "n").alias("v")).distinct(), "components")
+    dropped(least, edges)
+    return found
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges run from the larger to the smaller node."""
     least = written(edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")), "components-least")
     joined = edges.join(least, F.col("u") == F.col("n")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
+    found = written(joined.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), "components")
+    dropped(least, edges)
+    return found
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,7 +45,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(pairs, "components")
     state = _state(now)
     while True:
-        now = written(_small_star(written(_large_star(now), "components")), "components")
+        now = _large_star(now)
         before, state = state, _state(now)
-        if state == before:
+        if state == before:  # stars already: neither step changes them
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        now = _small_star(now)
+        state = _state(now)
