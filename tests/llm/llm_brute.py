@@ -29,6 +29,11 @@ def sentence(seed, n):
     return " ".join(words)
 
 
+def morse(n, a="a", b="b"):
+    """A Thue-Morse word of n letters: it and its complement have equal polynomial hashes modulo 2**64."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
 def awkward_rows():
     base = sentence(1, 120)
     near = base.split()
@@ -58,6 +63,10 @@ def awkward_rows():
         (None, base, "en", None),
         (21, "<|endoftext|> it's  2024 don't <|endoftext|>", "en", "web"),
         (22, sentence(10, 52) + " " + sentence(11, 30), "en", "web"),
+        (24, morse(1024) + " and " + morse(1024, "b", "a"), "en", "web"),
+        (25, morse(1024, "b", "a") + " and " + morse(1024), "en", "web"),
+        (26, morse(1024) + "\n" + morse(1024, "b", "a") + "\n" + morse(1024, "xy ", "yx "), "en", "web"),
+        (27, morse(1024, "yx ", "xy ") + "\n" + morse(1024, "xy ", "yx "), "en", "web"),
         (23, sentence(12, 300) + " " + sentence(11, 30), "en", "web"),
     ]
     return [(i, t, lang, s, None if t is None else len(t), *EXTRA) for i, t, lang, s in rows]

@@ -3,11 +3,15 @@
 A batch of UTF-8 texts is one byte buffer.  Word bounds come from a 256-entry
 byte table; word hashes come from one prefix sum of a polynomial hash, so the
 cost is a few array passes per byte and nothing runs per word in Python.
-Hashes are 64 bit and equal in every process.
+Hashes are 64 bit and equal in every process.  A polynomial over the 64-bit
+ring has fixed collisions in long regular strings (a Thue-Morse word of 1024
+letters and its complement), so words and lines above LONG bytes are hashed by
+a cryptographic digest instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +22,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 20
+LONG = 512
 
 #: Word bytes of the pattern [^\x20\x09-\x0D]+
 SPACED = np.ones(256, bool)
@@ -66,6 +71,14 @@ def range_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((s[end] - s[start]) * inverse[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
 
 
+def bytes_hash(a: np.ndarray, s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges of any length of the buffer ``a``, of which ``s`` is the prefix hash."""
+    h = range_hash(s, start, end)
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(a[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
 @dataclass
 class Words:
     """Words of a chunk of texts; ``doc`` is the text's place in the chunk."""
@@ -109,7 +122,7 @@ def words_of(texts: list[bytes], table: np.ndarray, lower: bool) -> Words:
     start, end = edge[::2], edge[1::2]
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     doc = np.searchsorted(ends, start, side="right")
-    return Words(a, len(texts), doc, start, end, range_hash(prefix_hash(a), start, end))
+    return Words(a, len(texts), doc, start, end, bytes_hash(a, prefix_hash(a), start, end))
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:

@@ -5,9 +5,11 @@ repeated three-word windows.  Ratios of these are integers in thousandths.  Per
 (language, source) a histogram sketch of each ratio (values kept to eight
 significant bits, so a relative error below 1/128; merged by adding counts)
 gives quartiles; a document passes while each ratio lies within three
-interquartile ranges of them.  Groups under MIN_GROUP documents use the sketch merged
-over their language, then over all: sketches merge exactly, so no text is read again.
-Only documents that pass the base rule feed the sketches.
+interquartile ranges of them.  A group's quartiles are drawn towards those of its
+language, and these towards those of all documents, as if PRIOR documents more had
+had them: small groups lean on the larger one, and no size makes a jump.  Sketches
+merge exactly, so no text is read again.  Only documents that pass the base rule
+feed the sketches.
 
 Defined results: a null or empty text has no words and fails the base rule; null
 languages and sources are groups of their own; repeated rows are judged alike;
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 
 from trailmill.llm._frequent import coarse
 from trailmill.llm._scratch import written
-from trailmill.llm._tokens import SPACED, U64, chunks, mix, prefix_hash, range_hash, words_of
+from trailmill.llm._tokens import SPACED, U64, bytes_hash, chunks, mix, prefix_hash, words_of
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-MIN_GROUP = 200
+PRIOR = 200
 RANGES = 3
 #: Least interquartile range of a ratio, in thousandths: below it differences are noise.
 LEAST_RANGE = {"mean_length": 500, "symbols": 50, "dup_lines": 100, "repeats": 100}
@@ -50,7 +52,7 @@ def text_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     has_word = np.diff(np.searchsorted(w.start, np.concatenate([[0], line_end]))) > 0
     line_start, line_end = line_start[has_word], line_end[has_word]
     line_text = np.searchsorted(ends, line_start, side="right")
-    line_key = range_hash(prefix_hash(a), line_start, line_end) ^ mix(line_text.astype(U64))
+    line_key = bytes_hash(a, prefix_hash(a), line_start, line_end) ^ mix(line_text.astype(U64))
     _, first = np.unique(line_key, return_index=True)
     at, gram = w.grams(3)
     gram = gram ^ mix(w.doc[at].astype(U64))
@@ -138,14 +140,15 @@ def quartiles(sketch: DataFrame, group: list[str]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source) with a struct of low and high per ratio, of the group, its language or all."""
+    """(lang, source) with a struct of low and high per ratio, of the group, its language and all."""
     own = quartiles(sketch, ["lang", "source"])
     language = quartiles(sketch, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("ratio").alias("l_ratio"), F.struct("docs", "q1", "q3").alias("l"))
     total = quartiles(sketch, []).select(F.col("ratio").alias("t_ratio"), F.struct("docs", "q1", "q3").alias("t"))
     joined = own.join(language, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("ratio") == F.col("l_ratio"))).join(
         F.broadcast(total), F.col("ratio") == F.col("t_ratio")  # one row per ratio
     )
-    pick = lambda c: F.when(F.col("docs") >= MIN_GROUP, F.col(c)).when(F.col("l.docs") >= MIN_GROUP, F.col(f"l.{c}")).otherwise(F.col(f"t.{c}"))
+    drawn = lambda docs, own, to: f"({docs} * {own} + {PRIOR} * {to}) div ({docs} + {PRIOR})"
+    pick = lambda c: F.expr(drawn("docs", c, "(" + drawn("l.docs", f"l.{c}", f"t.{c}") + ")"))
     least = F.create_map(*[F.lit(x) for kv in LEAST_RANGE.items() for x in kv])
     spread = F.greatest(F.col("p3") - F.col("p1"), least[F.col("ratio")]) * RANGES
     fences = joined.select("lang", "source", "ratio", pick("q1").alias("p1"), pick("q3").alias("p3")).select(
@@ -208,7 +211,7 @@ _RATIO_SQL = """
 def _quartile_sql(name: str, group: str) -> str:
     g = group + ", " if group else ""
     return f"""{name} AS (
-  SELECT {g}ratio, max(all_n) AS docs, min(value) FILTER (upto * 4 >= all_n) AS q1, min(value) FILTER (upto * 4 >= all_n * 3) AS q3
+  SELECT {g}ratio, CAST(max(all_n) AS BIGINT) AS docs, min(value) FILTER (upto * 4 >= all_n) AS q1, min(value) FILTER (upto * 4 >= all_n * 3) AS q3
   FROM (SELECT {g}ratio, value, sum(n) OVER (PARTITION BY {g}ratio ORDER BY value) AS upto, sum(n) OVER (PARTITION BY {g}ratio) AS all_n
         FROM (SELECT {g}ratio, value, sum(n) AS n FROM sketch GROUP BY {g}ratio, value))
   GROUP BY {g}ratio)"""
@@ -244,8 +247,8 @@ WITH d AS (
 ), {_quartile_sql("own", "lang, source")}, {_quartile_sql("language", "lang")}, {_quartile_sql("total", "")},
 picked AS (
   SELECT o.lang, o.source, o.ratio,
-    CASE WHEN o.docs >= 200 THEN o.q1 WHEN l.docs >= 200 THEN l.q1 ELSE t.q1 END AS p1,
-    CASE WHEN o.docs >= 200 THEN o.q3 WHEN l.docs >= 200 THEN l.q3 ELSE t.q3 END AS p3,
+    (o.docs * o.q1 + 200 * ((l.docs * l.q1 + 200 * t.q1) // (l.docs + 200))) // (o.docs + 200) AS p1,
+    (o.docs * o.q3 + 200 * ((l.docs * l.q3 + 200 * t.q3) // (l.docs + 200))) // (o.docs + 200) AS p3,
     CASE o.ratio WHEN 'mean_length' THEN 500 WHEN 'symbols' THEN 50 ELSE 100 END AS least
   FROM own o JOIN language l ON o.lang IS NOT DISTINCT FROM l.lang AND o.ratio = l.ratio JOIN total t ON o.ratio = t.ratio
 ), fences AS (
