@@ -47,6 +47,8 @@ from trailmill.llm.components import components
 SHINGLE = 5
 #: Bits of the map that says which texts are asked for; more texts make it denser, not larger.
 BITS = 1 << 24
+#: Bits of the map that says which keys of prefixes occur more than once.
+KEY_BITS = 1 << 26
 #: Shingles, copies included, of a block that one task compares.
 MOST = 8_000_000
 FANOUT = 16
@@ -206,6 +208,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield done(ids, sets)
 
 
+def in_bitmap(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each signed hash is set in the packed bitmap."""
+    spot = hashes & (len(packed) * 8 - 1)
+    return (packed[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def asked_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(doc_id, text_hash, shingles) of the texts whose bit is set, so that only these are shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
@@ -213,8 +221,7 @@ def asked_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = sent.value
         for batch in batches:
-            spot = batch.column(1).to_numpy() & (len(packed) * 8 - 1)
-            batch = batch.filter(pa.array((packed[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)))
+            batch = batch.filter(pa.array(in_bitmap(packed, batch.column(1).to_numpy())))
             for first, texts in chunks(batch):
                 part, sets = batch.slice(first, len(texts)), shingle_sets(texts)
                 yield pa.RecordBatch.from_arrays(
@@ -226,8 +233,8 @@ def asked_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return rows.mapInArrow(sets_of, f"doc_id {kind}, text_hash long, shingles binary")
 
 
-def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to (key, set_a, n); a task emits equal sets once as far as it remembers."""
+def _emitted(batches: Iterator[pa.RecordBatch], packed: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Texts to (key, set_a, n), of keys that the bitmap lets through; a task emits equal sets once as far as it remembers."""
     seen: set[int] = set()
     for batch in batches:
         for _, part in chunks(batch):
@@ -242,21 +249,32 @@ def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.repeat(np.array(list(fresh), U64), lengths)
             sizes = np.repeat(np.array([len(s) for s in fresh.values()], np.int64), lengths)
             keys = np.concatenate(prefixes) if prefixes else np.zeros(0, U64)
+            if packed is not None:
+                asked = in_bitmap(packed, hex_free(keys))
+                keys, ids, sizes = keys[asked], ids[asked], sizes[asked]
             yield pa.RecordBatch.from_arrays([pa.array(hex_free(keys)), pa.array(hex_free(ids)), pa.array(sizes)], names=["key", "set_a", "n"])
 
 
-def prefix_keys(texts: DataFrame) -> DataFrame:
-    return texts.select("text").mapInArrow(_emitted, "key long, set_a long, n long")
+def prefix_keys(texts: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """(key, set_a, n); with bits, of keys of which the bit is set only."""
+    schema = "key long, set_a long, n long"
+    if bits is None:
+        return texts.select("text").mapInArrow(_emitted, schema)
+    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    return texts.select("text").mapInArrow(lambda batches: _emitted(batches, sent.value), schema)
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
+def shared_keys(docs: DataFrame) -> DataFrame:
     """(key, set_a, hub): keys by which sets can link, one key for equal groups of sets, stored.
 
-    Counting combines before its shuffle, and the joins by key are split where a
-    key is hot.  A set's own keys are bounded by its size.  Equal groups of sets
+    Keys are counted first; a bitmap of fixed size then keeps nearly all that occur
+    once from being shuffled with their sets.  Counting combines before its shuffle,
+    and the joins by key are split where a key is hot.  A set's own keys are bounded by its size.  Equal groups of sets
     are found by count and hash sums of their members.
     """
-    several = written(keys.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("df")).filter("df > 1"), "join-several")
+    counted = prefix_keys(docs).groupBy(F.col("key").alias("k")).agg(F.count("*").alias("df"))
+    several = written(counted.filter("df > 1"), "join-several")
+    keys = prefix_keys(docs, bitmap(several.select(F.col("k").alias("hash")), KEY_BITS))
     found = keys.join(several, F.col("key") == F.col("k")).select("set_a", "key", "n", "df")
     own = found.repartition(F.col("set_a")).groupBy("set_a", "key").agg(F.max("n").alias("n"), F.max("df").alias("df"))
     of_set = Window.partitionBy("set_a")
@@ -298,7 +316,7 @@ def set_links(docs: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
 
     An id stands for (set_a, set_b); ``known`` is what described() gives.
     """
-    shared = shared_keys(prefix_keys(docs))
+    shared = shared_keys(docs)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     firsts = known.filter("n > 0").groupBy("set_a", "set_b").agg(F.max("n").alias("n"), least)
     firsts = written(firsts.withColumn("id", F.xxhash64("set_a", "set_b")), "join-sets")
@@ -330,7 +348,7 @@ def joined(docs: DataFrame, most: int = MOST) -> DataFrame:
     rooted = written(
         per_set.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root")), "join-roots"
     )
-    names = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    names = written(rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")), "join-names")
     named = rooted.join(names, F.col("root") == F.col("r")).select(F.col("id").alias("named_id"), "component_id", "root")
     with_words = full.join(named, F.col("id") == F.col("named_id")).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "root")
     without = rows.filter("n = 0").select(
