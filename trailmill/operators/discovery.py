@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: 183 days, not six months; a gap of exactly that is rearmed.
 REARM = "INTERVAL '183' DAY"
 CLASSES = ("new", "cooled", "rearmed")
+#: Rings around a run that are near it.
+NEAR_RINGS = 4
 
 
 def _per_cell():
@@ -99,6 +101,12 @@ def parent_updates(classified: DataFrame, children: int) -> DataFrame:
     )
 
 
+def days_between(earlier: Column, later: Column) -> Column:
+    """Whole days of 24 hours that passed, not dates that changed."""
+    ms = F.unix_millis(later.cast("timestamp")) - F.unix_millis(earlier.cast("timestamp"))
+    return F.floor(ms / 86_400_000).cast("long")
+
+
 def day_number(at: Column) -> Column:
     """Days since 2020-01-01, 0 before it and at most 65535."""
     return F.greatest(F.lit(0), F.least(F.lit(65535), F.datediff(at, F.lit("2020-01-01").cast("date"))))
@@ -144,9 +152,11 @@ def rearm_soon(near: DataFrame, visits: DataFrame) -> DataFrame:
     ``near``: (user_id, activity_id, started_at, cell) around the run and not in
     it; a cell counts with its last visit at or before the run.
     """
-    last = visits.select(F.col("user_id").alias("s_user"), F.col("cell").alias("s_cell"), F.col("started_at").alias("s_at"))
-    seen = near.join(last, (F.col("user_id") == F.col("s_user")) & (F.col("cell") == F.col("s_cell")) & (F.col("s_at") <= F.col("started_at")))
-    latest = seen.groupBy("user_id", "activity_id", "started_at", "cell").agg(F.max("s_at").alias("last_run_at"))
+    seen = visits.select("user_id", F.lit(None).cast("long").alias("activity_id"), "started_at", "cell", F.col("started_at").alias("s_at"))
+    asked = near.select("user_id", "activity_id", "started_at", "cell", F.lit(None).cast("timestamp_ntz").alias("s_at"))
+    # As of each run: rows of one instant are peers of the frame, so a visit at the run's own start counts.
+    upto = Window.partitionBy("user_id", "cell").orderBy("started_at")
+    latest = seen.unionByName(asked).withColumn("last_run_at", F.max("s_at").over(upto)).filter("activity_id IS NOT NULL AND last_run_at IS NOT NULL")
     rearms = F.col("last_run_at") + F.expr(REARM)
     waiting = latest.filter(rearms >= F.col("started_at") + F.expr("INTERVAL '1' DAY"))
     first = waiting.groupBy("user_id", "activity_id").agg(F.min(F.struct("last_run_at", "cell")).alias("m"))

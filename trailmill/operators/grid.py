@@ -45,12 +45,18 @@ def neighbours(cell: Column) -> Column:
     return F.array_compact(F.array(*each))
 
 
+def disc(cell: Column, k: int) -> Column:
+    """Array of the cells of the grid within k steps, the cell itself included."""
+    q, r = cell % WIDTH, F.floor(cell / WIDTH).cast("long")
+    steps = [(dq, dr) for dq in range(-k, k + 1) for dr in range(-k, k + 1) if abs(dq + dr) <= k]
+    table = F.array(*[F.struct(F.lit(dq).alias("q"), F.lit(dr).alias("r")) for dq, dr in steps])
+    inside = F.filter(table, lambda s: (q + s["q"]).between(0, WIDTH - 1) & (r + s["r"]).between(0, HEIGHT - 1))
+    return F.transform(inside, lambda s: (r + s["r"]) * WIDTH + q + s["q"])
+
+
 def ring(cells: DataFrame, k: int, *keys: str) -> DataFrame:
     """The cells within k steps of those of each key, themselves included."""
-    out = cells
-    for _ in range(k):
-        out = out.select(*keys, F.explode(F.concat(F.array("cell"), neighbours(F.col("cell")))).alias("cell")).distinct()
-    return out
+    return cells.select(*keys, F.explode(disc(F.col("cell"), k)).alias("cell")).distinct()
 
 
 def near_cells(visits: DataFrame, k: int) -> DataFrame:

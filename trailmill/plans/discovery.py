@@ -29,7 +29,7 @@ def discovery_fold(spark, sf_dir):
 
 
 def visit_classes(spark, sf_dir):
-    return classified(spark, sf_dir).select("user_id", "activity_id", "cell", "class", F.datediff("started_at", "previous_at").cast("long").alias("days_since"))
+    return classified(spark, sf_dir).select("user_id", "activity_id", "cell", "class", d.days_between(F.col("previous_at"), F.col("started_at")).alias("days_since"))
 
 
 def award_totals(spark, sf_dir):
@@ -45,7 +45,7 @@ def parent_rollup(spark, sf_dir):
 
 
 def touched_parents(spark, sf_dir):
-    return d.touched_parents(visits(spark, sf_dir).filter("activity_id % 5 = 0"), LEVELS)
+    return d.touched_parents(visits(spark, sf_dir), LEVELS)
 
 
 def parent_updates(spark, sf_dir):
@@ -101,16 +101,17 @@ def run_classes(spark, sf_dir):
 
 def rearm_soon(spark, sf_dir):
     v = visits(spark, sf_dir)
-    return d.rearm_soon(grid.near_cells(v, 1), v)
+    return d.rearm_soon(grid.near_cells(v, d.NEAR_RINGS), v)
 
 
 def frontier_cells(spark, sf_dir):
-    cells = visits(spark, sf_dir).filter("cell % 3 <> 0").select("user_id", "cell").distinct()
+    """Of the ground of each run, which stands in for a user's."""
+    cells = visits(spark, sf_dir).select(F.col("activity_id").alias("user_id"), "cell")
     return grid.edge_cells(cells).groupBy("user_id").agg(F.count("*").alias("edge_cells"))
 
 
 def bridge_pairs(spark, sf_dir):
-    cells = visits(spark, sf_dir).filter("cell % 3 <> 0").select("user_id", "cell").distinct()
+    cells = visits(spark, sf_dir).select(F.col("activity_id").alias("user_id"), "cell")
     return grid.bridges(cells).select("user_id", F.col("cell").alias("a"), F.col("other").alias("b"))
 
 
@@ -138,7 +139,7 @@ def _state_of(where: str, name: str) -> str:
 
 ORACLE_SQL = {
     "discovery_fold": f"WITH {CLASSIFIED_SQL} SELECT user_id, activity_id, {_COUNTS} FROM classified GROUP BY user_id, activity_id",
-    "visit_classes": f"WITH {CLASSIFIED_SQL} SELECT user_id, activity_id, cell, class, date_diff('day', previous_at, started_at) AS days_since FROM classified",
+    "visit_classes": f"WITH {CLASSIFIED_SQL} SELECT user_id, activity_id, cell, class, (epoch_ms(started_at) - epoch_ms(previous_at)) // 86400000 AS days_since FROM classified",
     "award_totals": f"WITH {CLASSIFIED_SQL} SELECT user_id, {_COUNTS} FROM classified GROUP BY user_id",
     "cell_state": f"WITH {STATE_SQL} SELECT * FROM state",
     "parent_rollup": f"""WITH c AS (SELECT DISTINCT user_id, cell FROM ({VISITS_SQL}))
@@ -146,7 +147,7 @@ ORACLE_SQL = {
         SELECT user_id, CAST(res AS INT) AS res, size, cell // size AS parent, count(*) AS n
         FROM c, (VALUES (8, 7), (7, 49), (6, 343)) t(res, size) GROUP BY ALL)""",
     "touched_parents": f"""SELECT DISTINCT user_id, CAST(res AS INT) AS res, cell // size AS parent
-      FROM ({VISITS_SQL}), (VALUES (8, 7), (7, 49), (6, 343)) t(res, size) WHERE activity_id % 5 = 0""",
+      FROM ({VISITS_SQL}), (VALUES (8, 7), (7, 49), (6, 343)) t(res, size)""",
     "parent_updates": f"""WITH {CLASSIFIED_SQL} SELECT user_id, cell // 7 AS parent, count(*) FILTER (class = 'new') AS added,
       CAST(max(greatest(0, least(65535, date_diff('day', DATE '2020-01-01', started_at)))) AS INT) AS last_day FROM classified GROUP BY 1, 2""",
     "batch_against_state": f"""WITH visits AS ({VISITS_SQL}), s AS (SELECT user_id, cell, max(started_at) AS last_run_at FROM visits WHERE activity_id % 2 = 0 GROUP BY 1, 2)
@@ -178,20 +179,20 @@ ORACLE_SQL = {
       coalesce(string_agg(CAST(cell AS VARCHAR), ',' ORDER BY cell) FILTER (class = 'rearmed'), '') AS rearmed,
       coalesce(string_agg(strftime(previous_at, '%Y-%m-%d'), ',' ORDER BY cell) FILTER (class = 'rearmed'), '') AS rearmed_since
       FROM classified GROUP BY 1, 2""",
-    "rearm_soon": f"""WITH visits AS ({VISITS_SQL}), {NEIGHBOURS_SQL}, n AS (
+    "rearm_soon": f"""WITH visits AS ({VISITS_SQL}), offsets AS (SELECT dq, dr FROM range(-4, 5) a(dq), range(-4, 5) b(dr) WHERE abs(dq + dr) <= 4), n AS (
         SELECT DISTINCT user_id, activity_id, started_at, (cell // 20 + dr) * 20 + cell % 20 + dq AS cell FROM visits, offsets
         WHERE cell % 20 + dq BETWEEN 0 AND 19 AND cell // 20 + dr BETWEEN 0 AND 14),
       near AS (SELECT n.* FROM n ANTI JOIN visits v ON n.activity_id = v.activity_id AND n.cell = v.cell AND n.user_id = v.user_id),
-      latest AS (SELECT near.user_id, near.activity_id, near.started_at, near.cell, max(v.started_at) AS last_run_at
-        FROM near JOIN visits v ON near.user_id = v.user_id AND near.cell = v.cell AND v.started_at <= near.started_at GROUP BY 1, 2, 3, 4)
+      latest AS (SELECT near.user_id, near.activity_id, near.started_at, near.cell, v.started_at AS last_run_at
+        FROM near ASOF JOIN (SELECT DISTINCT user_id, cell, started_at FROM visits) v ON near.user_id = v.user_id AND near.cell = v.cell AND near.started_at >= v.started_at)
       SELECT user_id, activity_id, min_by(cell, (last_run_at, cell)) AS cell, min(last_run_at) + INTERVAL 183 DAY AS rearms_at
       FROM latest WHERE last_run_at + INTERVAL 183 DAY >= started_at + INTERVAL 1 DAY GROUP BY 1, 2""",
-    "frontier_cells": f"""WITH c AS (SELECT DISTINCT user_id, cell FROM ({VISITS_SQL}) WHERE cell % 3 <> 0), {NEIGHBOURS_SQL}
+    "frontier_cells": f"""WITH c AS (SELECT activity_id AS user_id, cell FROM ({VISITS_SQL})), {NEIGHBOURS_SQL}
       SELECT user_id, count(*) AS edge_cells FROM (
         SELECT DISTINCT c.user_id, c.cell FROM c, offsets
         WHERE cell % 20 + dq BETWEEN 0 AND 19 AND cell // 20 + dr BETWEEN 0 AND 14
           AND NOT EXISTS (SELECT 1 FROM c o WHERE o.user_id = c.user_id AND o.cell = (c.cell // 20 + dr) * 20 + c.cell % 20 + dq)) GROUP BY 1""",
-    "bridge_pairs": f"""WITH c AS (SELECT DISTINCT user_id, cell FROM ({VISITS_SQL}) WHERE cell % 3 <> 0), {NEIGHBOURS_SQL}
+    "bridge_pairs": f"""WITH c AS (SELECT activity_id AS user_id, cell FROM ({VISITS_SQL})), {NEIGHBOURS_SQL}
       SELECT c.user_id, c.cell AS a, o.cell AS b FROM c JOIN offsets ON true JOIN c o ON o.user_id = c.user_id AND o.cell = (c.cell // 20 + dr) * 20 + c.cell % 20 + dq
       WHERE c.cell % 20 + dq BETWEEN 0 AND 19 AND c.cell // 20 + dr BETWEEN 0 AND 14 AND o.cell > c.cell""",
 }

@@ -94,7 +94,7 @@ def cursor_codec(spark, sf_dir):
 
 def activity_ledger(spark, sf_dir):
     """Rows of a few runs of one user, in order."""
-    return ledger_entries(spark, sf_dir).filter("user_id = 4 AND activity_id BETWEEN 100 AND 900").select("activity_id", "line", "skill", "reason", "xp")
+    return ledger_entries(spark, sf_dir).select("user_id", "activity_id", "line", "skill", "reason", "xp")
 
 
 def skill_snapshot(spark, sf_dir):
@@ -173,7 +173,7 @@ ORACLE_SQL = {
       WHERE started_at <= '{SPLIT_AT}' AND status <> 'TOMBSTONED' GROUP BY 1, 2""",
     "cursor_codec": f"""WITH {_ACTIVE} SELECT activity_id, rtrim(replace(replace(base64(encode('{{"s":"' || strftime(started_at, '%Y-%m-%dT%H:%M:%SZ') || '","i":"' || activity_id || '"}}')), '+', '-'), '/', '_'), '=') AS cursor,
       activity_id AS back FROM a""",
-    "activity_ledger": f"WITH {_LEDGER} SELECT activity_id, line, skill, reason, xp FROM ledger WHERE user_id = 4 AND activity_id BETWEEN 100 AND 900",
+    "activity_ledger": f"WITH {_LEDGER} SELECT user_id, activity_id, line, skill, reason, xp FROM ledger",
     "skill_snapshot": f"WITH {_LEDGER}, {_STATE} SELECT user_id, string_agg(skill || '=' || xp, ';' ORDER BY skill || '=' || xp) AS skills, CAST(sum(xp) AS BIGINT) AS total FROM state GROUP BY 1",
     "ledger_audit": f"""WITH {_LEDGER}, f AS (SELECT activity_id, CAST(sum(xp) AS BIGINT) AS xp, count(*) AS n FROM ledger GROUP BY 1)
       SELECT activity_id, 'xp' AS field, xp + 1 AS stored, xp AS found FROM f WHERE activity_id % 97 = 0

@@ -131,7 +131,7 @@ def reconcile_floors(spark, sf_dir):
 
 def rescore_diff(spark, sf_dir):
     """Runs corrected to walks above a distance, rides to runs: how the ledger changes."""
-    a = activities(spark, sf_dir).filter("activity_id % 10 = 0")
+    a = activities(spark, sf_dir)
     fixed = a.withColumn("kind", F.when(F.col("kind") == "ride", "run").otherwise(F.col("kind"))).withColumn("distance_m", F.when(F.col("activity_id") % 20 == 0, F.col("distance_m") * 2).otherwise(F.col("distance_m")))
 
     def rated(rows):
@@ -241,7 +241,7 @@ ORACLE_SQL = {
         cells - least(cn, cells) - least(cr, cells - least(cn, cells)) - least(cooled, cells - least(cn, cells) - least(cr, cells - least(cn, cells))) AS deferred_cells FROM f""",
     "reconcile_floors": f"""WITH {LEDGER_SQL}, w AS (SELECT user_id, skill, sum(xp) AS xp, coalesce(sum(xp) FILTER (activity_id % 3 <> 0), 0) + coalesce(sum(xp) FILTER (activity_id % 9 = 0), 0) AS have FROM ledger GROUP BY 1, 2)
       SELECT user_id, skill, CAST(xp - have AS BIGINT) AS gap FROM w WHERE xp > have""",
-    "rescore_diff": f"""WITH {_BASE}, a10 AS (SELECT * FROM activities WHERE activity_id % 10 = 0),
+    "rescore_diff": f"""WITH {_BASE}, a10 AS (SELECT * FROM activities),
       fixed AS (SELECT * REPLACE (CASE WHEN kind = 'ride' THEN 'run' ELSE kind END AS kind, CASE WHEN activity_id % 20 = 0 THEN distance_m * 2 ELSE distance_m END AS distance_m) FROM a10),
       {scored_sql('SELECT * FROM a10', 'o_')}, {grounded_sql('o_', False)}, {scored_sql('SELECT * FROM fixed', 'f_')}, {grounded_sql('f_', False)},
       o AS (SELECT * FROM (SELECT activity_id || '#' || skill || '#' || reason || '#v5' AS id, units, units_effective, CAST(floor(units_effective * xp_per_unit + 0.5::DOUBLE) AS BIGINT) AS xp FROM o_grounded) WHERE xp > 0),
