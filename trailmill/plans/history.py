@@ -6,7 +6,7 @@ from trailmill.operators import chronicle as c
 from trailmill.operators import dedupe as d
 from trailmill.operators import discovery
 from trailmill.plans.discovery import CLASSIFIED_SQL, classified
-from trailmill.sources.tables import ACTIVITIES_SQL, RECORDINGS_SQL, activities, recordings
+from trailmill.sources.tables import STARTED_SQL, ACTIVITIES_SQL, RECORDINGS_SQL, activities, recordings
 
 #: A small sentence table of this engine's own; tables are data and any can be given.
 SENTENCES = [
@@ -93,7 +93,7 @@ QUERIES = {
 _REC = f"r AS (SELECT *, epoch_us(at_) // 1000000 AS s FROM ({RECORDINGS_SQL}))"
 _SAME = """abs(a.s - b.s) <= 300 AND abs(a.elapsed_s - b.elapsed_s) <= 300 AND (a.distance_m IS NULL OR b.distance_m IS NULL
   OR abs(a.distance_m - b.distance_m) <= greatest(100, 0.03::DOUBLE * greatest(a.distance_m, b.distance_m)))"""
-_OBJECTS = "o AS (SELECT o_orderkey % 500 AS activity, CAST(o_orderkey AS VARCHAR) AS key, date_trunc('month', o_orderdate) AS modified FROM orders)"
+_OBJECTS = f"o AS (SELECT o_orderkey % 500 AS activity, CAST(o_orderkey AS VARCHAR) AS key, date_trunc('month', {STARTED_SQL}) AS modified FROM orders)"
 _FACTS = f"""WITH {CLASSIFIED_SQL}, n AS (SELECT activity_id, count(*) FILTER (class = 'new') AS new_cells FROM classified GROUP BY 1), a AS ({ACTIVITIES_SQL}),
   runs AS (SELECT a.user_id, a.activity_id, a.started_at, epoch_us(a.started_at) AS t, coalesce(new_cells, 0) AS new_cells,
     CASE WHEN a.activity_id % 6 > 0 AND distance_m > 0 THEN distance_m END AS road FROM a LEFT JOIN n ON a.activity_id = n.activity_id),

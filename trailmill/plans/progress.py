@@ -51,7 +51,7 @@ def post_run_set(spark, sf_dir):
 
 def delta_chain(spark, sf_dir):
     """Users' sets by year as generations; a third of the users lack one of their deltas."""
-    v = visits(spark, sf_dir).withColumn("gen", F.year("started_at") - 1994)
+    v = visits(spark, sf_dir).withColumn("gen", F.year("started_at") - 2019)
     base = v.filter("gen <= 3").select("user_id", F.lit(3).alias("generation"), "cell").distinct()
     deltas = v.filter("gen > 3 AND NOT (user_id % 3 = 0 AND gen = 6)").select("user_id", (F.col("gen") - 1).alias("from_gen"), F.col("gen").alias("to_gen"), "cell").distinct()
     out = p.apply_deltas(base, deltas)
@@ -60,7 +60,7 @@ def delta_chain(spark, sf_dir):
 
 def reveal_order(spark, sf_dir):
     v = visits(spark, sf_dir)
-    cells = p.batch_reveal(v.filter("started_at < '1996-01-01'"), v).drop("n").distinct()
+    cells = p.batch_reveal(v.filter("started_at < '2021-01-01'"), v).drop("n").distinct()
     return p.reveal_order(cells.withColumns({"x": F.col("cell") % 20, "y": F.floor(F.col("cell") / 20)})).withColumn("arc", F.round("arc", 9)).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -68,7 +68,7 @@ def _states(spark, sf_dir):
     """Per user and skill the xp of all and of all but recent runs; the last skill is new, the fourth not counted for odd users."""
     rows = ledger_entries(spark, sf_dir).filter("reason <> 'floor'")
     sums = rows.groupBy("user_id", "skill").agg(
-        F.greatest(F.lit(0), F.sum(F.when(F.col("started_at") < F.lit("1998-01-01").cast("timestamp_ntz"), F.col("xp")).otherwise(0))).cast("long").alias("xp_before"),
+        F.greatest(F.lit(0), F.sum(F.when(F.col("started_at") < F.lit("2023-01-01").cast("timestamp_ntz"), F.col("xp")).otherwise(0))).cast("long").alias("xp_before"),
         F.greatest(F.lit(0), F.sum("xp")).cast("long").alias("xp_after"),
     )
     return sums.withColumns({
@@ -133,7 +133,7 @@ _CLUSTERS = f"""{_V}, n AS (SELECT user_id, max(started_at) AS now, user_id * 13
   g AS (SELECT user_id, parent, lat, lng, (parent * 7 + 3) // 20 * 0.01::DOUBLE AS plat, (parent * 7 + 3) % 20 * 0.01::DOUBLE AS plng, avg(w::DOUBLE) AS novelty FROM w GROUP BY ALL),
   m AS (SELECT *, 2 * 6371008.8 * asin(least(1, sqrt(sin(radians(plat - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(plat)) * sin(radians(plng - lng) / 2) ** 2))) AS m,
     (degrees(atan2(sin(radians(plng - lng)) * cos(radians(plat)), cos(radians(lat)) * sin(radians(plat)) - sin(radians(lat)) * cos(radians(plat)) * cos(radians(plng - lng)))) + 360) % 360 AS bearing FROM g)"""
-_STATES = f"""{_L}, st AS (SELECT user_id, skill, CAST(greatest(0, sum(CASE WHEN started_at < '1998-01-01' THEN xp ELSE 0 END)) AS BIGINT) AS xp_before, CAST(greatest(0, sum(xp)) AS BIGINT) AS xp_after,
+_STATES = f"""{_L}, st AS (SELECT user_id, skill, CAST(greatest(0, sum(CASE WHEN started_at < '2023-01-01' THEN xp ELSE 0 END)) AS BIGINT) AS xp_before, CAST(greatest(0, sum(xp)) AS BIGINT) AS xp_after,
     skill = 'roving' OR (skill = 'constitution' AND user_id % 2 = 1) AS minted FROM l GROUP BY 1, 2),
   lv AS (SELECT *, {_LEVEL('st.xp_before')} AS from_level, {_LEVEL('st.xp_after')} AS to_level FROM st),
   tot AS (SELECT user_id, CAST(sum(from_level) - count(*) FILTER (minted) AS BIGINT) AS before, CAST(sum(to_level) - count(*) FILTER (minted) AS BIGINT) AS after FROM lv GROUP BY 1)"""
@@ -147,10 +147,10 @@ ORACLE_SQL = {
     "pre_run_set": f"""WITH {_V}, last AS (SELECT user_id, arg_max(activity_id, (started_at, activity_id)) AS activity_id FROM v GROUP BY 1)
       SELECT user_id, cell FROM v EXCEPT SELECT v.user_id, cell FROM v JOIN last ON v.user_id = last.user_id AND v.activity_id = last.activity_id""",
     "post_run_set": f"WITH {_V} SELECT user_id, count(DISTINCT cell) AS cells FROM v GROUP BY 1",
-    "delta_chain": f"""WITH {_V}, g AS (SELECT *, year(started_at) - 1994 AS gen FROM v), r AS (SELECT user_id, max(gen) AS top FROM g WHERE NOT (user_id % 3 = 0 AND gen = 6) GROUP BY 1),
+    "delta_chain": f"""WITH {_V}, g AS (SELECT *, year(started_at) - 2019 AS gen FROM v), r AS (SELECT user_id, max(gen) AS top FROM g WHERE NOT (user_id % 3 = 0 AND gen = 6) GROUP BY 1),
       e AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN least(5, top) ELSE top END AS reached, NOT (user_id % 3 = 0 AND top > 5) AS complete FROM r)
       SELECT user_id, CAST(reached AS BIGINT) AS generation, complete, count(DISTINCT cell) AS cells FROM g JOIN e USING (user_id) WHERE gen <= reached GROUP BY ALL""",
-    "reveal_order": f"""WITH {_V}, c AS (SELECT user_id, cell FROM v EXCEPT SELECT user_id, cell FROM v WHERE started_at < '1996-01-01'),
+    "reveal_order": f"""WITH {_V}, c AS (SELECT user_id, cell FROM v EXCEPT SELECT user_id, cell FROM v WHERE started_at < '2021-01-01'),
       w AS (SELECT user_id, cell, round((cell % 20 - avg(cell % 20) OVER u) * (cell % 20 - avg(cell % 20) OVER u) + (cell // 20 - avg(cell // 20) OVER u) * (cell // 20 - avg(cell // 20) OVER u), 9) AS away, count(*) OVER u AS n FROM c WINDOW u AS (PARTITION BY user_id)),
       k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY away, cell) AS rank FROM w)
       SELECT user_id, cell, rank, CASE WHEN n > 1 THEN round((rank - 1) / (n - 1)::DOUBLE, 9) ELSE 0 END AS arc FROM k""",

@@ -7,7 +7,7 @@ from trailmill.operators.rules import MILESTONES, exercises, exercises_sql, rule
 from trailmill.operators.scoring import level_for_xp
 from trailmill.sources.tables import ACTIVITIES_SQL, LEDGER_SQL, activities, ledger_entries
 
-SPLIT_AT = "1998-01-01"
+SPLIT_AT = "2023-01-01"
 
 
 def _states(ledger, where="true"):
@@ -77,7 +77,7 @@ def first_traced_run(spark, sf_dir):
 
 
 def keyset_page(spark, sf_dir):
-    at = F.lit("1998-06-01").cast("timestamp_ntz")
+    at = F.lit("2023-06-01").cast("timestamp_ntz")
     return r.keyset_page(activities(spark, sf_dir), 3, at, 7000).select("started_at", "activity_id", "kind", "has_trace")
 
 
@@ -168,7 +168,7 @@ ORACLE_SQL = {
       SELECT user_id, min_by(activity_id, place) AS activity_id FROM p WHERE place <= 20 AND has_trace AND status <> 'TOMBSTONED' GROUP BY 1""",
     "first_traced_run": f"WITH {_ACTIVE} SELECT user_id, min(started_at) AS started_at, min_by(activity_id, (started_at, activity_id)) AS activity_id FROM a WHERE has_trace AND status <> 'TOMBSTONED' GROUP BY 1",
     "keyset_page": f"""WITH {_ACTIVE} SELECT started_at, activity_id, kind, has_trace FROM a
-      WHERE user_id = 3 AND (started_at < '1998-06-01' OR (started_at = '1998-06-01' AND activity_id < 7000)) ORDER BY started_at DESC, activity_id DESC LIMIT 50""",
+      WHERE user_id = 3 AND (started_at < '2023-06-01' OR (started_at = '2023-06-01' AND activity_id < 7000)) ORDER BY started_at DESC, activity_id DESC LIMIT 50""",
     "history_upto": f"""WITH {_ACTIVE} SELECT user_id, kind, count(*) AS runs, round(sum(distance_m) / 1000, 2) AS km FROM a
       WHERE started_at <= '{SPLIT_AT}' AND status <> 'TOMBSTONED' GROUP BY 1, 2""",
     "cursor_codec": f"""WITH {_ACTIVE} SELECT activity_id, rtrim(replace(replace(base64(encode('{{"s":"' || strftime(started_at, '%Y-%m-%dT%H:%M:%SZ') || '","i":"' || activity_id || '"}}')), '+', '-'), '/', '_'), '=') AS cursor,

@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Orders bear dates only; as starts of activities they are moved 25 years on and get hours and minutes.
+STARTED_SQL = "o_orderdate + to_days(9131) + to_hours(CAST(o_orderkey % 24 AS INT)) + to_minutes(CAST(o_orderkey % 60 AS INT))"
+
+
+def started_at():
+    return F.expr("o_orderdate + make_dt_interval(9131, CAST(o_orderkey % 24 AS INT), CAST(o_orderkey % 60 AS INT), 0)")
+
+
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, activity_id, started_at, kind, has_trace, source, distance_m, status)"""
     kind = F.element_at(
@@ -23,7 +31,7 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         (F.col("o_custkey") % 20).alias("user_id"),
         F.col("o_orderkey").alias("activity_id"),
-        F.col("o_orderdate").alias("started_at"),
+        started_at().alias("started_at"),
         kind.alias("kind"),
         (F.col("o_orderstatus") == "F").alias("has_trace"),
         F.when(F.col("o_orderkey") % 3 == 0, "manual").otherwise("watch").alias("source"),
@@ -33,8 +41,8 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same in SQL, for the oracle queries.
-ACTIVITIES_SQL = """
-  SELECT o_custkey % 20 AS user_id, o_orderkey AS activity_id, o_orderdate AS started_at,
+ACTIVITIES_SQL = f"""
+  SELECT o_custkey % 20 AS user_id, o_orderkey AS activity_id, {STARTED_SQL} AS started_at,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'run' WHEN '2-HIGH' THEN 'ride' WHEN '3-MEDIUM' THEN 'strength'
       WHEN '4-NOT SPECIFIED' THEN 'walk' WHEN '5-LOW' THEN 'other' END AS kind,
     o_orderstatus = 'F' AS has_trace, CASE WHEN o_orderkey % 3 = 0 THEN 'manual' ELSE 'watch' END AS source,
@@ -53,8 +61,8 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.join(lines, F.col("activity_id") == F.col("l_orderkey")).select("user_id", "activity_id", "started_at", "cell").distinct()
 
 
-VISITS_SQL = """
-  SELECT DISTINCT o_custkey % 20 AS user_id, o_orderkey AS activity_id, o_orderdate AS started_at, l_partkey % 300 AS cell
+VISITS_SQL = f"""
+  SELECT DISTINCT o_custkey % 20 AS user_id, o_orderkey AS activity_id, {STARTED_SQL} AS started_at, l_partkey % 300 AS cell
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
 
 
@@ -119,8 +127,8 @@ def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEDGER_SKILLS = ("wayfaring", "might", "cartography", "constitution", "roving")
 
-LEDGER_SQL = """
-  SELECT o_custkey % 20 AS user_id, o_orderkey AS activity_id, o_orderdate AS started_at, l_linenumber AS line,
+LEDGER_SQL = f"""
+  SELECT o_custkey % 20 AS user_id, o_orderkey AS activity_id, {STARTED_SQL} AS started_at, l_linenumber AS line,
     ['wayfaring', 'might', 'cartography', 'constitution', 'roving'][l_suppkey % 5 + 1] AS skill,
     CASE WHEN l_linenumber = 7 THEN 'floor' WHEN l_returnflag = 'A' THEN 'new_ground' WHEN l_returnflag = 'N' THEN 'distance' ELSE 'duration' END AS reason,
     CAST(floor(l_quantity * 7) AS BIGINT) - 30 AS xp, CASE WHEN l_linenumber % 3 = 0 THEN 4 ELSE 5 END AS rules_version
