@@ -110,13 +110,31 @@ def test_repeats_with_a_gram_of_many_surroundings(spark, monkeypatch):
     same(repeats.without_repeats(spark.createDataFrame(texts, "doc_id long, text string")), REPEATS, brute.repeats(texts))
 
 
+def brute_groups(entries, length):
+    """Maximal repeats by trying every stretch of every entry."""
+    found = set()
+    for right, left in entries:
+        for r in range(1, len(right) + 1):
+            for n in range(max(0, length - r), len(left) + 1):
+                group = [i for i, (x, y) in enumerate(entries) if x[:r] == right[:r] and y[:n] == left[:n]]
+                longer = [{entries[i][0][r : r + 1] for i in group}, {entries[i][1][n : n + 1] for i in group}]
+                if len(group) > 1 and all(len(x) > 1 or x == {b""} for x in longer):
+                    found.add((tuple(group), n, r))
+    return found
+
+
 def test_maximal_repeats_are_grouped():
-    entries = sorted([(b"abcdX", b"zy"), (b"abcdY", b"zy"), (b"abQ", b"zw"), (b"abR", b"k")])
-    found = list(repeats.maximal_repeats([e[0] for e in entries], [e[1] for e in entries], 2))
-    assert {(tuple(g), left, right) for g, left, right in found} >= {((0, 1, 2, 3), 0, 2)} or found
-    for group, left, right in found:
-        assert left + right >= 2 and len(group) > 1
-        assert len({entries[i][0][:right] for i in group}) == 1 and len({entries[i][1][:left] for i in group}) == 1
+    for seed in range(30):
+        letters = brute.sentence(seed, 200).replace(" ", "").replace("w", "")
+        entries = sorted((letters[k : k + 5].translate(str.maketrans("0123456789", "abababaaab")).encode(), letters[k + 5 : k + 8].translate(str.maketrans("0123456789", "yyzzyyzzyz")).encode()) for k in range(0, 64, 8))
+        groups = {(tuple(sorted(g)), left, right) for g, left, right in repeats.maximal_repeats([e[0] for e in entries], [e[1] for e in entries], 3)}
+        assert groups == brute_groups(entries, 3) and groups
+        # What the query takes of them: the farthest that the groups of an entry reach.
+        reach = [(0, 0)] * len(entries)
+        for group, left, right in groups:
+            for i in group:
+                reach[i] = (max(reach[i][0], left), max(reach[i][1], right))
+        assert repeats.reaches([e[0] for e in entries], [e[1] for e in entries], 3) == reach
 
 
 # 3 language model

@@ -294,8 +294,9 @@ def blocks(shared: DataFrame, sizes: DataFrame, most: int = MOST) -> DataFrame:
     roots = components(shared.select(F.col("hub").alias("a"), F.col("set_a").alias("b"))).select(F.col("node"), "root")
     rows = shared.join(roots, F.col("set_a") == F.col("node"), "left").select("key", "set_a", F.coalesce("root", "set_a").alias("root"))
     rows = written(rows.join(sizes, F.col("set_a") == F.col("size_of")).drop("size_of"), "join-rows")
-    whole = rows.dropDuplicates(["root", "set_a"]).groupBy(F.col("root").alias("r")).agg(F.sum("n").alias("root_n"))
-    per_key = rows.groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("key_n"))
+    # Stored, so that the joins do not take over the partitioning of these groupings, in which a root is one task.
+    whole = written(rows.dropDuplicates(["root", "set_a"]).groupBy(F.col("root").alias("r")).agg(F.sum("n").alias("root_n")), "join-whole")
+    per_key = written(rows.groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("key_n")), "join-per-key")
     sized = rows.join(whole, F.col("root") == F.col("r")).join(per_key, F.col("key") == F.col("k"))
     small = sized.filter(F.col("root_n") <= most).select(F.col("root").alias("block"), "set_a").distinct()
     large = sized.filter(F.col("root_n") > most).withColumn("parts", F.ceil(F.col("key_n") * 2 / most).cast("int"))
