@@ -78,9 +78,9 @@ def test_stages_on_driver_documents(spark):
 
 
 def test_stages_on_awkward_rows(spark, tmp_path):
-    """Nulls, repeated rows, clashing columns, and a text of ten megabytes."""
-    long_text = "\n".join(" ".join(f"u{k}" for k in range(n, n + 100)) for n in range(0, 1_100_000, 100))
-    assert len(long_text) > 8_000_000
+    """Nulls, repeated rows, clashing columns, and a text of five megabytes."""
+    long_text = "\n".join(" ".join(f"w{k % 1000} w{k // 1000}" for k in range(n, n + 100)) for n in range(0, 550_000, 100))
+    assert len(long_text) > 5_000_000
     given = [*brute.awkward_rows(), (900, long_text, "en", "web", len(long_text), *brute.EXTRA)]
     docs = written(spark, tmp_path, given, brute.SCHEMA)
     steps = chain(spark, docs.filter("doc_id IS NULL OR doc_id <> 900"), str(tmp_path))
