@@ -60,10 +60,15 @@ def ring(cells: DataFrame, k: int, *keys: str) -> DataFrame:
 
 
 def near_cells(visits: DataFrame, k: int) -> DataFrame:
-    """Cells within k steps of a run's and not among them."""
+    """Cells within k steps of a run's and not among them.
+
+    Rings are made once per distinct cell.  A run's own cells are one array,
+    which its length bounds, so that the cells to leave out need no join.
+    """
     keys = ("user_id", "activity_id", "started_at")
-    around = ring(visits.select(*keys, "cell"), k, *keys)
-    return around.join(visits.select("user_id", "activity_id", "cell"), ["user_id", "activity_id", "cell"], "left_anti").select(*keys, "cell")
+    rings = visits.select("cell").distinct().select(F.col("cell").alias("of"), disc(F.col("cell"), k).alias("ring"))
+    runs = visits.join(rings, F.col("cell") == F.col("of")).groupBy(*keys).agg(F.collect_set("cell").alias("own"), F.flatten(F.collect_list("ring")).alias("around"))
+    return runs.select(*keys, F.explode(F.array_except("around", "own")).alias("cell"))
 
 
 def edge_cells(cells: DataFrame) -> DataFrame:

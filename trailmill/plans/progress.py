@@ -10,7 +10,7 @@ from trailmill.plans.scoring import LEVEL_SQL
 from trailmill.sources.tables import LEDGER_SKILLS, LEDGER_SQL, VISITS_SQL, ledger_entries, table, visits
 
 WEIGHTS = {"new": 1.0, "rearmed": 0.6, "recent": 0.1}
-LADDER = (50, 60, 70, 75, 80, 90, 100)
+LADDER = tuple(range(20, 480, 4))
 
 
 def _clusters(spark, sf_dir):
