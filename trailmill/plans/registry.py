@@ -1,7 +1,7 @@
 """All queries of the engine's own operators, by name, with their SQL."""
 
-from trailmill.plans import discovery, history, intake, progress, reads, recount, scoring, stream, trace
+from trailmill.plans import discovery, history, intake, places, progress, reads, recount, scoring, stream, trace
 
-MODULES = (discovery, scoring, trace, reads, history, stream, intake, progress, recount)
+MODULES = (discovery, scoring, trace, reads, history, stream, intake, progress, recount, places)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
