@@ -78,3 +78,31 @@ def new_share(awards: DataFrame) -> DataFrame:
     """Adds the part of a run's cells that was new, 0 without cells."""
     cells = F.col("new_cells") + F.col("cooled_cells") + F.col("rearmed_cells")
     return awards.withColumn("new_share", F.coalesce(F.try_divide("new_cells", cells), F.lit(0.0)))
+
+
+def update_plan(since: Column, generation: Column, deltas_from: Column) -> Column:
+    """How a map that has the set of ``since`` (0: none) gets that of ``generation`` (null: there is none): nothing, deltas, or the whole."""
+    return (
+        F.when(generation.isNull(), "empty")
+        .when((since > 0) & (since == generation), "up-to-date")
+        .when((since > 0) & since.between(deltas_from, generation - 1), "delta")
+        .otherwise("full")
+    )
+
+
+def merged_holds(a: Column, b: Column) -> Column:
+    """Two holds (pending boolean, cells array or null) as one: pending if one is, else the cells of both; none is null and an empty one yields."""
+    cells = F.when(a["cells"].isNull() | ((F.size(a["cells"]) == 0) & (F.size(b["cells"]) > 0)), b["cells"]).when(F.size(b["cells"]) > 0, F.array_union(a["cells"], b["cells"])).otherwise(a["cells"])
+    pending = a["pending"] | b["pending"]
+    return F.struct(pending.alias("pending"), F.when(~pending, cells).alias("cells"))
+
+
+def rate_pair(header: Column) -> Column:
+    """(quarter, day) of a header like "100,1000"; null for anything else."""
+    part = lambda k: F.regexp_extract(header, r"^\s*(\d+)\s*,\s*(\d+)\s*$", k).cast("long")
+    return F.when(header.rlike(r"^\s*\d+\s*,\s*\d+\s*$"), F.struct(part(1).alias("quarter"), part(2).alias("day")))
+
+
+def next_boundary(at_ms: Column, every_ms: int) -> Column:
+    """The first multiple of ``every_ms`` after an instant: quarter hours, midnights of UTC."""
+    return (F.floor(at_ms / every_ms) + 1) * every_ms

@@ -145,11 +145,36 @@ def new_shares(spark, sf_dir):
     return a.select("activity_id", F.round("new_share", 6).alias("new_share"))
 
 
+def update_plans(spark, sf_dir):
+    k = F.col("o_orderkey")
+    generation = F.when(k % 13 > 0, k % 40 + 1)
+    plan = v.update_plan(k % 43, generation, F.greatest(F.lit(0), generation - 20))
+    return table(spark, sf_dir, "orders").select("o_orderkey", plan.alias("plan"))
+
+
+def merged_holds(spark, sf_dir):
+    k = F.col("o_orderkey")
+
+    def hold(n, pending):
+        cells = F.when(n == 1, F.array().cast("array<bigint>")).when(n > 1, F.array(n, n + k % 3 + 1, n + 9))
+        return F.struct((k % pending == 0).alias("pending"), cells.alias("cells"))
+
+    rows = table(spark, sf_dir, "orders").withColumn("held", v.merged_holds(hold(k % 5, 17), hold(F.floor(k / 5) % 6, 19)))
+    return rows.select("o_orderkey", "held.pending", F.array_join(F.sort_array("held.cells"), ",").alias("cells"))
+
+
+def rate_status(spark, sf_dir):
+    e, at = F.col("event_id"), F.unix_millis(F.col("ts").cast("timestamp"))
+    header = F.when(e % 7 == 0, "100").when(e % 11 == 0, None).otherwise(F.concat((e % 100).cast("string"), F.lit(" , "), (e % 1000).cast("string")))
+    rows = table(spark, sf_dir, "events").select("event_id", v.rate_pair(header).alias("p"), v.next_boundary(at, 900_000).alias("next_quarter"), v.next_boundary(at, 86_400_000).alias("next_midnight"))
+    return rows.select("event_id", F.col("p.quarter").alias("used_quarter"), F.col("p.day").alias("used_day"), "next_quarter", "next_midnight")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         nearest_places, prominent_places, run_regions, streets_returned, ground_metres, walk_parts, walk_lines, walk_samples, walk_simplified, track_files, walk_ends,
-        score_keys, home_map, reads_by_id, row_windows, logged_shares, backfill_cursors, new_shares,
+        score_keys, home_map, reads_by_id, row_windows, logged_shares, backfill_cursors, new_shares, update_plans, merged_holds, rate_status,
     )
 }
 
@@ -176,6 +201,13 @@ def _stepped(source: str, *keys: str) -> str:
 _SPEED = "CASE WHEN sec > 0 THEN m / sec WHEN m > 0 THEN 'infinity'::DOUBLE WHEN m IS NOT NULL THEN 0 END"
 
 ORACLE_SQL = {
+    "update_plans": """WITH g AS (SELECT o_orderkey, o_orderkey % 43 AS since, CASE WHEN o_orderkey % 13 > 0 THEN o_orderkey % 40 + 1 END AS gen FROM orders)
+      SELECT o_orderkey, CASE WHEN gen IS NULL THEN 'empty' WHEN since = gen THEN 'up-to-date' WHEN since > 0 AND since >= gen - 20 AND since < gen THEN 'delta' ELSE 'full' END AS plan FROM g""",
+    "merged_holds": """WITH n AS (SELECT o_orderkey AS k, o_orderkey % 5 AS x, o_orderkey // 5 % 6 AS y FROM orders),
+      h AS (SELECT k, k % 17 = 0 OR k % 19 = 0 AS pending, CASE WHEN x = 1 THEN [] WHEN x > 1 THEN [x, x + k % 3 + 1, x + 9] END AS a, CASE WHEN y = 1 THEN [] WHEN y > 1 THEN [y, y + k % 3 + 1, y + 9] END AS b FROM n)
+      SELECT k AS o_orderkey, pending, CASE WHEN NOT pending AND (a IS NOT NULL OR b IS NOT NULL) THEN array_to_string(list_sort(list_distinct(coalesce(a, []) || coalesce(b, []))), ',') END AS cells FROM h""",
+    "rate_status": """SELECT event_id, CASE WHEN event_id % 7 > 0 AND event_id % 11 > 0 THEN event_id % 100 END AS used_quarter, CASE WHEN event_id % 7 > 0 AND event_id % 11 > 0 THEN event_id % 1000 END AS used_day,
+      (epoch_ms(ts) // 900000 + 1) * 900000 AS next_quarter, (epoch_ms(ts) // 86400000 + 1) * 86400000 AS next_midnight FROM events""",
     "nearest_places": f"""WITH {_PLACES}, p AS ({POINTS_SQL}), n AS (SELECT user_id, seq, name, round(sqrt(((plng - lng) * cos(radians(lat))) ** 2 + (plat - lat) ** 2) * 111320, 3) AS m
         FROM p JOIN places ON plat BETWEEN lat - 0.03 AND lat + 0.03)
       SELECT user_id, seq, min_by(name, (m, name)) AS name, round(min(m), 1) AS m FROM n WHERE m <= 2500 GROUP BY 1, 2""",
