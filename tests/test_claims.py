@@ -33,7 +33,7 @@ def test_a_claim_is_stale_only_after_its_time():
 
 
 def test_stream_like_batch_with_timers(spark, tmp_path):
-    """Two batches of requests; with timers there are more batches without any, so the test waits for its rows and stops."""
+    """Two batches of requests; with timers there are more batches without any, so the test waits for all its rows and stops."""
     pytest.importorskip("google.protobuf")
     settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": "1"}
     before = {k: spark.conf.get(k) for k in settings}
@@ -47,7 +47,7 @@ def test_stream_like_batch_with_timers(spark, tmp_path):
     try:
         found = []
         until = time.time() + 60
-        while time.time() < until and query.isActive and "STALE" not in [r["status"] for r in found]:
+        while time.time() < until and query.isActive and not (len(found) > len(REQUESTS) and "STALE" in [r["status"] for r in found] and max(r["seq"] or 0 for r in found) == len(REQUESTS)):
             time.sleep(1)
             found = spark.table("receipts").collect()
     finally:
