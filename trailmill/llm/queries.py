@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL where SQL can express them."""
 
-from trailmill.llm import decontaminate, line_dedup, lm_score, mixing, page_text, quality, repeats, sharding, shingle_join, token_counts
+from trailmill.llm import decontaminate, line_dedup, lm_score, mixing, page_text, quality, repeats, resampling, sharding, shingle_join, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_quality": quality.op10_quality,
+    "op13_resampling": resampling.op13_resampling,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_quality": quality.OP10_SQL,
+    "op13_resampling": resampling.OP13_SQL,
 }
