@@ -33,27 +33,34 @@ SHARE = 25
 LEAST_WORDS = 20
 SEED = 7
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, in either case.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Words in the text's own case; splitting costs a fifth of extracting, and words are lowered one by one."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
-def features(words: Column) -> Column:
-    """All words, then all runs of two; the last word has no second and gives null."""
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, pairs)
+def lowered(word: Column) -> Column:
+    """A-Z only; Spark's own lower() does that to texts without other letters."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
-def bucket(feature: Column, buckets: int) -> Column:
-    return F.crc32(feature) % buckets
+def exploded(rows: DataFrame, buckets: int) -> DataFrame:
+    """One row per feature of the array ``words``, with its ``bucket``: each word and it with the one after; null where there is none."""
+    names = [c for c in rows.columns if c != "words"]
+    after = F.slice("words", F.lit(2), F.size("words"))
+    pairs = rows.select(*names, F.inline_outer(F.arrays_zip("words", after)).alias("word", "next"))
+    low = pairs.select(*names, lowered(F.col("word")).alias("word"), lowered(F.col("next")).alias("next"))
+    both = F.array(F.crc32("word"), F.crc32(F.concat("word", F.lit(" "), "next")))
+    return low.select(*names, F.explode(both).alias("crc")).select(*names, (F.col("crc") % buckets).alias("bucket"))
 
 
 def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n) of the features of all texts, summed in each task before they are sent."""
-    one = texts.select(F.explode(features(words(F.col("text")))).alias("feature")).filter("feature IS NOT NULL")
-    return one.groupBy(bucket(F.col("feature"), buckets).alias("bucket")).agg(F.count("*").alias("n"))
+    one = exploded(texts.select(words(F.col("text")).alias("words")), buckets)
+    return one.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -74,12 +81,11 @@ def weighed(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataF
     cut = docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words")
     )
-    one = cut.select("row", "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.explode_outer(features(F.col("words"))).alias("feature"))
-    placed = one.withColumn("bucket", bucket(F.col("feature"), buckets))
+    one = exploded(cut.withColumn("n_words", F.size("words").cast("long")), buckets)
     # BUCKETS rows at most, whatever the data.
-    met = placed.join(F.broadcast(gains(docs, target, buckets)), F.col("bucket") == F.col("gain_bucket"), "left")
+    met = one.join(F.broadcast(gains(docs, target, buckets)), F.col("bucket") == F.col("gain_bucket"), "left")
     summed = met.groupBy("row", "doc_id", "text_hash", "n_words").agg(
-        F.count("feature").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("total")
+        F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("total")
     )
     mean = F.expr("(total - pmod(total, greatest(n_features, 1L))) div greatest(n_features, 1L)")
     return summed.select("doc_id", "text_hash", "n_words", "n_features", mean.alias("weight"))
