@@ -109,6 +109,22 @@ POINTS_SQL = """
   FROM events"""
 
 
+def trails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, seq, t_ms, lat, lng, accuracy): the same points walked in seconds and metres, so that ground is crossed and crossed again."""
+    base = lambda of: (F.col("user_id") * of % 360 - 180).cast("double")
+    p = points(spark, sf_dir)
+    lat0, lng0 = (F.col("user_id") % 140 - 70).cast("double"), base(7)
+    return p.select(
+        "user_id", "seq", F.floor(F.col("t_ms") / 2000).alias("t_ms"),
+        (lat0 + (F.col("lat") - lat0) * 0.02).alias("lat"), (lng0 + (F.col("lng") - lng0) * 0.02).alias("lng"), (F.col("accuracy") / 4).alias("accuracy"),
+    )
+
+
+TRAILS_SQL = f"""
+  SELECT user_id, seq, t_ms // 2000 AS t_ms, lat0 + (lat - lat0) * 0.02::DOUBLE AS lat, lng0 + (lng - lng0) * 0.02::DOUBLE AS lng, accuracy / 4 AS accuracy
+  FROM (SELECT *, CAST(user_id % 140 - 70 AS DOUBLE) AS lat0, CAST(user_id * 7 % 360 - 180 AS DOUBLE) AS lng0 FROM ({POINTS_SQL}))"""
+
+
 def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, activity_id, started_at, line, skill, reason, xp, rules_version): order lines as rows of a ledger, the seventh of an order a floor."""
     skill = F.element_at(F.array(*map(F.lit, LEDGER_SKILLS)), (F.col("l_suppkey") % 5 + 1).cast("int"))
