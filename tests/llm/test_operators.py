@@ -276,6 +276,49 @@ def test_pages_keep_text_beside_and_inside_named_containers(spark):
     assert found[9] == f"Go on: {rare}".strip()
 
 
+TEMPLATES = {
+    "article": '<body><header>{junk}</header><nav>{junk}</nav><article><h1>{head}</h1>{text}</article><footer>{junk}</footer></body>',
+    "comments outweigh": '<body><div class="post"><h1>{head}</h1>{text}</div><div class="comments">{long}</div></body>',
+    "comments inside": '<body><article><h1>{head}</h1>{text}<section id="comments">{long}</section></article></body>',
+    "comment threads": '<body><main><h1>{head}</h1>{text}</main><ol class="comment-list"><li class="comment">{long}</li></ol><div id="disqus_thread">{long}</div></body>',
+    "hyphenated names": '<body><article><h1>{head}</h1><div class="ad-free-note share-price">{text}</div></article><div class="ad-slot">{junk}</div></body>',
+    "state names": '<body><div class="content has-sidebar comments-open"><h1>{head}</h1>{text}<div class="sidebar">{junk}</div></div></body>',
+    "related": '<body><main><h1>{head}</h1>{text}<div class="related">{long}</div><div class="outbrain">{junk}</div></main></body>',
+    "wrapper": '<body><form id="aspnet"><div class="share"><h1>{head}</h1>{text}</div></form><div class="cookie-notice">{junk}</div></body>',
+    "table layout": '<body><table><tr><td class="menu">{junk}</td><td><h1>{head}</h1>{text}</td></tr></table><div class="site-footer">{junk}</div></body>',
+    "feedback": '<body><div id="page"><div class="entry"><h1>{head}</h1>{text}</div><div class="feedback">{junk}</div><div class="discussion">{junk}</div></div></body>',
+}
+
+
+def test_gold_texts_of_templates(spark):
+    pages, gold = [], {}
+    for t, (_, template) in enumerate(TEMPLATES.items()):
+        for n in range(3):
+            k = 10 * t + n
+            paragraphs = [f"Paragraph {j} of page {k} says {brute.sentence(100 * k + j, 12)}." for j in range(3)]
+            junk, long = f"<p>junk{k} stays out</p>", f"<p>{' '.join(['junk'] * 200)}</p>"
+            page = template.format(head=f"Head {k}", text="".join(f"<p>{x}</p>" for x in paragraphs), junk=junk, long=long)
+            pages.append((k, f"https://t{t}.example/{n}", page))
+            gold[k] = "\n".join([f"Head {k}", *paragraphs])
+    pages += [(500 + k, u, p) for k, u, p in pages[:3]]  # repeated pages
+    huge = "\n".join(f"Line {j} {brute.sentence(j % 50, 30)}" for j in range(30_000))
+    pages.append((900, "https://huge.example/", f"<body><nav>menu</nav><div class='content'>{''.join(f'<p>{x}</p>' for x in huge.split(chr(10)))}</div></body>"))
+    found = {r["page_id"]: r["text"] for r in page_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    for k, text in gold.items():
+        wanted, got = Counter(text.split()), Counter(found[k].split())
+        common = sum((wanted & got).values())
+        assert common == sum(wanted.values()) and common == sum(got.values()), (list(TEMPLATES)[k // 10], found[k])
+    assert all(found[500 + k] == found[k] for k in range(3)) and found[900] == huge
+
+
+def test_ties_of_paths_go_to_more_text_then_to_the_smaller_path(spark):
+    pages = [(1, "https://a.example/1", "<body><div class='b'><p>Long enough words of the one page here</p></div></body>"), (2, "https://a.example/2", "<body><div class='a'><p>Long enough words of the one page here</p></div></body>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    (path,) = [r["path"] for r in page_text.winning_paths(df).collect()]
+    assert path == "html/body/div.a"
+    assert {r["text"] for r in page_text.extract(df).collect()} == {"Long enough words of the one page here"}
+
+
 def test_pages_of_the_driver(spark):
     out = QUERIES["op6_page_text"](spark, SMALL).collect()
     assert len(out) == spark.read.parquet(f"{SMALL}/pages.parquet").count()
@@ -366,6 +409,31 @@ def test_lines_without_spaces_and_with_long_words(spark):
     assert kept_by_spark(spark, texts) == kept_by_brute(texts)
 
 
+def test_lines_that_repeat_themselves(spark):
+    """Equal shingle sets, one written twice and one thirty times."""
+    texts = [(2 * k + j, (brute.sentence(k + 900, 8) + " ") * n) for k in range(40) for j, n in enumerate((2, 30))]
+    sets = [brute.line_shingles(t) for _, t in texts]
+    assert all(100 * len(a & b) >= 75 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    assert kept_by_spark(spark, texts) == {(2 * k, 0) for k in range(40)}
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    """Pairs of a similarity from 0.75 to 0.80, plain ones and ones that repeat themselves; each a group of its own."""
+    pairs, seed = [], 5000
+    while len(pairs) < 400:
+        seed += 1
+        base = brute.sentence(seed, 30 + seed % 40)
+        other = base[: int(len(base) * (0.76 + seed % 11 / 100))] + brute.sentence(seed + 100_000, 5 + seed % 3)
+        if seed % 2:
+            base, other = " ".join([base] * 6), " ".join([other] * 5)
+        a, b = brute.line_shingles(base), brute.line_shingles(other)
+        if 75 * len(a | b) <= 100 * len(a & b) <= 80 * len(a | b):
+            pairs.append((base, other))
+    texts = [(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)]
+    kept = {i for i, _ in kept_by_spark(spark, texts)}
+    assert sum(2 * k + 1 not in kept for k in range(len(pairs))) >= 0.97 * len(pairs)
+
+
 @pytest.mark.parametrize("many", [0, line_dedup.MANY])
 def test_a_hot_band_of_several_clusters(spark, monkeypatch, many):
     """All lines share one band, of which the hub is in one cluster at most."""

@@ -7,12 +7,15 @@ deepest container with all of it, is a vote for a generalised path of tags and
 classes without digits.  Votes are counted per host in Spark; the winning path
 of a host is then what its pages are extracted by, and a page that has less
 than COVER of its own choice there keeps that.  What only a class word or a
-form makes boilerplate counts as text where it holds most of the page's.
+form makes boilerplate counts as text where it holds most of the page's; reader
+comments and lists of related pages never do.  A name counts as a whole: of
+"share-price" the price is what it means.
 
 Defined results: a null or empty page, or one without text, gives the empty
 string; a null url belongs to a host of its own (the empty one); repeated pages
-each vote; ties go to more text, then to the smaller path; an empty table gives
-an empty result.
+each vote; ties go to more text, then to the smaller path; a very long page is
+parsed in one pass, held by the task that reads it; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -55,18 +58,34 @@ BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification"
     " alert popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets"
     " related recommended recommendations share sharing social comment comments disqus respond replies footer header masthead copyright legal login"
-    " search pagination pager toolbar complementary contentinfo".split()
+    " search pagination pager toolbar complementary contentinfo reply commentlist discussion feedback outbrain taboola".split()
 )
+#: Of these, words that also stand in names of other things: they count where the name has no other meaning.
+AMBIGUOUS = frozenset(
+    "ad ads alert aside banner discussion feedback footer form header legal login menu modal notice notices notification notifications popup promo promotion"
+    " reply respond search share sharing social sponsor subscribe subscription widget widgets".split()
+)
+#: Words that name a reader's or an editor's extras and nothing else; what they name is left out however long it is.
+FIRM = frozenset("comment comments commentlist disqus replies respond related recommended recommendations outbrain taboola".split())
+#: Words of a name that say what a thing looks like or where it stands.
+PLAIN = frozenset(
+    "area article bar block blog body bottom box btn button buttons class col column container content desktop div entry fixed form global group heading icon icons id"
+    " inner item items left link links list main mobile outer page panel post primary reader right row secondary section site slot sticky text thread title top unit"
+    " user wrap wrapper".split()
+)
+#: Words of a name that say whether a thing is there, not what it is.
+STATE = frozenset("allow closed disabled enabled free has have hide is no not open show with without".split())
 
 
 class Node:
-    __slots__ = ("tag", "path", "good", "parent", "boiler", "soft", "link", "container", "depth")
+    __slots__ = ("tag", "path", "good", "parent", "boiler", "soft", "firm", "link", "container", "depth")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, boiler: bool, soft: bool = False):
+    def __init__(self, tag: str, label: str, parent: Node | None, boiler: bool, soft: bool = False, firm: bool = False):
         self.tag, self.parent = tag, parent
         self.path = f"{parent.path}/{label}" if parent else label
         self.boiler = boiler or bool(parent and parent.boiler)
         self.soft = soft
+        self.firm = firm or bool(parent and parent.firm)
         self.link = tag == "a" or bool(parent and parent.link)
         self.container = parent.container if parent else None
         self.depth = parent.depth + 1 if parent else 0
@@ -75,6 +94,19 @@ class Node:
         self.good = 0
 
 
+def meaning(names: str) -> tuple[bool, bool]:
+    """Whether one of an element's names means boilerplate, and whether it can mean nothing else."""
+    soft = firm = False
+    for name in names.split():
+        parts = {x for x in re.split(r"[^a-z]+", name) if x}
+        if parts & STATE or not parts & BOILERPLATE_WORDS:
+            continue
+        known = parts <= BOILERPLATE_WORDS | PLAIN
+        soft |= known or bool(parts & (BOILERPLATE_WORDS - AMBIGUOUS))
+        firm |= known and bool(parts & FIRM)
+    return soft, firm
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, int, str]]]:
     """Nodes, and the runs of text outside boilerplate as (innermost node, number of its block, text)."""
     root = Node("html", "html", None, False)
@@ -125,8 +157,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, int, str]]]:
             label = ".".join([tag, *sorted(set(re.sub(r"\d+", "", " ".join(v for k, v in found if k == "class").lower()).split()))])
         else:
             label = tag
-        soft = tag == "form" or (tag not in ("body", "html") and any(x in BOILERPLATE_WORDS for x in re.split(r"[^a-z]+", names)))
-        node = Node(tag, label, open_[-1], hidden or tag in BOILERPLATE_TAGS, soft)
+        soft, firm = meaning(names) if names and tag not in ("body", "html") else (False, False)
+        node = Node(tag, label, open_[-1], hidden or tag in BOILERPLATE_TAGS, soft or tag == "form", firm and tag not in WHOLE)
         nodes.append(node)
         if not m[4] or not m[4].endswith("/") or tag in BLOCK:
             open_.append(node)
@@ -140,9 +172,10 @@ def running(node: Node, text: str) -> int:
 
 
 def without_soft(nodes: list[Node], runs: list[tuple[Node, int, str]]) -> list[tuple[Node, int, str]]:
-    """The runs outside elements that a class word or a form makes boilerplate, save those that hold most of the text."""
+    """The runs outside elements that a class word or a form makes boilerplate, save those that hold most of the text; comments and the like never do."""
     if not any(node.soft for node in nodes):
         return runs
+    runs = [run for run in runs if not run[0].firm]
     held = dict.fromkeys(nodes, 0)
     for node, _, text in runs:
         held[node] += running(node, text)
