@@ -209,6 +209,51 @@ def mix_targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
     return capped
 
 
+def vector_codes(rows, parts=8, entries=16, rounds=6):
+    """[(vec_id, label, code, error)] and the codebooks' text, in Python's whole numbers."""
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    good = [(i, v, label) for i, v, label in rows if v and len(v) % parts == 0 and all(x is not None and math.isfinite(x) for x in v)]
+    good = [r for r in good if len(r[1]) == len(min(good, key=order)[1])]
+    width = len(good[0][1]) // parts if good else 0
+    cut = [[[math.floor(4096 * x) for x in v[p * width : (p + 1) * width]] for p in range(parts)] for _, v, _ in good]
+    first = sorted(range(len(good)), key=lambda k: order(good[k]))[:entries]
+    books = [[list(cut[k][p]) for k in first] for p in range(parts)]
+    away = lambda x, e: sum((a - b) ** 2 for a, b in zip(x, e, strict=True))
+    nearest = lambda x, book: min(range(len(book)), key=lambda e: (away(x, book[e]), e))
+    for _ in range(rounds):
+        codes = [[nearest(c[p], books[p]) for p in range(parts)] for c in cut]
+        for p in range(parts):
+            for e in range(len(books[p])):
+                mine = [c[p] for c, code in zip(cut, codes, strict=True) if code[p] == e]
+                if mine:
+                    books[p][e] = [sum(x) // len(mine) for x in zip(*mine, strict=True)]
+    out = []
+    for (i, _, label), c in zip(good, cut, strict=True):
+        code = [nearest(c[p], books[p]) for p in range(parts)]
+        out.append((i, label, "".join(f"{e:02x}" for e in code), sum(away(c[p], books[p][code[p]]) for p in range(parts))))
+    return out, ",".join(str(x) for book in books for e in book for x in e)
+
+
+def resampled(docs, target, share=25, least=20, seed=7, buckets=10_000):
+    """[(doc_id, n_features, weight, score, drawn)] with the ranks of the drawn, in order."""
+    words = lambda t: ALNUM.findall(lower(t))
+    features = lambda w: [*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))]
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    given = [(i, words(t)) for i, t in docs]
+    s = Counter(bucket(f) for _, w in given for f in features(w))
+    t = Counter(bucket(f) for _, x in target for f in features(words(x)))
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * float(s.total() + buckets) / ((s[b] + 1) * float(t.total() + buckets)))) for b in s}
+    rows = []
+    for i, w in given:
+        f = features(w)
+        weight = sum(gain[bucket(x)] for x in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append((i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(w)))
+    able = sorted((k for k in range(len(rows)) if rows[k][4] >= least), key=lambda k: (-rows[k][3], rows[k][0] is None, rows[k][0] or 0, rows[k][1]))
+    rank = {k: n + 1 for n, k in enumerate(able[: share * len(able) // 100])}
+    return [(*r[:4], rank.get(k)) for k, r in enumerate(rows)]
+
+
 def line_shingles(line, k=9):
     return frozenset(line[i : i + k] for i in range(max(1, len(line) - k + 1)))
 

@@ -8,7 +8,7 @@ import llm_brute as brute
 import pytest
 from pyspark.sql import functions as F
 
-from trailmill.llm import decontaminate, line_dedup, lm_score, mixing, page_text, quality, repeats, sharding, shingle_join, token_counts
+from trailmill.llm import bpe, decontaminate, line_dedup, lm_score, mixing, page_text, quality, repeats, resampling, sharding, shingle_join, token_counts, vector_codes
 from trailmill.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -479,11 +479,158 @@ def test_quality_counts(docs, pairs):
     assert kept.columns == docs.columns and kept.count() == out.filter("kept").count()
 
 
+# 11 byte pairs
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
+HARD_TEXTS = (
+    "", "a", "<|endoftext|>", "x<|endoftext|><|endoftext|> y <|endo", "  \n\t  a", "ab" * 5000, "é" * 700, "日本語" * 300, "\x00\x01\ufffd", "🙂" * 400,
+    "a" * 3000, " " * 3000, "1" * 999, "it's we'LL 'S", "".join(chr(97 + (k * k) % 10) for k in range(20_000)), "e\u0301 \u200b\u2028x",
+)
+
+
+def test_bpe_like_the_library(spark, vocabulary, docs, pairs, real, real_pairs):
+    import struct
+
+    from tokenizers import Tokenizer
+
+    path, pattern = vocabulary
+    library = Tokenizer.from_file(path)
+    texts = spark.createDataFrame(list(enumerate(HARD_TEXTS)), "doc_id long, text string").repartition(2)
+    for df, given in ((docs, pairs), (real, real_pairs), (texts, list(enumerate(HARD_TEXTS)))):
+        out = bpe.decoded(bpe.encoded(df.select("doc_id", "text"), path, pattern), path, pattern)
+        expected = []
+        for (i, t), e in zip(given, library.encode_batch([t or "" for _, t in given], add_special_tokens=False), strict=True):
+            ids = None if t is None else struct.pack(f"<{len(e.ids)}I", *e.ids)
+            expected.append((i, t, ids, None if t is None else library.decode(e.ids, skip_special_tokens=False)))
+        assert brute.in_order((r["doc_id"], r["text"], None if r["ids"] is None else bytes(r["ids"]), r["decoded"]) for r in out.collect()) == brute.in_order(expected)
+
+
+def test_bpe_query(spark, vocabulary, real_pairs):
+    import struct
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary[0])
+    expected = []
+    for i, t in real_pairs:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        expected.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    same(QUERIES["op11_bpe"](spark, SMALL), ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), expected)
+
+
+def test_bpe_decodes_any_ids_like_the_library(vocabulary):
+    import random
+    import struct
+
+    from tokenizers import Tokenizer
+
+    library, own, rng = Tokenizer.from_file(vocabulary[0]), bpe.Vocabulary(*vocabulary), random.Random(3)
+    for _ in range(500):
+        ids = [rng.randrange(50_257) for _ in range(6)]
+        assert own.decode(struct.pack("<6I", *ids)) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_scans_and_heaps_merge_alike(vocabulary, monkeypatch):
+    own = bpe.Vocabulary(*vocabulary)
+    for text in HARD_TEXTS:
+        for piece in own.pieces.findall(text):
+            word = piece.encode()[:600]
+            parts = [own.first[b] for b in word]
+            assert own._scanned(list(parts)) == own._heaped(list(parts))
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)  # a worker that forgets
+    monkeypatch.setattr(bpe, "LONG_TEXT", 10)
+    assert [bpe.Vocabulary(*vocabulary).encode(t) for t in HARD_TEXTS] == [own.encode(t) for t in HARD_TEXTS]
+
+
+# 12 vector codes
+
+VECTORS = "vec_id long, embedding array<double>, label int, vector int, now string, was int, error string"
+
+
+def vector_rows(n=60, width=2, scale=1.0):
+    rows = []
+    for k in range(n):
+        v = [((k * 7919 + j * 104_729) % 1000 / 500 - 1) * scale for j in range(8 * width)]
+        rows.append((k if k % 9 else k // 2, v, None if k % 7 == 0 else 1 if k % 3 else k % 4))
+    rows += [(None, [0.25] * (8 * width), 1), (3, [0.5] * (8 * width), None), (70, None, 1), (71, [], 1), (72, [0.1] * 9, 1), (73, [0.1] * 24, 2)]
+    rows += [(74, [float("nan")] + [0.0] * (8 * width - 1), 1), (75, [float("-inf")] + [0.0] * (8 * width - 1), 1), (76, [None] + [0.0] * (8 * width - 1), 1)]
+    return rows + rows[5:9]  # repeated rows
+
+
+def check_codes(spark, rows):
+    df = spark.createDataFrame([(*r, 1, "n", 2, "e") for r in rows], VECTORS).repartition(3)
+    coded, books = vector_codes.compressed(df)
+    want, text = brute.vector_codes(rows)
+    code = F.array_join(F.transform("now", lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), "")
+    same(coded.select("vec_id", "label", code.alias("code"), "error"), ("vec_id", "label", "code", "error"), want)
+    assert books.sha256 == hashlib.sha256(text.encode()).hexdigest()
+    per_label = Counter()
+    for _, label, _, error in want:
+        per_label[label] += error
+    assert {r["label"]: r["label_error"] for r in vector_codes.with_label_errors(coded).collect()} == per_label
+    return coded, books
+
+
+def test_vector_codes(spark):
+    coded, books = check_codes(spark, vector_rows())
+    far = F.aggregate(F.zip_with("vector", "approximation", lambda a, b: F.pow(a - b * 4096, F.lit(2.0))), F.lit(0.0), lambda a, x: a + x)
+    for r in vector_codes.restored(coded, books).select("error", far.alias("far")).collect():
+        assert math.isclose(r["error"], r["far"], rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_vector_codes_of_few_equal_and_large_vectors(spark):
+    check_codes(spark, vector_rows(n=5))
+    check_codes(spark, [(k, [0.5] * 8, 1) for k in range(40)])  # ties everywhere
+    check_codes(spark, vector_rows(n=40, scale=3e4))  # beyond exact doubles
+
+
+def test_only_changed_parts_are_sent(spark):
+    df = spark.createDataFrame([(*r, 1, "n", 2, "e") for r in vector_rows()], VECTORS).repartition(2)
+    whole = vector_codes.whole_vectors(df)
+    books, length = vector_codes.first_books(whole, 8, 16)
+    table = whole.filter(F.size("vector") == length).withColumn("now", F.lit(None).cast("array<int>"))
+    once = vector_codes.assigned(table, books)
+    twice = vector_codes.assigned(once, books)
+    assert vector_codes.changes(once, books).count() > 0 and vector_codes.changes(twice, books).count() == 0
+
+
+# 13 resampling
+
+RESAMPLED = ("doc_id", "n_features", "weight", "score", "rank")
+
+
+@pytest.mark.parametrize("least", [20, 1])
+def test_resampling(docs, pairs, bench, least):
+    same(resampling.resampled(docs, bench, least_words=least), RESAMPLED, brute.resampled(pairs, brute.BENCHMARK, least=least))
+    same(resampling.resampled(docs, bench.limit(0), least_words=least), RESAMPLED, brute.resampled(pairs, [], least=least))
+
+
+def test_resampling_with_ties_null_ids_and_a_long_text(spark, bench):
+    texts = [(k // 3, brute.sentence(1, 30)) for k in range(60)] + [(None, brute.sentence(2, 40)), (None, brute.sentence(3, 41)), (7, "Ünder ÄÖ x " * 20_000), (8, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    same(resampling.resampled(df, bench, share=60), RESAMPLED, brute.resampled(texts, brute.BENCHMARK, share=60))
+
+
+def test_drawn_documents_are_those_with_a_rank(docs, pairs, bench):
+    out = resampling.drawn_documents(docs, bench, share=40)
+    assert out.columns == docs.columns
+    ranked = [p for p, r in zip(pairs, brute.resampled(pairs, brute.BENCHMARK, share=40), strict=True) if r[4] is not None]
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == set(ranked)
+
+
 # all
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{SMALL}/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
