@@ -7,14 +7,14 @@ points or sets makes more of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STREAM = "struct<data:{0},original_size:int,resolution:string>"
 ENVELOPE = (
     "schemaVersion int, source string, detail struct<id:string,name:string,distance:string,elapsed_time:long,sport_type:string,start_date:string,"
     "start_date_local:string,timezone:string>, streams struct<latlng:" + STREAM.format("array<array<double>>") + ",time:" + STREAM.format("array<long>")
-    + ",altitude:" + STREAM.format("array<double>") + ">"
+    + ",altitude:" + STREAM.format("array<double>") + ",distance:" + STREAM.format("array<double>") + ">"
 )
 # Kinds of the source's sport types; any other is "other".
 KINDS = {
@@ -24,7 +24,10 @@ KINDS = {
     "ride": ("Ride", "VirtualRide", "EBikeRide", "GravelRide", "MountainBikeRide", "Handcycle", "Velomobile"),
     "strength": ("WeightTraining", "Crossfit", "HighIntensityIntervalTraining"),
 }
+#: A wall clock as sources write it, with or without a false Z.
+CLOCK = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z?$"
 ENTRY = "idempotencyKey string, exerciseId string, occurredAt string, timezone string, sets array<struct<exercise:string,reps:int,durationS:int,distanceM:double>>"
+# Fields of a notification.
 EVENT_FIELDS = ("aspect_type", "event_time", "object_id", "object_type", "owner_id", "subscription_id", "updates")
 EVENT = "aspect_type string, event_time string, object_id string, object_type string, owner_id string, subscription_id string"
 
@@ -47,10 +50,8 @@ def finite(value: Column) -> Column:
 
 
 def local_clock(text: Column) -> Column:
-    """A wall clock without its false Z; other texts are an error."""
-    bare = F.regexp_replace(text, "Z$", "")
-    shape = bare.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?$")
-    return F.when(shape, F.to_timestamp_ntz(bare)).when(text.isNotNull(), F.raise_error(F.concat(F.lit("no local time: "), text)))
+    """A wall clock without its false Z; null for other texts, which ``sanitise.refusals`` names."""
+    return F.when(text.rlike(CLOCK), F.try_to_timestamp(F.regexp_replace(text, "Z$", "")).cast("timestamp_ntz"))
 
 
 def bare_zone(text: Column) -> Column:
@@ -58,9 +59,16 @@ def bare_zone(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, r"^\(GMT[+-]\d\d:\d\d\)\s*", "")), F.lit(""))
 
 
+def known_zone(zone: Column) -> Column:
+    """Whether the session knows a zone of this name; the names are those of the Java runtime, about 600."""
+    names = SparkSession.active()._jvm.java.time.ZoneId.getAvailableZoneIds().toArray()
+    return zone.isin(sorted(str(n) for n in names))
+
+
 def utc_to_local(at: Column, zone: Column) -> Column:
-    """The wall clock of an instant in a zone, of UTC without one."""
-    return F.from_utc_timestamp(at, F.coalesce(zone, F.lit("UTC"))).cast("timestamp_ntz")
+    """The wall clock of an instant in a zone, of UTC without one; null for an unknown zone."""
+    known = F.coalesce(zone, F.lit("UTC"))
+    return F.when(known_zone(known), F.from_utc_timestamp(at, known).cast("timestamp_ntz"))
 
 
 def day_key(user: Column, local: Column) -> Column:
@@ -84,7 +92,7 @@ def normalise(read: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), F.col("envelope.source"), d["id"]), 256).alias("activity_id"),
         sport_kind(d["sport_type"]).alias("kind"),
         d["sport_type"].alias("source_type_raw"),
-        F.to_timestamp(d["start_date"]).cast("timestamp_ntz").alias("started_at"),
+        F.try_to_timestamp(d["start_date"]).cast("timestamp_ntz").alias("started_at"),
         local.alias("started_local"),
         bare_zone(d["timezone"]).alias("zone"),
         day_key(F.col("user_id"), local).alias("day_key"),
@@ -95,15 +103,19 @@ def normalise(read: DataFrame) -> DataFrame:
     )
 
 
-def trace_points(read: DataFrame) -> DataFrame:
-    """(user_id, external_id, seq, t_ms, lat, lng, altitude) of every envelope with places; without times a point a second."""
+def trace_points(read: DataFrame, *more: str) -> DataFrame:
+    """(user_id, external_id, seq, t_ms, lat, lng, altitude) of every envelope with places; without times a point a second.
+
+    Streams of unequal length are refused by ``sanitise.refusals``; here a missing time would run backwards.
+    """
     d, s = F.col("envelope.detail"), F.col("envelope.streams")
     rows = read.select(
-        "user_id", d["id"].alias("external_id"), F.unix_millis(F.to_timestamp(d["start_date"])).alias("start_ms"), s["time"]["data"].alias("t"),
-        s["altitude"]["data"].alias("alt"), F.posexplode(s["latlng"]["data"]).alias("seq", "place")
+        *more, "user_id", d["id"].alias("external_id"), F.unix_millis(F.try_to_timestamp(d["start_date"])).alias("start_ms"), s["time"]["data"].alias("t"),
+        s["altitude"]["data"].alias("alt"), F.posexplode_outer(s["latlng"]["data"]).alias("seq", "place")
     )
-    return rows.select(
-        "user_id", "external_id", "seq", (F.col("start_ms") + F.coalesce(F.get("t", F.col("seq")), F.col("seq").cast("long")) * 1000).alias("t_ms"),
+    # Outer, and filtered after: Spark would else filter by the array's size first and parse every text again for it.
+    return rows.filter("seq IS NOT NULL").select(
+        *more, "user_id", "external_id", "seq", (F.col("start_ms") + F.coalesce(F.get("t", F.col("seq")), F.col("seq").cast("long")) * 1000).alias("t_ms"),
         F.get("place", F.lit(0)).alias("lat"), F.get("place", F.lit(1)).alias("lng"), F.get("alt", F.col("seq")).alias("altitude")
     )
 
@@ -127,6 +139,7 @@ def read_entries(raw: DataFrame) -> DataFrame:
     total = lambda c: F.aggregate("e.sets", F.lit(0).cast("double"), lambda a, s: a + F.coalesce(s[c].cast("double"), F.lit(0)))
     bad = F.when(F.col("e.exerciseId").isNull(), "no exercise").when(F.col("at").isNull(), "no time").when(F.coalesce(F.size("e.sets"), F.lit(0)) < 1, "no sets")
     zone = bare_zone(F.col("e.timezone"))
+    bad = bad.when(zone.isNotNull() & ~known_zone(zone), "unknown zone")
     return rows.select(
         "user_id",
         F.sha2(F.concat_ws(":", F.lit("manual"), F.col("user_id").cast("string"), F.col("e.idempotencyKey")), 256).alias("ingest_key"),
