@@ -101,31 +101,46 @@ def xp(units_effective: Column, per_unit: Column) -> Column:
     return F.floor(units_effective * per_unit + 0.5).cast("long")
 
 
-def feed_rows(rated: DataFrame, rule_rows: DataFrame) -> DataFrame:
-    """(activity_id, skill, units, units_effective): shares of the rounded XP, for enabled targets."""
-    fed = rated.select("activity_id", F.explode(F.split("feeds", ",")).alias("target"), "xp")
-    targets = rule_rows.filter("enabled").select(F.col("skill").alias("t"))
-    fed = fed.join(F.broadcast(targets), F.col("target") == F.col("t"))
-    return fed.groupBy("activity_id", F.col("target").alias("skill")).agg(F.sum("xp").cast("double").alias("units"), F.sum(F.col("xp") * F.lit(FEED_RATE)).alias("units_effective"))
-
-
 def ledger_rows(grounded: DataFrame, awards: DataFrame, rule_rows: DataFrame) -> DataFrame:
-    """The ledger of every activity: own rows, discovery, feeds; rows of no XP vanish before they are numbered."""
-    rated = grounded.withColumn("xp", xp(F.col("units_effective"), F.col("xp_per_unit"))).filter("xp > 0")
-    heads = grounded.select("activity_id", "user_id", "started_at").distinct()
-    columns = ("activity_id", "skill", "reason", "units", "units_effective", "xp", "part", "major", "pos")
-    own = rated.select("activity_id", "skill", "reason", "units", "units_effective", "xp", F.lit(0).alias("part"), F.col("measure").alias("major"), "pos")
-    found = discovery_rows(awards, rule_rows).withColumn("xp", xp(F.col("units_effective"), F.col("xp_per_unit"))).filter("xp > 0")
-    found = found.withColumn("part", F.lit(1)).withColumn("major", F.lpad(F.col("display_order").cast("string"), 5, "0"))
-    fed = feed_rows(rated, rule_rows).withColumn("xp", xp(F.col("units_effective"), F.lit(1.0))).filter("xp > 0")
-    fed = fed.withColumn("reason", F.lit("constitution_share")).withColumn("part", F.lit(2)).withColumn("major", F.col("skill")).withColumn("pos", F.lit(0))
-    rows = own.select(*columns).unionByName(found.select(*columns)).unionByName(fed.select(*columns)).join(heads, "activity_id")
-    number = F.row_number().over(Window.partitionBy("activity_id").orderBy("part", "major", "pos")) - 1
+    """The ledger of every activity: own rows, discovery, feeds; rows of no XP vanish before they are numbered.
+
+    An activity's rows are one array, which the rule table bounds; awards are
+    joined to it once, the rules as one row, and it is exploded in order.
+    """
+    row = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+    rated = grounded.withColumn("xp", xp(F.col("units_effective"), F.col("xp_per_unit")))
+    own = F.when(F.col("xp") > 0, F.struct("skill", "reason", "units", "units_effective", "xp", "measure", "pos", "feeds"))
+    per = rated.groupBy("activity_id", "user_id", "started_at").agg(F.collect_list(own).alias("own"))
+    found = awards.select(F.col("activity_id").alias("a_id"), F.col("new_cells").alias("new"), F.col("rearmed_cells").alias("rearmed"))
+    enabled = rule_rows.filter("enabled").agg(F.collect_list(F.struct("skill", "display_order", "xp_per_unit", "cells_new", "cells_rearmed")).alias("rules"))
+    both = per.join(found, F.col("activity_id") == F.col("a_id"), "left").join(F.broadcast(enabled))  # one row
+
+    mine = F.transform("own", lambda o: row(part=F.lit(0), major=o["measure"], pos=o["pos"], skill=o["skill"], reason=o["reason"], units=o["units"], units_effective=o["units_effective"], xp=o["xp"]))
+
+    def discovered(rule: Column, pos: int, kind: str) -> Column:
+        units = F.coalesce(F.col(kind), F.lit(0)).cast("double")
+        paid = units * rule[f"cells_{kind}"]
+        return row(
+            part=F.lit(1), major=F.lpad(rule["display_order"].cast("string"), 5, "0"), pos=F.lit(pos), skill=rule["skill"], reason=F.lit(f"cells_{kind}"),
+            units=F.when(rule[f"cells_{kind}"] > 0, units), units_effective=paid, xp=xp(paid, rule["xp_per_unit"]),
+        )
+
+    paying = F.filter("rules", lambda r: r["cells_new"].isNotNull())
+    cells = F.flatten(F.transform(paying, lambda r: F.array(discovered(r, 0, "new"), discovered(r, 1, "rearmed"))))
+
+    def fed(rule: Column) -> Column:
+        givers = F.filter("own", lambda o: F.array_contains(F.split(o["feeds"], ","), rule["skill"]))
+        total = lambda f: F.aggregate(givers, F.lit(0.0), lambda a, o: a + f(o))
+        units, paid = total(lambda o: o["xp"].cast("double")), total(lambda o: o["xp"] * F.lit(FEED_RATE))
+        return row(part=F.lit(2), major=rule["skill"], pos=F.lit(0), skill=rule["skill"], reason=F.lit("constitution_share"), units=units, units_effective=paid, xp=xp(paid, F.lit(1.0)))
+
+    kept = F.array_sort(F.filter(F.concat(mine, cells, F.transform("rules", fed)), lambda r: (r["units"] > 0) & (r["xp"] > 0)))
+    rows = both.select("activity_id", "user_id", "started_at", F.posexplode(kept).alias("number", "r")).select("activity_id", "user_id", "started_at", "number", "r.*")
     at = F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return rows.select(
         F.concat_ws("#", F.col("activity_id").cast("string"), "skill", "reason", F.lit(f"v{VERSION}")).alias("id"),
         "user_id", "activity_id", "started_at", "skill", "reason", "units", "units_effective", "xp",
-        F.concat_ws("#", at, F.col("activity_id").cast("string"), F.lpad(number.cast("string"), 2, "0")).alias("seq"),
+        F.concat_ws("#", at, F.col("activity_id").cast("string"), F.lpad(F.col("number").cast("string"), 2, "0")).alias("seq"),
     )
 
 
