@@ -21,9 +21,12 @@ def sha_id(*parts: Column, sep: str = ":") -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the characters of a text in the basic plane, unsigned."""
-    step = lambda h, c: ((h.bitwiseXOR(F.ascii(c).cast("long"))) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long"))
-    return F.when(F.length(text) == 0, F.lit(2166136261).cast("long")).otherwise(F.aggregate(F.split(text, ""), F.lit(2166136261).cast("long"), step))
+    """32-bit FNV-1a over the UTF-16 units of a text, unsigned; a character beyond the basic plane is two of them."""
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    unit = lambda k: F.conv(F.substring(units, k * 4 + 1, F.lit(4)), 16, 10).cast("long")
+    step = lambda h, k: (h.bitwiseXOR(unit(k)) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long"))
+    start = F.lit(2166136261).cast("long")
+    return F.when(F.length(text) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(0), (F.length(units) / 4).cast("int") - 1), start, step))
 
 
 def _pick(words: list[str], at: Column) -> Column:

@@ -80,7 +80,7 @@ def next_level(states: DataFrame, sessions: DataFrame, order: DataFrame) -> Data
     """
     medians = sessions.groupBy("user_id", "skill").agg(F.median("xp").alias("median_xp"))
     to_next = level_progress(F.col("xp"), F.lit(1))["xp_to_next"]
-    left = states.withColumn("xp_to_next", to_next).filter("xp_to_next > 0").join(medians, ["user_id", "skill"]).join(F.broadcast(order), "skill")
+    left = states.withColumn("xp_to_next", to_next).filter("xp_to_next > 0").join(medians, ["user_id", "skill"]).join(order, "skill")
     runs = F.ceil(F.col("xp_to_next") / F.col("median_xp")).cast("long")
     best = left.groupBy("user_id").agg(F.min(F.struct(runs.alias("runs"), "display_order", "skill")).alias("b"))
     return best.select("user_id", "b.skill", "b.runs")
@@ -135,7 +135,7 @@ def panel(rules: DataFrame, states: DataFrame) -> DataFrame:
     """
     users = states.select("user_id").distinct()
     own = rules.filter("enabled").select("skill", "skill_kind", "display_order")
-    rows = users.join(F.broadcast(own)).join(states, ["user_id", "skill"], "left").withColumn("xp", F.coalesce("xp", F.lit(0)))
+    rows = users.join(own).join(states, ["user_id", "skill"], "left").withColumn("xp", F.coalesce("xp", F.lit(0)))
     part = F.when(F.col("xp") <= 0, "untrained").otherwise(F.concat(F.lit("trained_"), "skill_kind"))
     place = F.row_number().over(Window.partitionBy("user_id", "part").orderBy("display_order", "skill"))
     return rows.withColumn("part", part).withColumn("place", place).select("user_id", "part", "place", "skill", "xp")

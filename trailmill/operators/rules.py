@@ -1,7 +1,7 @@
 """Rule tables as data: skills, what they match, what they pay.
 
-A rule table is a handful of rows, fixed by its version, so joins with it are
-broadcast.  An activity gets one skill for each measure: the matching rule of
+A rule table is a handful of rows, fixed by its version; checks take many tables
+at once, told apart by keys.  An activity gets one skill for each measure: the matching rule of
 highest priority, ties to the smaller id.
 """
 
@@ -79,16 +79,17 @@ def exercises_sql() -> str:
     return f"exercises AS (SELECT skill, exercise, entry, CAST(scale AS DOUBLE) AS scale FROM (VALUES {_values(EXERCISES)}) t(skill, exercise, entry, scale))"
 
 
-def matches(source: Column | None = None) -> Column:
-    """Whether a rule matches an activity: empty kinds match any, a null requires_trace too; no rule here lists sources."""
-    kinds = F.col("kinds").isNull() | (F.col("kinds") == "") | F.array_contains(F.split("kinds", ","), F.col("kind"))
+def matches(sources: bool = False) -> Column:
+    """Whether a rule matches an activity: empty kinds match any, a null requires_trace too; with ``sources``, so do empty lists of these."""
+    listed = lambda c, v: F.col(c).isNull() | (F.col(c) == "") | F.array_contains(F.split(c, ","), F.col(v))
     trace = F.col("requires_trace").isNull() | (F.col("requires_trace") == F.col("has_trace"))
-    return (F.col("skill_kind") == "activity") & F.col("enabled") & F.col("measure").isNotNull() & kinds & trace
+    found = (F.col("skill_kind") == "activity") & F.col("enabled") & F.col("measure").isNotNull() & listed("kinds", "kind") & trace
+    return found & listed("sources", "source") if sources else found
 
 
 def candidates(activities: DataFrame, rule_rows: DataFrame) -> DataFrame:
-    """Every matching (activity, rule): a broadcast of the fixed rule table."""
-    return activities.join(F.broadcast(rule_rows), matches())
+    """Every matching (activity, rule); the rule table is a few rows, so Spark sends it to the activities.  Rules may list sources."""
+    return activities.join(rule_rows, matches("sources" in rule_rows.columns))
 
 
 def select_skills(activities: DataFrame, rule_rows: DataFrame) -> DataFrame:
@@ -97,8 +98,8 @@ def select_skills(activities: DataFrame, rule_rows: DataFrame) -> DataFrame:
     return candidates(activities, rule_rows).withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place")
 
 
-def violations(rule_rows: DataFrame) -> DataFrame:
-    """One row (path, message) for each broken rule of the table."""
+def violations(rule_rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, path, message): one row for each broken rule of each table."""
     checks = {
         "needs a match": (F.col("skill_kind") == "activity") & F.col("measure").isNull(),
         "needs reveals": (F.col("skill_kind") == "activity") & F.col("reveals").isNull(),
@@ -107,31 +108,49 @@ def violations(rule_rows: DataFrame) -> DataFrame:
         "soft cap must be positive": F.col("soft_cap") <= 0,
         "introduced after this version": F.col("introduced_in") > VERSION,
     }
+    path = F.concat(F.lit("skills."), "skill")
     found = F.array_compact(F.array(*[F.when(bad, F.lit(text)) for text, bad in checks.items()]))
-    own = rule_rows.select(F.concat(F.lit("skills."), "skill").alias("path"), F.explode(found).alias("message"))
-    twice = rule_rows.groupBy("skill").agg(F.count("*").alias("n")).filter("n > 1").select(F.concat(F.lit("skills."), "skill").alias("path"), F.lit("duplicate id").alias("message"))
-    ids = rule_rows.select(F.col("skill").alias("known"))
-    fed = rule_rows.select("skill", F.explode(F.split("feeds", ",")).alias("target")).filter("target <> ''")
-    dangling = fed.join(ids, F.col("target") == F.col("known"), "left_anti").select(
-        F.concat(F.lit("skills."), "skill", F.lit(".feeds")).alias("path"), F.concat(F.lit("unknown skill "), "target").alias("message")
+    own = rule_rows.select(*keys, path.alias("path"), F.explode(found).alias("message"))
+    twice = rule_rows.groupBy(*keys, "skill").agg(F.count("*").alias("n")).filter("n > 1").select(*keys, path.alias("path"), F.lit("duplicate id").alias("message"))
+    ids = rule_rows.select(*keys, F.col("skill").alias("target"))
+    dangling = _feeds(rule_rows, *keys).join(ids, [*keys, "target"], "left_anti").select(
+        *keys, F.concat(path, F.lit(".feeds")).alias("path"), F.concat(F.lit("unknown skill "), "target").alias("message")
     )
     return own.unionByName(twice).unionByName(dangling)
 
 
-def feed_cycles(rule_rows: DataFrame) -> DataFrame:
-    """Skills that feed themselves over others: paths grow until none is new; as many rounds as the table has skills at most."""
-    edges = rule_rows.select(F.col("skill").alias("a"), F.explode(F.split("feeds", ",")).alias("b")).filter("b <> ''")
+def _feeds(rule_rows: DataFrame, *keys: str) -> DataFrame:
+    return rule_rows.select(*keys, "skill", F.explode(F.split("feeds", ",")).alias("target")).filter("target <> ''")
+
+
+def feed_cycles(rule_rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, skill): skills that feed themselves over others.  Paths double in length until no table has room for longer ones; a table's size bounds its pairs."""
+    edges = _feeds(rule_rows, *keys).select(*keys, F.col("skill").alias("a"), F.col("target").alias("b")).distinct()
+    sizes = rule_rows.groupBy(*keys).agg(F.count("*").alias("n")) if keys else rule_rows.agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
     reach = edges
-    for _ in range(rule_rows.count().bit_length()):  # doubling the length of the paths
-        longer = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
+    for _ in range(largest.bit_length()):
+        onward = reach.select(*keys, F.col("b").alias("c"), F.col("a").alias("b"))
+        longer = reach.join(onward, [*keys, "b"]).select(*keys, "a", F.col("c").alias("b"))
         reach = reach.unionByName(longer).distinct()
-    return reach.filter("a = b").select(F.col("a").alias("skill"))
+    return reach.filter("a = b").select(*keys, F.col("a").alias("skill"))
+
+
+def known_kinds(rule_rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, kind): the kinds of activity that a table speaks of."""
+    return rule_rows.filter("kinds IS NOT NULL").select(*keys, F.explode(F.split("kinds", ",")).alias("kind")).distinct()
+
+
+def ambiguities(rule_rows: DataFrame, *keys: str, kinds: tuple[str, ...] = ("run", "walk", "hike", "ride", "strength", "other")) -> DataFrame:
+    """(keys, kind, has_trace, measure, n, skills) where rules of equal top priority compete for a measure."""
+    cases = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("has_trace")) for k in kinds for t in (True, False)]))
+    met = rule_rows.withColumn("case", cases).select("*", "case.*").filter(matches())
+    top = Window.partitionBy(*keys, "kind", "has_trace", "measure").orderBy(F.desc(F.coalesce("priority", F.lit(0))))
+    ranked = met.withColumn("rank", F.rank().over(top)).filter("rank = 1")
+    return ranked.groupBy(*keys, "kind", "has_trace", "measure").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("skill")), ",").alias("skills")).filter("n > 1")
 
 
-def ambiguities(rule_rows: DataFrame, kinds: tuple[str, ...] = ("run", "walk", "hike", "ride", "strength", "other")) -> DataFrame:
-    """(kind, has_trace, measure, skills) where rules of equal top priority compete for a measure."""
-    spark = rule_rows.sparkSession
-    cases = spark.createDataFrame([(k, t) for k in kinds for t in (True, False)], "kind string, has_trace boolean")
-    top = Window.partitionBy("kind", "has_trace", "measure").orderBy(F.desc(F.coalesce("priority", F.lit(0))))
-    ranked = candidates(cases, rule_rows).withColumn("rank", F.rank().over(top)).filter("rank = 1")
-    return ranked.groupBy("kind", "has_trace", "measure").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("skill")), ",").alias("skills")).filter("n > 1")
+def log_rows(rule_rows: DataFrame, exercise_rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, display_order, skill, exercise, entry, scale): exercises of enabled activity skills, flattened in the order shown."""
+    shown = rule_rows.filter("enabled AND skill_kind = 'activity'").select(*keys, "skill", "display_order")
+    return exercise_rows.join(shown, [*keys, "skill"]).select(*keys, "display_order", "skill", "exercise", "entry", "scale")

@@ -1,7 +1,6 @@
 """From activities to ledger rows: units, soft cap, ground, discovery, feeds.
 
-Every step is a projection or a grouping by activity; the rule table is fixed
-and broadcast.  XP is rounded once, half up, when a row is written; feeds take
+Every step is a projection or a grouping by activity; the rule table is a few rows.  XP is rounded once, half up, when a row is written; feeds take
 the rounded XP of their feeders.
 """
 
@@ -23,7 +22,7 @@ def set_units(selected: DataFrame, sets: DataFrame, exercises: DataFrame) -> Dat
     """
     scaled = exercises.filter("scale IS NOT NULL").select(F.col("skill").alias("x_skill"), F.col("exercise").alias("x_exercise"), "entry", "scale")
     wanted = selected.filter(F.col("measure").contains(":")).select("activity_id", "skill", F.split("measure", ":").alias("m"))
-    rows = wanted.join(sets, "activity_id").join(F.broadcast(scaled), (F.col("skill") == F.col("x_skill")) & (F.col("exercise") == F.col("x_exercise")), "left")
+    rows = wanted.join(sets, "activity_id").join(scaled, (F.col("skill") == F.col("x_skill")) & (F.col("exercise") == F.col("x_exercise")), "left")
     field = F.when(F.col("entry") == "count", F.col("reps")).otherwise(F.col("duration_s"))
     own = F.when(F.col("m")[0] == "reps", F.col("reps")).otherwise(F.col("duration_s"))
     value = F.when(F.col("scale").isNotNull(), F.coalesce(field, F.lit(0)) * F.col("scale")).when(F.col("exercise") == F.col("m")[1], F.coalesce(own, F.lit(0)).cast("double"))
@@ -87,7 +86,7 @@ def rate_ground(scored: DataFrame, split: DataFrame) -> DataFrame:
 def discovery_rows(awards: DataFrame, rule_rows: DataFrame) -> DataFrame:
     """Rows for cells found: counts times the skill's multipliers, classes that pay nothing left out."""
     skills = rule_rows.filter("enabled AND cells_new IS NOT NULL").select("skill", "display_order", "xp_per_unit", "cells_new", "cells_rearmed")
-    rows = awards.join(F.broadcast(skills))
+    rows = awards.join(skills)  # a few rows of the rule table
     kinds = F.array(*[
         F.struct(F.lit(i).alias("pos"), F.lit(f"cells_{c}").alias("reason"), F.col(f"{c}_cells").cast("double").alias("units"), (F.col(f"{c}_cells") * F.col(f"cells_{c}")).alias("units_effective"), F.col(f"cells_{c}").alias("mult"))
         for i, c in enumerate(("new", "rearmed"))

@@ -61,12 +61,6 @@ def skills_panel(spark, sf_dir):
     return r.panel(rules(spark), _states(ledger_entries(spark, sf_dir)))
 
 
-def log_rows(spark, sf_dir):
-    """Exercises of enabled activity skills, flattened in the order shown."""
-    rows = exercises(spark).join(F.broadcast(rules(spark).filter("enabled AND skill_kind = 'activity'").select("skill", "display_order")), "skill")
-    return rows.select("display_order", "skill", "exercise", "entry", "scale")
-
-
 def latest_traced_run(spark, sf_dir):
     return r.latest_traced(activities(spark, sf_dir))
 
@@ -120,7 +114,7 @@ def sweep_metrics(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        run_ledger, tally, xp_before_run, landmark_walk, places_crossed, recent_sessions, next_level, level_cards, milestones_crossed, skills_panel, log_rows,
+        run_ledger, tally, xp_before_run, landmark_walk, places_crossed, recent_sessions, next_level, level_cards, milestones_crossed, skills_panel, 
         latest_traced_run, first_traced_run, keyset_page, history_upto, cursor_codec, activity_ledger, skill_snapshot, ledger_audit, sweep_metrics,
     )
 }
@@ -163,7 +157,6 @@ ORACLE_SQL = {
         CASE WHEN coalesce(s.xp, 0) <= 0 THEN 'untrained' ELSE 'trained_' || skill_kind END AS part
         FROM (SELECT DISTINCT user_id FROM state) u CROSS JOIN (SELECT * FROM rules WHERE enabled) r LEFT JOIN state s ON s.user_id = u.user_id AND s.skill = r.skill)
       SELECT user_id, part, CAST(row_number() OVER (PARTITION BY user_id, part ORDER BY display_order, skill) AS INT) AS place, skill, xp FROM x""",
-    "log_rows": f"WITH {rules_sql()}, {exercises_sql()} SELECT display_order, e.skill, exercise, entry, scale FROM exercises e JOIN rules r ON e.skill = r.skill WHERE enabled AND skill_kind = 'activity'",
     "latest_traced_run": f"""WITH {_ACTIVE}, p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, activity_id DESC) AS place FROM a)
       SELECT user_id, min_by(activity_id, place) AS activity_id FROM p WHERE place <= 20 AND has_trace AND status <> 'TOMBSTONED' GROUP BY 1""",
     "first_traced_run": f"WITH {_ACTIVE} SELECT user_id, min(started_at) AS started_at, min_by(activity_id, (started_at, activity_id)) AS activity_id FROM a WHERE has_trace AND status <> 'TOMBSTONED' GROUP BY 1",

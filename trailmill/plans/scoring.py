@@ -6,7 +6,7 @@ from trailmill.operators import rules as r
 from trailmill.operators import scoring as s
 from trailmill.plans.discovery import CLASSIFIED_SQL, _COUNTS, classified
 from trailmill.operators import discovery as d
-from trailmill.sources.tables import ACTIVITIES_SQL, SETS_SQL, activities, sets
+from trailmill.sources.tables import ACTIVITIES_SQL, SETS_SQL, activities, sets, table
 
 
 def selected(spark, sf_dir):
@@ -38,20 +38,43 @@ def rule_candidates(spark, sf_dir):
     return r.candidates(activities(spark, sf_dir), r.rules(spark)).groupBy("kind", "has_trace", "measure").agg(F.count("*").alias("n"), F.count_distinct("skill").alias("skills"))
 
 
+def rule_sets(spark, sf_dir):
+    """Parts as rules of many tables, a dozen a table, with faults of every kind."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name = lambda n: F.concat(F.lit("s"), n.cast("string"))
+    meta = size % 3 == 0
+    kind = lambda n: F.element_at(F.array(*map(F.lit, ("run", "walk,hike", "ride", "strength,other", "run,ride"))), (n % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        F.floor(k / 12).alias("set_id"), name(F.when(k % 37 == 0, 0).otherwise(k % 12)).alias("skill"), F.when(meta, "meta").otherwise("activity").alias("skill_kind"), (k % 9 > 0).alias("enabled"),
+        (size % 7).alias("introduced_in"), (k % 12 * 10).cast("int").alias("display_order"), F.when(k % 4 > 0, kind(k)).alias("kinds"), F.when(k % 3 > 0, k % 2 == 0).alias("requires_trace"),
+        F.when((k % 11 > 0) & (~meta | (k % 5 == 0)), F.when(k % 2 == 0, "distanceKm").otherwise("seconds:yoga")).alias("measure"), F.when(k % 6 > 0, size % 2).alias("priority"),
+        (F.col("p_retailprice") / 100 - F.when(k % 17 == 0, 1000).otherwise(0)).alias("xp_per_unit"), F.when(k % 5 > 0, (size - 2).cast("double")).alias("soft_cap"), F.when(k % 13 > 0, k % 2 == 0).alias("reveals"),
+        F.when(k % 8 == 0, "").otherwise(F.concat_ws(",", name(k * 7 % 14), F.when(k % 10 == 0, name(k % 12)))).alias("feeds"),
+    )
+
+
 def known_kinds(spark, sf_dir):
-    return r.rules(spark).filter("kinds IS NOT NULL").select(F.explode(F.split("kinds", ",")).alias("kind")).distinct()
+    return r.known_kinds(rule_sets(spark, sf_dir), "set_id")
 
 
 def rule_violations(spark, sf_dir):
-    return r.violations(r.rules(spark))
+    return r.violations(rule_sets(spark, sf_dir), "set_id")
 
 
 def feed_cycles(spark, sf_dir):
-    return r.feed_cycles(r.rules(spark))
+    return r.feed_cycles(rule_sets(spark, sf_dir), "set_id")
 
 
 def rule_ambiguities(spark, sf_dir):
-    return r.ambiguities(r.rules(spark))
+    return r.ambiguities(rule_sets(spark, sf_dir), "set_id")
+
+
+def log_rows(spark, sf_dir):
+    """Parts as exercises of the tables' skills."""
+    k = F.col("p_partkey")
+    entry = F.element_at(F.array(*map(F.lit, ("count", "minutes", "seconds", "distance"))), (F.col("p_size") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 12).alias("set_id"), F.concat(F.lit("s"), (k % 5).cast("string")).alias("skill"), F.col("p_name").alias("exercise"), entry.alias("entry"), F.when(k % 2 == 0, F.col("p_size").cast("double")).alias("scale"))
+    return r.log_rows(rule_sets(spark, sf_dir), rows, "set_id")
 
 
 def score_units(spark, sf_dir):
@@ -90,9 +113,10 @@ def level_for_xp(spark, sf_dir):
 
 
 def level_table(spark, sf_dir):
-    level = F.col("id")
-    return spark.range(1, 100).select(
-        level.alias("level"), s.cumulative_xp(level).alias("xp"), (level * level * s.STEP).alias("to_advance"),
+    """Of every level that an order's number names: its XP, what is missing to the next, and the levels at it and just below."""
+    level = F.col("level")
+    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 98 + 1).alias("level")).distinct().select(
+        "level", s.cumulative_xp(level).alias("xp"), (level * level * s.STEP).alias("to_advance"),
         s.level_for_xp(s.cumulative_xp(level)).cast("int").alias("at"), s.level_for_xp(s.cumulative_xp(level) - 1).cast("int").alias("below"),
     )
 
@@ -145,7 +169,7 @@ def rescore_diff(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_select, rule_candidates, known_kinds, rule_violations, feed_cycles, rule_ambiguities, score_units, reveal_gate, soft_cap, ground_rate,
+        rule_select, rule_candidates, known_kinds, log_rows, rule_violations, feed_cycles, rule_ambiguities, score_units, reveal_gate, soft_cap, ground_rate,
         discovery_rows, ledger_rows, xp_by_skill, level_for_xp, level_table, level_progress, total_level, award_clamp, reconcile_floors, rescore_diff,
     )
 }
@@ -207,17 +231,29 @@ LEDGER_SQL = f"""{_BASE}, {grounded_sql()}, rated AS (
 
 LEVEL_SQL = "CAST((SELECT greatest(1, count(*)) FROM (SELECT 4 * (l - 1) * l * (2 * l - 1) // 6 AS c FROM range(1, 100) t(l)) WHERE c <= {xp}) AS INT)"
 
+_RULE_SETS = """t AS (SELECT p_partkey // 12 AS set_id, 's' || (CASE WHEN p_partkey % 37 = 0 THEN 0 ELSE p_partkey % 12 END) AS skill, CASE WHEN p_size % 3 = 0 THEN 'meta' ELSE 'activity' END AS skill_kind, p_partkey % 9 > 0 AS enabled,
+  p_size % 7 AS introduced_in, CAST(p_partkey % 12 * 10 AS INT) AS display_order, CASE WHEN p_partkey % 4 > 0 THEN ['run', 'walk,hike', 'ride', 'strength,other', 'run,ride'][p_partkey % 5 + 1] END AS kinds,
+  CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 2 = 0 END AS requires_trace, CASE WHEN p_partkey % 11 > 0 AND (p_size % 3 > 0 OR p_partkey % 5 = 0) THEN CASE WHEN p_partkey % 2 = 0 THEN 'distanceKm' ELSE 'seconds:yoga' END END AS measure,
+  CASE WHEN p_partkey % 6 > 0 THEN p_size % 2 END AS priority, p_retailprice / 100 - CASE WHEN p_partkey % 17 = 0 THEN 1000 ELSE 0 END AS xp_per_unit, CASE WHEN p_partkey % 5 > 0 THEN CAST(p_size - 2 AS DOUBLE) END AS soft_cap,
+  CASE WHEN p_partkey % 13 > 0 THEN p_partkey % 2 = 0 END AS reveals, CASE WHEN p_partkey % 8 = 0 THEN '' ELSE 's' || (p_partkey * 7 % 14) || CASE WHEN p_partkey % 10 = 0 THEN ',s' || (p_partkey % 12) ELSE '' END END AS feeds FROM part)"""
+
 ORACLE_SQL = {
     "rule_select": f"WITH {_BASE} SELECT activity_id, measure, skill FROM selected",
     "rule_candidates": f"WITH {_BASE} SELECT kind, has_trace, measure, count(*) AS n, count(DISTINCT skill) AS skills FROM activities JOIN rules ON {_MATCH} GROUP BY 1, 2, 3",
-    "known_kinds": f"WITH {r.rules_sql()} SELECT DISTINCT unnest(string_split(kinds, ',')) AS kind FROM rules WHERE kinds IS NOT NULL",
-    "rule_violations": f"""WITH {r.rules_sql()} SELECT 'skills.' || skill AS path, 'needs a match' AS message FROM rules WHERE (skill_kind = 'activity' AND (measure IS NULL OR reveals IS NULL))
-      OR (skill_kind = 'meta' AND measure IS NOT NULL) OR xp_per_unit < 0 OR soft_cap <= 0 OR introduced_in > 5""",
-    "feed_cycles": f"""WITH RECURSIVE {r.rules_sql()}, e AS (SELECT skill AS a, unnest(string_split(feeds, ',')) AS b FROM rules),
-      p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a AS skill FROM p WHERE a = b""",
-    "rule_ambiguities": f"""WITH {r.rules_sql()}, c AS (SELECT * FROM (VALUES ('run'), ('walk'), ('hike'), ('ride'), ('strength'), ('other')) k(kind), (VALUES (true), (false)) t(has_trace))
-      SELECT kind, has_trace, measure, count(*) AS n, string_agg(skill, ',' ORDER BY skill) AS skills FROM (SELECT *, rank() OVER (PARTITION BY kind, has_trace, measure ORDER BY coalesce(priority, 0) DESC) AS k
-      FROM c JOIN rules ON {_MATCH}) WHERE k = 1 GROUP BY 1, 2, 3 HAVING count(*) > 1""",
+    "known_kinds": f"WITH {_RULE_SETS} SELECT DISTINCT set_id, unnest(string_split(kinds, ',')) AS kind FROM t WHERE kinds IS NOT NULL",
+    "rule_violations": f"""WITH {_RULE_SETS}, f AS (SELECT set_id, skill, unnest(string_split(feeds, ',')) AS target FROM t)
+      SELECT set_id, 'skills.' || skill AS path, unnest(list_filter([CASE WHEN skill_kind = 'activity' AND measure IS NULL THEN 'needs a match' END, CASE WHEN skill_kind = 'activity' AND reveals IS NULL THEN 'needs reveals' END,
+        CASE WHEN skill_kind = 'meta' AND measure IS NOT NULL THEN 'meta must not match' END, CASE WHEN xp_per_unit < 0 THEN 'negative rate' END, CASE WHEN soft_cap <= 0 THEN 'soft cap must be positive' END,
+        CASE WHEN introduced_in > 5 THEN 'introduced after this version' END], lambda x: x IS NOT NULL)) AS message FROM t
+      UNION ALL SELECT set_id, 'skills.' || skill, 'duplicate id' FROM t GROUP BY set_id, skill HAVING count(*) > 1
+      UNION ALL SELECT set_id, 'skills.' || skill || '.feeds', 'unknown skill ' || target FROM f WHERE target <> '' AND NOT EXISTS (SELECT 1 FROM t WHERE t.set_id = f.set_id AND t.skill = f.target)""",
+    "feed_cycles": f"""WITH RECURSIVE {_RULE_SETS}, e AS (SELECT DISTINCT set_id, skill AS a, unnest(string_split(feeds, ',')) AS b FROM t),
+      p AS (SELECT set_id, a, b FROM e WHERE b <> '' UNION SELECT p.set_id, p.a, e.b FROM p JOIN e ON p.set_id = e.set_id AND p.b = e.a AND e.b <> '') SELECT set_id, a AS skill FROM p WHERE a = b""",
+    "rule_ambiguities": f"""WITH {_RULE_SETS}, c AS (SELECT * FROM (VALUES ('run'), ('walk'), ('hike'), ('ride'), ('strength'), ('other')) k(kind), (VALUES (true), (false)) h(has_trace))
+      SELECT set_id, kind, has_trace, measure, count(*) AS n, string_agg(skill, ',' ORDER BY skill) AS skills FROM (SELECT *, rank() OVER (PARTITION BY set_id, kind, has_trace, measure ORDER BY coalesce(priority, 0) DESC) AS k
+      FROM c JOIN t ON skill_kind = 'activity' AND enabled AND measure IS NOT NULL AND (kinds IS NULL OR list_contains(string_split(kinds, ','), kind)) AND (requires_trace IS NULL OR requires_trace = has_trace)) WHERE k = 1 GROUP BY 1, 2, 3, 4 HAVING count(*) > 1""",
+    "log_rows": f"""WITH {_RULE_SETS} SELECT t.set_id, display_order, t.skill, p_name AS exercise, ['count', 'minutes', 'seconds', 'distance'][p_size % 4 + 1] AS entry, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS scale
+      FROM part JOIN t ON t.set_id = p_partkey // 12 AND t.skill = 's' || (p_partkey % 5) WHERE enabled AND skill_kind = 'activity'""",
     "score_units": f"WITH {_BASE} SELECT activity_id, skill, round(units, 6) AS units FROM scored",
     "reveal_gate": f"WITH {_BASE} SELECT activity_id, bool_or(reveals AND units >= min_units) AS reveals FROM scored GROUP BY 1",
     "soft_cap": f"WITH {_BASE} SELECT activity_id, skill, round({_CAP}, 4) AS capped FROM scored WHERE soft_cap IS NOT NULL",
@@ -227,7 +263,7 @@ ORACLE_SQL = {
     "xp_by_skill": f"WITH {LEDGER_SQL} SELECT user_id, skill, CAST(sum(xp) AS BIGINT) AS xp, count(*) AS n_rows FROM ledger GROUP BY 1, 2",
     "level_for_xp": f"SELECT o_orderkey * 97 AS xp, {LEVEL_SQL.format(xp='o_orderkey * 97')} AS level FROM orders",
     "level_table": f"""SELECT level, xp, 4 * level * level AS to_advance, {LEVEL_SQL.format(xp='xp')} AS "at", {LEVEL_SQL.format(xp='xp - 1')} AS below
-      FROM (SELECT l AS level, 4 * (l - 1) * l * (2 * l - 1) // 6 AS xp FROM range(1, 100) t(l))""",
+      FROM (SELECT l AS level, 4 * (l - 1) * l * (2 * l - 1) // 6 AS xp FROM (SELECT DISTINCT o_orderkey % 98 + 1 AS l FROM orders))""",
     "level_progress": f"""WITH {LEDGER_SQL}, st AS (SELECT user_id, skill, CAST(sum(xp) AS BIGINT) AS xp FROM ledger GROUP BY 1, 2), lv AS (SELECT *, least(99, greatest({LEVEL_SQL.format(xp='st.xp')}, 20)) AS level FROM st)
       SELECT user_id, skill, xp, level, CAST(CASE WHEN level >= 99 THEN 0 ELSE greatest(nx - greatest(xp, fl), 0) END AS BIGINT) AS xp_to_next,
         round(CASE WHEN level >= 99 THEN 1.0::DOUBLE ELSE least(greatest(xp - fl, 0), nx - fl) / (nx - fl) END, 6) AS fraction
