@@ -14,7 +14,9 @@ only thing broadcast, and a larger benchmark makes them denser, not larger.
 
 Defined results: null texts have no words; a null item_id is the empty string;
 rows with equal item_id are one item; repeated documents are judged alike; with
-an empty benchmark no document is hit; an empty table gives an empty result.
+an empty benchmark no document is hit; an empty table gives an empty result;
+very long texts are searched whole, their hits in one row; shingles of equal
+rarity are ordered by hash; other columns are not touched.
 """
 
 from __future__ import annotations

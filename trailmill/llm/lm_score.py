@@ -16,7 +16,10 @@ among HEAD are looked up from a broadcast of that size, all others are joined.
 
 Defined results: a null text is empty and still has its end token; a null
 doc_id counts as the empty string in the split; repeated rows score alike; an
-empty table gives an empty result; with no training document every token is unknown.
+empty table gives an empty result; with no training document every token is unknown;
+a very long text is scored whole by the task that reads it; tokens of equal counts
+are ordered by hash; other columns are not touched.  The score, not the base,
+depends on how the table is partitioned, since gradients are added up per part.
 """
 
 from __future__ import annotations

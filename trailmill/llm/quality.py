@@ -13,7 +13,8 @@ feed the sketches.
 
 Defined results: a null or empty text has no words and fails the base rule; null
 languages and sources are groups of their own; repeated rows are judged alike;
-an empty table gives an empty result.
+an empty table gives an empty result; very long texts are counted whole where
+they lie; a value at a fence is kept; other columns are not touched.
 """
 
 from __future__ import annotations

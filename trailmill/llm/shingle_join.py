@@ -26,7 +26,9 @@ task holds an unbounded group.  Only sets of texts that are asked for are shuffl
 Defined results: a null text, or one without words, has the empty set and is
 linked with nothing; fewer than five words are one shingle, their whole
 sequence; repeated rows are one class; a null doc_id is never the smallest; an
-empty table gives an empty result.
+empty table gives an empty result; a very long text is one set, made by the task
+that reads it; shingles of equal rarity are ordered by hash; other columns are
+not touched.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ others go through the library's merges, each distinct one once per worker.
 
 Defined results: a null or empty text has no tokens; special strings inside
 texts count as the one special token, as is the library's default; repeated
-rows are counted alike; an empty table gives an empty result.
+rows are counted alike; an empty table gives an empty result; a very long text is
+counted by the task that reads it; no ties arise; other columns are not touched.
 """
 
 from __future__ import annotations
