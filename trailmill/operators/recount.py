@@ -26,9 +26,9 @@ def retracted(activities: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def credited_counts(ledger: DataFrame) -> DataFrame:
-    """Per activity the most units credited as new and as rearmed ground."""
-    most = lambda r: F.coalesce(F.max(F.when(F.col("reason") == r, F.col("units"))), F.lit(0)).alias(r)
-    return ledger.groupBy("activity_id").agg(most("new_ground"), most("distance"))
+    """(activity_id, credited_new, credited_rearmed): the most cells that a row credits as new and as rearmed."""
+    most = lambda c: F.coalesce(F.max(F.when(F.col("reason") == f"cells_{c}", F.col("units"))), F.lit(0.0)).cast("long").alias(f"credited_{c}")
+    return ledger.groupBy("activity_id").agg(most("new"), most("rearmed"))
 
 
 def class_audit(stored: DataFrame, classified: DataFrame) -> DataFrame:

@@ -109,6 +109,13 @@ ORACLE_SQL = {
     "dwell_islands": f"""WITH {_STEPS} SELECT user_id, CAST(island AS BIGINT) AS island, min(seq) AS first_seq, count(*) AS n, (max(t_ms) - min(t_ms)) / 1000 AS seconds,
       count(*) > 1 AND (max(t_ms) - min(t_ms)) / 1000 >= 3600 AS dwell FROM (
       SELECT *, sum(CASE WHEN s IS NULL OR {_SPEED} >= 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY seq) AS island FROM steps) GROUP BY 1, 2""",
+    "densify": f"""WITH p AS ({POINTS_SQL}), e AS (SELECT *, {_metres('lat', 'lng', 'lat2', 'lng2')} AS m FROM (SELECT *, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2 FROM p WINDOW w AS (PARTITION BY user_id ORDER BY seq))),
+      n AS (SELECT *, CAST(CASE WHEN lat2 IS NULL THEN 1 ELSE greatest(1, ceil(m / 2000)) END AS INT) AS n, CASE WHEN lat2 IS NULL THEN 0 ELSE m / 6371008.8::DOUBLE END AS d FROM e),
+      k AS (SELECT *, k / n::DOUBLE AS f FROM (SELECT *, unnest(range(n)) AS k FROM n)),
+      s AS (SELECT *, CASE WHEN sin(d) = 0 THEN 0 ELSE sin((1 - f) * d) / sin(d) END AS s1, CASE WHEN sin(d) = 0 THEN 0 ELSE sin(f * d) / sin(d) END AS s2 FROM k),
+      v AS (SELECT *, s1 * cos(radians(lat)) * cos(radians(lng)) + s2 * cos(radians(coalesce(lat2, lat))) * cos(radians(coalesce(lng2, lng))) AS x,
+        s1 * cos(radians(lat)) * sin(radians(lng)) + s2 * cos(radians(coalesce(lat2, lat))) * sin(radians(coalesce(lng2, lng))) AS y, s1 * sin(radians(lat)) + s2 * sin(radians(coalesce(lat2, lat))) AS z FROM s)
+      SELECT user_id, count(*) AS n, round(sum(CASE WHEN sin(d) = 0 THEN lat ELSE degrees(atan2(z, sqrt(x * x + y * y))) END), 3) AS lat_sum FROM v GROUP BY 1""",
     "speed_gate": f"""WITH RECURSIVE p AS ({POINTS_SQL}), g AS (
       SELECT user_id, seq, t_ms, lat, lng, 1 AS kept, 0 AS rejected FROM p WHERE seq = 1
       UNION ALL SELECT user_id, seq, CASE WHEN ok THEN t2 ELSE t_ms END, CASE WHEN ok THEN lat2 ELSE lat END, CASE WHEN ok THEN lng2 ELSE lng END,
