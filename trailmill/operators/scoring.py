@@ -129,8 +129,9 @@ def ledger_rows(grounded: DataFrame, awards: DataFrame, rule_rows: DataFrame) ->
 
     def fed(rule: Column) -> Column:
         givers = F.filter("own", lambda o: F.array_contains(F.split(o["feeds"], ","), rule["skill"]))
-        total = lambda f: F.aggregate(givers, F.lit(0.0), lambda a, o: a + f(o))
-        units, paid = total(lambda o: o["xp"].cast("double")), total(lambda o: o["xp"] * F.lit(FEED_RATE))
+        # The XP are added as whole numbers and multiplied once: a sum of products would depend on the order of the rows.
+        units = F.aggregate(givers, F.lit(0).cast("long"), lambda a, o: a + o["xp"]).cast("double")
+        paid = units * FEED_RATE
         return row(part=F.lit(2), major=rule["skill"], pos=F.lit(0), skill=rule["skill"], reason=F.lit("constitution_share"), units=units, units_effective=paid, xp=xp(paid, F.lit(1.0)))
 
     kept = F.array_sort(F.filter(F.concat(mine, cells, F.transform("rules", fed)), lambda r: (r["units"] > 0) & (r["xp"] > 0)))
