@@ -3,6 +3,9 @@
 import datetime as dt
 import itertools
 
+from pyspark.sql import functions as F
+
+from trailmill.functions import text
 from trailmill.operators import scoring
 
 
@@ -16,3 +19,9 @@ def test_feeds_do_not_depend_on_the_order_of_rows(spark):
     awards = spark.createDataFrame([(i, 0, 0) for i in range(len(orders))], "activity_id long, new_cells long, rearmed_cells long")
     out = scoring.ledger_rows(spark.createDataFrame(rows, kind).coalesce(1), awards, rules).filter("reason = 'constitution_share'")
     assert [(r["units"], r["units_effective"], r["xp"]) for r in out.collect()] == [(5000.0, 1666.5, 1667)] * len(orders)
+
+
+def test_clock_of_a_thousand_hours(spark):
+    n = [0, 59, 3599, 3600, 3_599_999, 3_600_000, 9_000_000, 10**12]
+    df = spark.createDataFrame([(x,) for x in n], "n long").select("n", text.seconds_of(text.clock(F.col("n"))).alias("s"))
+    assert {r["n"]: r["s"] for r in df.collect()} == {x: x for x in n}

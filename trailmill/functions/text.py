@@ -70,9 +70,9 @@ def clock(seconds: Column) -> Column:
 
 
 def seconds_of(text: Column) -> Column:
-    """Seconds of m:ss or h:mm:ss; null for anything else."""
+    """Seconds of m:ss or h:mm:ss, hours of any number of digits that a long holds in seconds; null for anything else."""
     part = lambda i: F.try_element_at(F.split(text, ":"), F.lit(i)).cast("long")
-    long_, short = text.rlike(r"^\d{1,3}:[0-5]\d:[0-5]\d$"), text.rlike(r"^\d{1,3}:[0-5]\d$")
+    long_, short = text.rlike(r"^\d{1,15}:[0-5]\d:[0-5]\d$"), text.rlike(r"^\d{1,3}:[0-5]\d$")
     return F.when(long_, part(1) * 3600 + part(2) * 60 + part(3)).when(short, part(1) * 60 + part(2))
 
 
