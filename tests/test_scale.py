@@ -2,11 +2,12 @@
 
 import datetime as dt
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
 from trailmill.functions import text
-from trailmill.operators import scoring
+from trailmill.operators import chronicle, scoring
 
 
 def test_feeds_do_not_depend_on_the_order_of_rows(spark):
@@ -25,3 +26,26 @@ def test_clock_of_a_thousand_hours(spark):
     n = [0, 59, 3599, 3600, 3_599_999, 3_600_000, 9_000_000, 10**12]
     df = spark.createDataFrame([(x,) for x in n], "n long").select("n", text.seconds_of(text.clock(F.col("n"))).alias("s"))
     assert {r["n"]: r["s"] for r in df.collect()} == {x: x for x in n}
+
+
+def test_facts_of_the_trailing_year(spark):
+    """Edges of the year, shared instants, years before 1970 and runs without a distance; and no frame that slides over a year."""
+    rnd, year = random.Random(3), dt.timedelta(days=365)
+    start = dt.datetime(1968, 5, 1)
+    at = [start + dt.timedelta(days=rnd.randrange(1500)) for _ in range(150)]
+    at += [t + year for t in at[:40]] + [t + year + dt.timedelta(microseconds=1) for t in at[40:60]] + at[60:80]
+    rows = [(i % 2, i, t, rnd.randrange(3), rnd.choice([None, 0.0, float(rnd.randrange(1, 40))])) for i, t in enumerate(at)]
+    df = chronicle.facts(spark.createDataFrame(rows, "user_id long, activity_id long, started_at timestamp_ntz, new_cells long, distance_m double"))
+    for r in df.collect():
+        own = next(x for x in rows if x[1] == r["activity_id"])
+        earlier = [x for x in rows if x[0] == own[0] and (x[2], x[1]) < (own[2], own[1])]
+        roads = [x for x in earlier if x[4]]
+        recent = [x[4] for x in roads if x[2] >= own[2] - year]
+        road = own[4] or None
+        best = lambda least, m: int(road is not None and len(m) >= least and max(m) < road)
+        assert r["cells_before"] == sum(x[3] for x in earlier)
+        assert r["road_count"] == (len(roads) + 1 if road else None)
+        assert r["longest_in_year"] == best(8, recent) and r["longest_ever"] == best(20, [x[4] for x in roads])
+    assert df.count() == len(rows)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, -" not in plan and "RangeFrame" in plan

@@ -15,27 +15,39 @@ LEAGUE_M = 4828.032
 def facts(runs: DataFrame) -> DataFrame:
     """(user_id, activity_id, started_at, new_cells, distance_m) with what its strictly earlier runs add up to.
 
-    Earlier is by (started_at, activity_id).  The trailing year is a range of
-    time, which cannot tell runs of one instant apart, so it is joined from the
-    instants before and the run's own instant up to it.
+    Earlier is by (started_at, activity_id).  Time is cut into blocks of a year,
+    so the trailing year of a run is what is earlier in its own block and the
+    block before it from the instant a year ago on; both are running sums, and
+    no run goes through the runs of its year.
     """
     at = F.unix_micros(F.col("started_at").cast("timestamp"))
     road = F.when(F.col("distance_m") > 0, F.col("distance_m"))
     rows = runs.withColumns({"at_us": at, "road": road})
-    user = Window.partitionBy("user_id")
-    before = user.orderBy("started_at", "activity_id").rowsBetween(Window.unboundedPreceding, -1)
-    year = user.orderBy("at_us").rangeBetween(-YEAR_US, -1)
-    instant = Window.partitionBy("user_id", "at_us").orderBy("activity_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("block", F.floor((F.col("at_us") - F.pmod(F.col("at_us"), F.lit(YEAR_US))) / YEAR_US).cast("long"))
+    before = Window.partitionBy("user_id").orderBy("started_at", "activity_id").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy("user_id", "block").orderBy("started_at", "activity_id").rowsBetween(Window.unboundedPreceding, -1)
     none = lambda c: F.coalesce(c, F.lit(0))
-    known = rows.select(
-        "user_id", "activity_id", "started_at", "new_cells", "road",
+    summed = rows.select(
+        "user_id", "activity_id", "started_at", "new_cells", "road", "at_us", "block",
         none(F.sum("new_cells").over(before)).alias("cells_before"),
         none(F.count("road").over(before)).alias("roads_before"),
         F.coalesce(F.sum("road").over(before), F.lit(0.0)).alias("metres_before"),
         F.max("road").over(before).alias("longest_before"),
-        (F.count("road").over(year) + F.count("road").over(instant)).alias("roads_in_year"),
-        F.greatest(F.max("road").over(year), F.max("road").over(instant)).alias("longest_in_year_before"),
+        F.count("road").over(here).alias("roads_here"),
+        F.max("road").over(here).alias("longest_here"),
     )
+    # Each run is in its block, and asks in the block before, a year ago; rows of one instant are peers of the frame.
+    asks = F.explode(F.array(F.lit(True), F.lit(False))).alias("asks")
+    sides = summed.select("*", asks).filter("asks OR road IS NOT NULL").withColumns({
+        "block": F.when(F.col("asks"), F.col("block") - 1).otherwise(F.col("block")),
+        "at_us": F.when(F.col("asks"), F.col("at_us") - YEAR_US).otherwise(F.col("at_us")),
+        "past": F.when(~F.col("asks"), F.col("road")),
+    })
+    since = Window.partitionBy("user_id", "block").orderBy(F.desc("at_us"))
+    known = sides.withColumns({
+        "roads_in_year": F.col("roads_here") + F.count("past").over(since),
+        "longest_in_year_before": F.greatest("longest_here", F.max("past").over(since)),
+    }).filter("asks")
     beats = lambda least, n, longest: (F.col("road").isNotNull() & (n >= least) & (longest < F.col("road"))).cast("int")
     return known.select(
         "user_id", "activity_id", "started_at", "new_cells",
