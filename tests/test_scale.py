@@ -4,10 +4,11 @@ import datetime as dt
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from trailmill.functions import text
-from trailmill.operators import chronicle, scoring
+from trailmill.operators import chronicle, grid, rearm, scoring
 
 
 def test_feeds_do_not_depend_on_the_order_of_rows(spark):
@@ -49,3 +50,28 @@ def test_facts_of_the_trailing_year(spark):
     assert df.count() == len(rows)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "RangeFrame, -" not in plan and "RangeFrame" in plan
+
+
+def test_rearm_needs_no_row_for_a_near_cell(spark, monkeypatch):
+    """Against a plain search, with shared instants, a year's gap and batches of three rows; no plan may explode the near cells."""
+    monkeypatch.setattr(rearm, "CELLS", 4)
+    rnd, day = random.Random(5), dt.timedelta(days=1)
+    start = dt.datetime(1969, 6, 1)
+    runs = [(i % 2, i, start + rnd.randrange(400) * day, rnd.sample(range(300), rnd.randrange(1, 4))) for i in range(120)]
+    runs += [(0, 200 + i, start + (365 + (i // 3) * 60) * day, rnd.sample(range(300), 2)) for i in range(12)]
+    discs = lambda cells: grid.discs_of(cells, 4)
+    expected = set()
+    for user, run, at, own in runs:
+        near = set(discs(np.array(own))[1].tolist()) - set(own)
+        seen = {c: max((t for u, _, t, cells in runs if u == user and c in cells and t <= at), default=None) for c in near}
+        waiting = [(t, c) for c, t in seen.items() if t is not None and t + 183 * day >= at + day]
+        if waiting:
+            expected.add((user, run, min(waiting)[1], min(waiting)[0] + 183 * day))
+    visits = spark.createDataFrame([(u, i, t, c) for u, i, t, own in runs for c in own], "user_id long, activity_id long, started_at timestamp_ntz, cell long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = rearm.first_to_rearm(visits, discs)
+        assert {tuple(r) for r in df.collect()} == expected and len(expected) > 60
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "array_except" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -146,23 +146,6 @@ def merge_cells(base: DataFrame, touched: DataFrame, day: Column) -> DataFrame:
     )
 
 
-def rearm_soon(near: DataFrame, visits: DataFrame) -> DataFrame:
-    """Per activity the cell near it that rearms first, a day from now at the earliest.
-
-    ``near``: (user_id, activity_id, started_at, cell) around the run and not in
-    it; a cell counts with its last visit at or before the run.
-    """
-    seen = visits.select("user_id", F.lit(None).cast("long").alias("activity_id"), "started_at", "cell", F.col("started_at").alias("s_at"))
-    asked = near.select("user_id", "activity_id", "started_at", "cell", F.lit(None).cast("timestamp_ntz").alias("s_at"))
-    # As of each run: rows of one instant are peers of the frame, so a visit at the run's own start counts.
-    upto = Window.partitionBy("user_id", "cell").orderBy("started_at")
-    latest = seen.unionByName(asked).withColumn("last_run_at", F.max("s_at").over(upto)).filter("activity_id IS NOT NULL AND last_run_at IS NOT NULL")
-    rearms = F.col("last_run_at") + F.expr(REARM)
-    waiting = latest.filter(rearms >= F.col("started_at") + F.expr("INTERVAL '1' DAY"))
-    first = waiting.groupBy("user_id", "activity_id").agg(F.min(F.struct("last_run_at", "cell")).alias("m"))
-    return first.select("user_id", "activity_id", F.col("m.cell").alias("cell"), (F.col("m.last_run_at") + F.expr(REARM)).alias("rearms_at"))
-
-
 def run_classes(classified: DataFrame) -> DataFrame:
     """Per activity the sorted new and rearmed cells, and when the rearmed were seen before, as text."""
     cells = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col("class") == c, F.col("cell")))).cast("array<string>"), ",")

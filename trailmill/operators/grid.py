@@ -8,6 +8,7 @@ of WIDTH columns, the stand-in for the driver's cells.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,16 +60,13 @@ def ring(cells: DataFrame, k: int, *keys: str) -> DataFrame:
     return cells.select(*keys, F.explode(disc(F.col("cell"), k)).alias("cell")).distinct()
 
 
-def near_cells(visits: DataFrame, k: int) -> DataFrame:
-    """Cells within k steps of a run's and not among them.
-
-    Rings are made once per distinct cell.  A run's own cells are one array,
-    which its length bounds, so that the cells to leave out need no join.
-    """
-    keys = ("user_id", "activity_id", "started_at")
-    rings = visits.select("cell").distinct().select(F.col("cell").alias("of"), disc(F.col("cell"), k).alias("ring"))
-    runs = visits.join(rings, F.col("cell") == F.col("of")).groupBy(*keys).agg(F.collect_set("cell").alias("own"), F.flatten(F.collect_list("ring")).alias("around"))
-    return runs.select(*keys, F.explode(F.array_except("around", "own")).alias("cell"))
+def discs_of(cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the cell asked, cell within k steps) as ``disc`` has them."""
+    dq, dr = (x.ravel() for x in np.meshgrid(np.arange(-k, k + 1), np.arange(-k, k + 1)))
+    dq, dr = dq[np.abs(dq + dr) <= k], dr[np.abs(dq + dr) <= k]
+    q, r = (cells % WIDTH)[:, None] + dq, (cells // WIDTH)[:, None] + dr
+    owner, step = np.nonzero((q >= 0) & (q < WIDTH) & (r >= 0) & (r < HEIGHT))
+    return owner, r[owner, step] * WIDTH + q[owner, step]
 
 
 def edge_cells(cells: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Queries of the discovery operators, with their SQL."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from trailmill.operators import discovery as d
 from trailmill.operators import grid
+from trailmill.operators.rearm import first_to_rearm
 from trailmill.sources.tables import VISITS_SQL, visits
 
 #: Stand-in parents: cells of a parent at resolutions 8, 7 and 6.
@@ -100,8 +103,7 @@ def run_classes(spark, sf_dir):
 
 
 def rearm_soon(spark, sf_dir):
-    v = visits(spark, sf_dir)
-    return d.rearm_soon(grid.near_cells(v, d.NEAR_RINGS), v)
+    return first_to_rearm(visits(spark, sf_dir), functools.partial(grid.discs_of, k=d.NEAR_RINGS))
 
 
 def frontier_cells(spark, sf_dir):

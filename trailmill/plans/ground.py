@@ -1,5 +1,7 @@
 """Queries of real ground: hexagon cells of walks, what they reveal, metres by its class, territory; with their SQL."""
 
+import functools
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from trailmill.operators import cells as c
 from trailmill.operators import discovery as d
 from trailmill.operators import places as p
 from trailmill.operators import routes
+from trailmill.operators.rearm import first_to_rearm
 from trailmill.plans.places import _AWAY, _SPEED, _metres, _stepped
 from trailmill.sources.tables import TRAILS_SQL, trails
 
@@ -71,9 +74,7 @@ def ground_bridges(spark, sf_dir):
 
 def rearm_near_runs(spark, sf_dir):
     """No SQL: the cell around each walk, and not in it, that rearms first."""
-    shown = run_cells(spark, sf_dir)
-    near = c.near_of_runs(shown, d.NEAR_RINGS, "user_id", "activity_id", "started_at")
-    return d.rearm_soon(near, shown)
+    return first_to_rearm(run_cells(spark, sf_dir), functools.partial(c.discs_of, k=d.NEAR_RINGS))
 
 
 QUERIES = {f.__name__: f for f in (point_cells, trail_reveals, ground_runs, cell_discs, territories, ground_bridges, rearm_near_runs)}
