@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trailmill.functions import text
-from trailmill.operators import chronicle, grid, rearm, scoring
+from trailmill.operators import chronicle, grid, rearm, reveal, scoring
 
 
 def test_feeds_do_not_depend_on_the_order_of_rows(spark):
@@ -75,3 +75,11 @@ def test_rearm_needs_no_row_for_a_near_cell(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "array_except" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exploded_places_are_not_broadcast(spark):
+    places = spark.createDataFrame([(1, 50.0, 8.0)], "c_custkey long, lat double, lng double")
+    edges = spark.createDataFrame([(7, 0, 50.0, 8.0, 50.0, 8.0001)], "user_id long, segment long, lat1 double, lng1 double, lat2 double, lng2 double")
+    df = reveal.walks_near(places, edges, 150.0, ["c_custkey"], "user_id", "segment")
+    assert [(r["c_custkey"], r["user_id"], r["m"]) for r in df.collect()] == [(1, 7, 0.0)]
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -155,10 +155,11 @@ def walks_near(asked: DataFrame, edges: DataFrame, radius_m: float, by: list[str
     """(by, keys, m): walks with an edge within the radius of each place (by, lat, lng), with the distance of the nearest.
 
     A place is looked up once a level; a walk that is met under several tiles or by several edges is one row.
+    The join is sorted: Spark knows the size of the places and not that they are exploded, and would send them all through the driver.
     """
     levels = F.explode(F.sequence(F.lit(0), F.lit(FINEST))).alias("level")
     at = asked.select(*by, F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), levels)
     tile = F.pow(F.lit(2.0), FINEST - F.col("level")).cast("long")
     at = at.withColumns({"tx": F.pmod(_index(F.col("p_lng"), F.col("level")), tile), "ty": _index(F.col("p_lat"), F.col("level"))})
-    met = covered(edges, radius_m).join(at, ["level", "tx", "ty"]).withColumn("m", metres_from_edge(F.col("p_lat"), F.col("p_lng")))
+    met = covered(edges, radius_m).join(at.hint("merge"), ["level", "tx", "ty"]).withColumn("m", metres_from_edge(F.col("p_lat"), F.col("p_lng")))
     return met.filter(F.col("m") <= radius_m).groupBy(*by, *keys).agg(F.min("m").alias("m"))
