@@ -37,8 +37,9 @@ def near_tiles(lat: Column, lng: Column, zoom: int) -> Column:
 def nearest_named(asked: DataFrame, places: DataFrame, most_m: float, zoom: int, *keys: str) -> DataFrame:
     """(keys, name, m): the nearest of (name, lat, lng) within ``most_m``, less than half a tile; equal to the millimetre, the first by name.
 
-    Places meet what is asked in one tile each; the minimum combines before its shuffle.
+    Places meet what is asked in one tile each; the minimum combines before its shuffle.  Of places at one spot only the first by name can be it.
     """
+    places = places.groupBy("lat", "lng").agg(F.min("name").alias("name"))
     px, py = tile(F.col("lat"), F.col("lng"), zoom)
     known = places.select("name", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), F.struct(F.pmod(F.floor(px), F.lit(2**zoom)).alias("x"), F.floor(py).alias("y")).alias("p_tile"))
     rows = asked.select(*keys, "lat", "lng", F.explode(near_tiles(F.col("lat"), F.col("lng"), zoom)).alias("tile"))
