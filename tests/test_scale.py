@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trailmill.functions import text
-from trailmill.operators import chronicle, grid, rearm, reveal, scoring
+from trailmill.operators import chronicle, dedupe, grid, places, rearm, reveal, scoring
 
 
 def test_feeds_do_not_depend_on_the_order_of_rows(spark):
@@ -83,3 +83,26 @@ def test_exploded_places_are_not_broadcast(spark):
     df = reveal.walks_near(places, edges, 150.0, ["c_custkey"], "user_id", "segment")
     assert [(r["c_custkey"], r["user_id"], r["m"]) for r in df.collect()] == [(1, 7, 0.0)]
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_duplicates_without_all_pairs(spark, monkeypatch):
+    """Against all pairs, with edges of buckets, unknown distances, NaN and equal ids; a thousand alike recordings meet only the first ones."""
+    rnd, start = random.Random(7), dt.datetime(1969, 12, 31, 22)
+    rows = [(rnd.choice([1, 2, None]), i // 2 if i % 50 == 1 else i, start + dt.timedelta(seconds=rnd.choice([0, 1, 300, 1500, 1499]) * rnd.randrange(9)), rnd.choice([0, 300, 301, 600, None]), rnd.choice([None, 50.0, 150.0, 5000.0, 5150.0, float("nan")]), i % 9 == 0) for i in range(400)]
+    kind = "user_id long, rec_id long, at timestamp_ntz, elapsed_s long, distance_m double, has_sets boolean"
+    df = spark.createDataFrame(rows, kind)
+    pairs = dedupe.near_pairs(df.filter("NOT has_sets")).groupBy("b").agg(F.min("a").alias("a"))
+    expected = sorted(map(tuple, pairs.collect()))
+    monkeypatch.setattr(dedupe, "PAIRS", 100)
+    out = dedupe.duplicate_of(df)
+    assert sorted(map(tuple, out.collect())) == expected and len(expected) > 100
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_at_one_spot_meet_what_is_asked_once(spark):
+    named = spark.createDataFrame([(f"n{k:03d}", 50.0, 8.0) for k in range(300)] + [("m", 50.0, 8.01)], "name string, lat double, lng double")
+    asked = spark.createDataFrame([(1, 50.0, 8.001), (2, 50.0, 8.005), (3, 50.0, 8.009)], "id long, lat double, lng double")
+    out = places.nearest_named(asked, named, 2500.0, 9, "id")
+    assert {r["id"]: r["name"] for r in out.collect()} == {1: "n000", 2: "m", 3: "m"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(name" in plan.split("Join")[1]

@@ -9,6 +9,8 @@ bucket beyond it, so an equi-join on (user, bucket) finds every pair.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ BUCKET_S = 1800
 START_S = 300
 ELAPSED_S = 300
 DISTANCE_M, DISTANCE_SHARE = 100.0, 0.03
+#: Most pairs that a search for duplicates compares at once.
+PAIRS = 1_000_000
 
 
 def seconds(at: Column) -> Column:
@@ -56,10 +60,47 @@ def near_pairs(recordings: DataFrame) -> DataFrame:
     return found.filter(first).select(F.col("a.user_id").alias("user_id"), F.col("a.rec_id").alias("a"), F.col("b.rec_id").alias("b"))
 
 
+def first_matches(at: np.ndarray, elapsed: np.ndarray, distance: np.ndarray, known: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each recording of one bucket, sorted by id, the place of the first with a smaller id that it matches, or -1.
+
+    Recordings that are still without a match meet the next few in order of id,
+    so a crowded bucket costs about as many comparisons as it takes to find one.
+    """
+    found = np.full(len(ids), -1)
+    waiting, start, width = np.arange(len(ids)), 0, 16
+    while len(waiting) and start < len(ids):
+        a, end = np.arange(start, min(len(ids), start + width)), start + width
+        for part in np.array_split(waiting, -(-len(waiting) * len(a) // PAIRS)):
+            b = part[:, None]
+            near = (ids[a] < ids[b]) & (np.abs(at[a] - at[b]) <= START_S) & (np.abs(elapsed[a] - elapsed[b]) <= ELAPSED_S)
+            with np.errstate(invalid="ignore"):
+                tolerance = np.maximum(DISTANCE_M, np.maximum(distance[a], distance[b]) * DISTANCE_SHARE)
+                near &= ~(known[a] & known[b]) | (np.abs(distance[a] - distance[b]) <= tolerance) | np.isnan(tolerance)
+            found[part] = np.where(near.any(axis=1), start + near.argmax(axis=1), -1)
+        waiting = waiting[(found[waiting] < 0) & (ids[waiting] > ids[a[-1]])]
+        start, width = end, width * 2
+    return found
+
+
 def duplicate_of(recordings: DataFrame) -> DataFrame:
-    """(rec_id, duplicate_of): the first earlier-numbered match; recordings with sets are never duplicates nor matched."""
-    pairs = near_pairs(recordings.filter("NOT has_sets"))
-    return pairs.groupBy(F.col("b").alias("rec_id")).agg(F.min("a").alias("duplicate_of"))
+    """(rec_id, duplicate_of): the first earlier-numbered match; recordings with sets are never duplicates nor matched.
+
+    Two that match share a bucket, so the first of a recording's one or two
+    buckets is the first of all; pairs beyond it are not made.
+    """
+    kind = recordings.schema["rec_id"].dataType.simpleString()
+    rows = recordings.filter("NOT has_sets AND user_id IS NOT NULL AND rec_id IS NOT NULL AND elapsed_s IS NOT NULL").withColumn("at_s", seconds(F.col("at")))
+    keyed = rows.select("user_id", F.explode(buckets(F.col("at_s"))).alias("bucket"), "rec_id", "at_s", "elapsed_s", F.col("distance_m").cast("double").alias("distance_m"))
+
+    def one(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.sort_by("rec_id")
+        distance, ids = bucket.column("distance_m"), bucket.column("rec_id").to_numpy()
+        known = distance.is_valid().to_numpy()
+        at = first_matches(bucket.column("at_s").to_numpy(), bucket.column("elapsed_s").to_numpy(), distance.fill_null(0.0).to_numpy(), known, ids)
+        return pa.table({"rec_id": ids[at >= 0], "duplicate_of": ids[at[at >= 0]]})
+
+    found = keyed.groupBy("user_id", "bucket").applyInArrow(one, f"rec_id {kind}, duplicate_of {kind}")
+    return found.groupBy("rec_id").agg(F.min("duplicate_of").alias("duplicate_of"))
 
 
 def absent(rows: DataFrame, archive: DataFrame, key: str) -> DataFrame:
