@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trailmill.functions import text
-from trailmill.operators import chronicle, dedupe, grid, places, rearm, reveal, scoring
+from trailmill.operators import chronicle, dedupe, grid, places, rearm, reveal, routes, scoring
 
 
 def test_feeds_do_not_depend_on_the_order_of_rows(spark):
@@ -106,3 +106,25 @@ def test_places_at_one_spot_meet_what_is_asked_once(spark):
     assert {r["id"]: r["name"] for r in out.collect()} == {1: "n000", 2: "m", 3: "m"}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "min(name" in plan.split("Join")[1]
+
+
+def test_parts_are_simplified_many_to_a_batch(spark):
+    """In batches of three rows, with parts of one point, of two, over many batches, and of no user; no group goes through Python alone."""
+    rnd = random.Random(9)
+    lengths = [1, 2, 3, 40, 2, 1, 7, 3, 3, 25]
+    given = {(u, s): [(40 + rnd.random() * 0.01, 8 + rnd.random() * 0.01) for _ in range(n)] for u in (1, 2, None) for s, n in enumerate(lengths)}
+    rows = [(u, s, k, *p) for (u, s), spots in given.items() for k, p in enumerate(spots)]
+    rnd.shuffle(rows)
+    expected = set()
+    for (u, s), spots in given.items():
+        lat, lng = (np.array(x) for x in zip(*spots, strict=True))
+        scale = routes.EARTH_M * np.pi / 180
+        kept = routes.kept_of(lng * scale * np.cos(np.radians(lat[0])), lat * scale, 300.0)
+        expected |= {(u, s, int(k)) for k in np.flatnonzero(kept)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = routes.simplified(spark.createDataFrame(rows, "user_id long, segment long, seq int, lat double, lng double"), 300.0)
+        assert {(r["user_id"], r["segment"], r["seq"]) for r in out.collect()} == expected and len(expected) < len(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -6,8 +6,10 @@ parts, the part goes into the key, so that the windows of ``trace`` serve.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,16 +109,63 @@ def simplified(points: DataFrame, tolerance_m: float = TOLERANCE_M) -> DataFrame
     """(user_id, segment, seq, lat, lng): the vertices of each part without those within the tolerance of the simpler line.
 
     One part is one group: its length is that of one recording without a gap.
+    Parts come sorted, many to a batch, and one that a batch cuts waits for the
+    next; parts of two points or less are passed as they are.
     """
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq", ignore_index=True)
-        scale = EARTH_M * np.pi / 180
-        keep = kept_of(part["lng"].to_numpy() * scale * np.cos(np.radians(part["lat"].iat[0])), part["lat"].to_numpy() * scale, tolerance_m)
-        return part[keep]
-
-    rows = points.select("user_id", "segment", "seq", "lat", "lng")
-    return rows.groupBy("user_id", "segment").applyInPandas(one, rows.schema)
+    scale = EARTH_M * np.pi / 180
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            start = int(_starts(batch)[-1])
+            if not start and held and _same_part(held[-1], batch):
+                held.append(batch)  # the whole batch goes on with the part
+                continue
+            if not start:
+                yield from whole(held)
+                held = [batch]
+                continue
+            yield from whole([*held, batch.slice(0, start)])
+            held = [batch.slice(start)]
+        yield from whole(held)
+
+    def whole(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        lat, lng = (table.column(c).to_numpy() for c in ("lat", "lng"))
+        starts = _starts(table)
+        ends = np.append(starts[1:], table.num_rows)
+        keep = np.ones(table.num_rows, bool)
+        for k in np.flatnonzero(ends - starts > 2):
+            a, b = starts[k], ends[k]
+            keep[a:b] = kept_of(lng[a:b] * scale * np.cos(np.radians(lat[a])), lat[a:b] * scale, tolerance_m)
+        yield from table.filter(pa.array(keep)).to_batches()
+
+    # Its work is far more than its bytes: the number of tasks is given, lest small partitions be put together.
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = points.select("user_id", "segment", "seq", "lat", "lng").repartition(n, "user_id", "segment").sortWithinPartitions("user_id", "segment", "seq")
+    return rows.mapInArrow(thinned, rows.schema)
+
+
+def _starts(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Where parts begin in rows that are sorted by (user_id, segment)."""
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for c in ("user_id", "segment"):
+        code = _whole(rows.column(c)).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _same_part(before: pa.RecordBatch, after: pa.RecordBatch) -> bool:
+    return all(before.column(c)[-1].as_py() == after.column(c)[0].as_py() for c in ("user_id", "segment"))
 
 
 def read_tracks(raw: DataFrame, *keys: str) -> DataFrame:
