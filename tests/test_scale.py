@@ -5,10 +5,13 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trailmill.functions import text
 from trailmill.operators import chronicle, dedupe, grid, places, rearm, reveal, routes, scoring
+from trailmill.plans.registry import QUERIES
+from trailmill.sources import tables
 
 
 def test_feeds_do_not_depend_on_the_order_of_rows(spark):
@@ -128,3 +131,16 @@ def test_parts_are_simplified_many_to_a_batch(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["home_map", "post_run_set", "tally", "ledger_audit", "touched_parents", "award_clamp", "award_totals", "bridge_pairs"])
+def test_tasks_grow_with_the_table(spark, monkeypatch, name):
+    """6000 order lines at 500 a task are joined, and classified, in 13 tasks or so, whatever the session's count; the rows stay."""
+    small = "/root/testdata/sf0.001"
+    before = sorted(map(repr, QUERIES[name](spark, small).collect()))
+    monkeypatch.setattr(tables.tasks, "__defaults__", (500,))
+    out = QUERIES[name](spark, small)
+    n = tables.tasks(spark, small, "lineitem")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert n > 10 and f", {n}), REPARTITION_BY_NUM" in plan
+    assert sorted(map(repr, out.collect())) == before

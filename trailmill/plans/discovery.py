@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trailmill.operators import discovery as d
 from trailmill.operators import grid
 from trailmill.operators.rearm import first_to_rearm
-from trailmill.sources.tables import VISITS_SQL, visits
+from trailmill.sources.tables import VISITS_SQL, spread, tasks, visits
 
 #: Stand-in parents: cells of a parent at resolutions 8, 7 and 6.
 LEVELS = {8: 7, 7: 49, 6: 343}
@@ -24,7 +24,7 @@ STATE_SQL = f"""{CLASSIFIED_SQL}, state AS (
 
 
 def classified(spark, sf_dir):
-    return d.classify_history(visits(spark, sf_dir))
+    return d.classify_history(spread(visits(spark, sf_dir), tasks(spark, sf_dir, "lineitem"), "user_id", "cell"))
 
 
 def discovery_fold(spark, sf_dir):

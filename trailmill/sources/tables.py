@@ -10,10 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that one task sorts and groups.
+TASK_ROWS = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, sf_dir: str, name: str, rows: int = TASK_ROWS) -> int:
+    """As many tasks as give each about ``rows`` of a table, counted from the files' footers."""
+    return -(-table(spark, sf_dir, name).count() // rows)
+
+
+def spread(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The rows dealt by keys over n tasks, so that a task's memory does not grow with the table.
+
+    What the session's cores take at once stays as it is and is dealt by the session's own rules.
+    """
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 #: Orders bear dates only; as starts of activities they are moved 25 years on and get hours and minutes.
 STARTED_SQL = "o_orderdate + to_days(9131) + to_hours(CAST(o_orderkey % 24 AS INT)) + to_minutes(CAST(o_orderkey % 60 AS INT))"
 
@@ -58,7 +75,9 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 300).alias("cell"))
     runs = activities(spark, sf_dir).select("user_id", "activity_id", "started_at")
-    return runs.join(lines, F.col("activity_id") == F.col("l_orderkey")).select("user_id", "activity_id", "started_at", "cell").distinct()
+    n = tasks(spark, sf_dir, "lineitem")
+    both = spread(runs, n, "activity_id").join(spread(lines, n, "l_orderkey"), F.col("activity_id") == F.col("l_orderkey"))
+    return both.select("user_id", "activity_id", "started_at", "cell").distinct()
 
 
 VISITS_SQL = f"""
@@ -138,7 +157,8 @@ def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") % 3 == 0, 4).otherwise(5).alias("rules_version"),
     )
     runs = activities(spark, sf_dir).select("user_id", "activity_id", "started_at")
-    return runs.join(lines, F.col("activity_id") == F.col("l_orderkey")).drop("l_orderkey")
+    n = tasks(spark, sf_dir, "lineitem")
+    return spread(runs, n, "activity_id").join(spread(lines, n, "l_orderkey"), F.col("activity_id") == F.col("l_orderkey")).drop("l_orderkey")
 
 
 LEDGER_SKILLS = ("wayfaring", "might", "cartography", "constitution", "roving")
