@@ -144,3 +144,11 @@ def test_tasks_grow_with_the_table(spark, monkeypatch, name):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert n > 10 and f", {n}), REPARTITION_BY_NUM" in plan
     assert sorted(map(repr, out.collect())) == before
+
+
+def test_samples_of_a_web_are_dealt_by_points(spark, monkeypatch):
+    from trailmill.plans import web
+
+    monkeypatch.setattr(web, "POINTS_A_TASK", 50)
+    plan = web.trace_web(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [user_id" in plan and ", 20" in plan

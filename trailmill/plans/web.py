@@ -4,13 +4,17 @@ from pyspark.sql import functions as F
 
 from trailmill.operators import web as w
 from trailmill.plans.ground import TRAIL, parts, parts_sql
-from trailmill.sources.tables import TRAILS_SQL
+from trailmill.sources.tables import TRAILS_SQL, tasks
+
+POINTS_A_TASK = 20_000
 
 
 def trace_web(spark, sf_dir):
     """Walks of a user in order; a line is named by its samples."""
     walked = parts(spark, sf_dir).select("user_id", F.col("segment").alias("run_id"), F.col("segment").alias("started_at"), "part", "seq", "lat", "lng")
-    lines = w.pieces(walked)
+    # Sampling makes far more rows than were shuffled: tasks go by points, lest small partitions be put together.
+    n = max(spark.sparkContext.defaultParallelism, tasks(spark, sf_dir, "events", POINTS_A_TASK))
+    lines = w.pieces(walked.repartition(n, *w.RUN))
     return lines.select("user_id", "run_id", "wear", "first_i", "last_i", F.size("points").alias("n"))
 
 
