@@ -103,3 +103,45 @@ def test_a_manual_entry_of_an_unknown_zone_is_refused(spark):
 def test_no_envelopes(spark):
     judged = sanitise.refusals(intake.read_envelopes(spark.createDataFrame([], "user_id int, raw string")))
     assert sanitise.sanitised_activities(judged, sanitise.flagged_points(judged)).select(F.col("bad")).count() == 0
+
+
+def test_envelopes_are_judged_whole_and_read_once(spark):
+    """Walks of 1 to 700 points, with and without times, gated side by side and alone, as by the plain fold; no shuffle of points, texts read once."""
+    rng, given = random.Random(7), walks() | {90: [], 91: [(40.0 + k * 1e-6, 10.0, k * 1000) for k in range(700)]}
+    given |= {100 + k: [(40 + rng.uniform(-0.05, 0.05) * (rng.random() < 0.3), 10.0, s * 1000) for s in range(n)] for k, n in enumerate((2, 3, 256, 257, 700))}
+    given = {w: [(*p[:2], p[2] - points[0][2]) for p in points] for w, points in given.items()}
+    rows, expected, flags = [], {}, {}
+    for w, points in given.items():
+        timed, sport = w % 5 > 0, ("Run", "Ride")[w % 2]
+        points = [(*p[:2], p[2] if timed else k * 1000) for k, p in enumerate(points)]
+        streams = {"latlng": {"data": [p[:2] for p in points]}} | ({"time": {"data": [p[2] // 1000 for p in points]}} if timed else {})
+        streams["altitude"] = {"data": [None if k % 3 else float(k) for k in range(len(points))]}
+        rows.append((w, envelope(id=w, sport_type=sport, streams=streams)))
+        done = folded(points, (12.5, 30.0)[w % 2])
+        flags |= {(w, k): (*f, None if k % 3 else float(k)) for k, f in enumerate(done)}
+        at = [p for p, (kept, _) in zip(points, done, strict=True) if kept]
+        cuts = [b or g > 30_000 for b, g in zip([b for kept, b in done if kept][1:], (y[2] - x[2] for x, y in zip(at, at[1:], strict=False)), strict=False)]
+        expected[w] = (len(at), len(points) - len(at), sum(b for _, b in done), sum(cuts) + 1, min(p[1] for p in at), max(p[0] for p in at)) if at else (None,) * 6
+    rows.append((200, envelope(start_date="soon")))
+    judged = sanitise.refusals(intake.read_envelopes(spark.createDataFrame(rows, "user_id int, raw string").repartition(2)))
+    out, points = sanitise.activities(judged), sanitise.flagged_points(judged)
+    found = {r["user_id"]: r for r in out.collect()}
+    assert found.pop(200)["bad"] == "no start" and found.keys() == expected.keys()
+    assert {w: tuple(r[c] for c in ("n_points", "rejected", "breaks", "segments", "west", "north")) for w, r in found.items()} == expected
+    assert {(r["user_id"], r["seq"]): (r["kept"], r["broke"], r["altitude"]) for r in points.collect()} == flags
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, sanitise.sanitised_activities(judged, points).collect()))
+    kept = {(r["user_id"], r["seq"]): r["segment"] for r in points.filter("kept").collect()}
+    split = sanitise.split_gaps(points.filter("kept").drop("segment"), *sanitise.KEYS)
+    assert kept == {(r["user_id"], r["seq"]): r["segment"] for r in split.collect()}
+    for df in (out, sanitise.sanitised_points(points)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_envelopes_are_dealt_by_their_number(spark, monkeypatch):
+    from trailmill.plans import sanitised
+
+    monkeypatch.setattr(sanitised, "TASK_ENVELOPES", 100)
+    for query in (sanitised.sanitised_activities, sanitised.sanitised_parts):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [o_orderkey" in plan and ", 15" in plan and plan.count("from_json") <= 2 * plan.count("MapInArrow")

@@ -76,7 +76,7 @@ def rebuilt(listed: DataFrame) -> dict[str, DataFrame]:
     watch = intake.read_envelopes(raw.filter("source = 'watch' AND failure IS NULL"))
     judged = sanitise.refusals(watch).withColumn("user_id", F.struct("user_id", "activity", "key"))
     flagged = sanitise.flagged_points(judged)
-    traced = sanitise.sanitised_activities(judged, flagged).select("user_id.activity", "user_id.key", "bad", (F.coalesce("n_points", F.lit(0)) > 0).alias("has_trace"))
+    traced = sanitise.activities(judged).select("user_id.activity", "user_id.key", "bad", (F.coalesce("n_points", F.lit(0)) > 0).alias("has_trace"))
     shown = intake.normalise(watch.withColumn("user_id", F.struct("user_id", "activity"))).select("user_id.user_id", "user_id.activity", "kind", "started_at", "distance_m", "elapsed_s")
     runs = shown.join(traced.filter("bad IS NULL").select("activity", "has_trace"), "activity")
     entry = F.from_json("raw", intake.ENTRY.replace("timezone string", "timezone string, kind string"))

@@ -4,10 +4,12 @@ A bad activity never ends the job: what is wrong with it is a reason in its
 row, and the others go on.  The chain is refusal, zip, anchor and gate, gaps,
 floor, box; each step adds columns to points that stay in order of (walk, seq).
 
-The gate compares with the last accepted point, so it is a fold; points come
-out of Spark's sort, which spills, and the fold holds one batch and the last
-accepted point.  A walk is one recording of one activity.  Most recordings
-have no step above the gate and are passed as whole arrays.
+The gate compares with the last accepted point, so it is a fold.  A walk is one
+recording of one activity, and an envelope holds it whole, so envelopes are
+judged where they are read, many to a batch, without a shuffle of their points:
+``activities`` and ``flagged_points``.  Points that come as a table go through
+``accepted`` and ``shapes``: out of Spark's sort, which spills, the fold holds
+one batch and the last accepted point.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,24 +186,175 @@ def split_gaps(points: DataFrame, *keys: str, gap_ms: int = GAP_MS) -> DataFrame
 
 
 KEYS = ("user_id", "external_id")
+#: Walks of up to so many points are gated side by side, longer ones each alone.
+ABREAST = 256
+SHAPE = "n_points long, rejected long, breaks long, segments long, west double, south double, east double, north double"
+
+
+def gated_abreast(lat: np.ndarray, lng: np.ndarray, t: np.ndarray, gate: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``gated`` for many walks at once, a point of each at a time: walks begin at ``start``, have n > 1 points and their own gate."""
+    order = np.argsort(-n, kind="stable")
+    start, n, gate = start[order], n[order], gate[order]
+    kept = np.zeros(len(lat), bool)
+    third = np.minimum(start + 2, start + n - 1)
+    late = (n > 2) & (_leap(lat, lng, t, start, start + 1) > gate) & (_leap(lat, lng, t, start + 1, third) <= gate)
+    last = start + late
+    kept[last] = True
+    for k in range(1, int(n[0])):
+        open_ = np.searchsorted(-n, -k)  # walks that have a point k
+        at, before, most = start[:open_] + k, last[:open_], gate[:open_]
+        v = _leap(lat, lng, t, before, at)
+        ok = np.where(before == at - 1, ~(v > most), v <= most) & (before < at)
+        kept[at[ok]] = True
+        last[:open_] = np.where(ok, at, before)
+    return kept
+
+
+class _Traces:
+    """The points of a batch of envelopes: flat arrays, ``w`` the row of each point, and what the chain finds of them."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        size = lambda c: pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.rows, self.n = batch.num_rows, size("places")
+        self.w = np.repeat(np.arange(self.rows), self.n)
+        first = np.cumsum(self.n) - self.n
+        self.seq = np.arange(len(self.w)) - first[self.w]
+        spots = batch.column("places").flatten()
+        flat, at = spots.values.to_numpy(zero_copy_only=False), spots.offsets.to_numpy()[:-1]
+        self.lat, self.lng = (flat[at + k] if len(at) else np.zeros(0) for k in (0, 1))
+        times = pc.fill_null(batch.column("times").flatten(), 0).to_numpy(zero_copy_only=False)
+        self.t_ms = self.column(batch, "start_ms").astype(np.int64)[self.w] + self._of(times, size("times"), self.seq) * 1000
+        self.timed = self.column(batch, "timed").astype(bool)
+        self._gate(first, self.column(batch, "gate").astype(float))
+
+    @staticmethod
+    def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return pc.fill_null(batch.column(name), 0 if name != "timed" else False).to_numpy(zero_copy_only=False)
+
+    def _of(self, values: np.ndarray, n: np.ndarray, default: np.ndarray) -> np.ndarray:
+        """The value of a stream at each point."""
+        has, at = self.seq < n[self.w], self.index_in(n)
+        return np.where(has, values[np.minimum(at, len(values) - 1)], default) if len(values) else default
+
+    def index_in(self, n: np.ndarray) -> np.ndarray:
+        """The place of each point in a flat stream of n values a row."""
+        return (np.cumsum(n) - n)[self.w] + self.seq
+
+    def _gate(self, first: np.ndarray, gate: np.ndarray) -> None:
+        lat, lng, t, w = self.lat, self.lng, self.t_ms.astype(float), self.w
+        self.kept, self.broke = np.ones(len(w), bool), np.zeros(len(w), bool)
+        at = np.arange(1, len(w))
+        leaps = (w[1:] == w[:-1]) & (_leap(lat, lng, t, at - 1, at) > gate[w[1:]])
+        fast = np.zeros(self.rows, bool)
+        fast[w[1:][leaps]] = True
+        few = np.flatnonzero(fast & (self.n <= ABREAST))
+        if len(few):
+            points = fast[w] & (self.n <= ABREAST)[w]
+            self.kept[points] = gated_abreast(lat, lng, t, gate[few], first[few], self.n[few])[points]
+        for k in np.flatnonzero(fast & (self.n > ABREAST)):
+            of = slice(first[k], first[k] + self.n[k])
+            self.kept[of] = gated(lat[of], lng[of], t[of], float(gate[k]), False)
+        # Of accepted points: the time from the one before in the walk, whether points were dropped between, and the segment.
+        self.at = np.flatnonzero(self.kept)
+        self.of = w[self.at]
+        new = np.ones(len(self.at), bool)
+        new[1:] = self.of[1:] != self.of[:-1]
+        self.starts = np.flatnonzero(new)
+        self.gap = np.diff(self.t_ms[self.at], prepend=0)
+        self.inner = ~new
+        self.broke[self.at] = self.inner & (np.diff(self.at, prepend=0) > 1)
+        self.cut = (self.inner & (self.gap > GAP_MS)) | self.broke[self.at]
+        run = np.cumsum(self.cut)
+        self.segment = np.zeros(len(w), np.int64)
+        self.segment[self.at] = run - np.repeat(run[self.starts], np.diff(np.append(self.starts, len(run))))
+
+    def count(self, rows: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, minlength=self.rows)
+
+    def violation(self) -> np.ndarray:
+        """Per row what the floor says, null where it lets the walk through."""
+        n, gaps, of = self.count(self.of), self.gap[self.inner], self.of[self.inner]
+        found = np.full(self.rows, None, object)
+        if not len(self.at):
+            return found
+        gaps = gaps[np.lexsort((gaps, of))]
+        m = n[n > 1] - 1
+        begin = np.cumsum(m) - m
+        ends = np.append(self.starts[1:], len(self.at)) - 1
+        span = (self.t_ms[self.at[ends]] - self.t_ms[self.at[self.starts]])[n[self.of[self.starts]] > 1]
+        slow = (span >= MEASURABLE_MS) & ((gaps[begin + (m - 1) // 2] + gaps[begin + m // 2]) / 2 > FLOOR_MS)
+        found[np.flatnonzero(n > 1)[slow]] = "too few points"
+        found[(n > 1) & ~self.timed] = "no time stream"
+        return found
+
+    def shapes(self) -> list[pa.Array]:
+        """The columns of SHAPE, null for rows without points."""
+        none = self.n == 0
+        n = self.count(self.of)
+        counts = (n, self.n - n, self.count(self.w[self.broke]), self.count(self.of[self.cut]) + 1)
+        out = [pa.array(c.astype(np.int64), mask=none) for c in counts]
+        for values, ends in ((self.lng, np.fmin), (self.lat, np.fmin), (self.lng, np.maximum), (self.lat, np.maximum)):
+            box = np.zeros(self.rows)
+            if len(self.at):
+                box[self.of[self.starts]] = ends.reduceat(values[self.at], self.starts)
+            out.append(pa.array(box, mask=none))
+        return out
+
+
+def _traces(judged: DataFrame, *more: Column) -> DataFrame:
+    """An envelope a row, with its streams as far as it is not refused."""
+    d, s = F.col("envelope.detail"), F.col("envelope.streams")
+    good = lambda c: F.when(F.col("bad").isNull(), c)
+    kind = intake.sport_kind(d["sport_type"])
+    return judged.select(
+        "user_id", d["id"].alias("external_id"), kind.alias("kind"), "bad", speed_gate(kind).cast("double").alias("gate"), s["time"].isNotNull().alias("timed"),
+        good(F.unix_millis(F.try_to_timestamp(d["start_date"]))).alias("start_ms"), good(s["latlng"]["data"]).alias("places"), good(s["time"]["data"]).alias("times"), *more
+    )
 
 
-def flagged_points(judged: DataFrame) -> DataFrame:
-    """Points of the envelopes that are not refused, with kind, timed, kept and broke.
+def activities(judged: DataFrame) -> DataFrame:
+    """(user_id, external_id, kind, bad, n_points, rejected, breaks, segments, west, south, east, north) of every envelope, each judged by its own points.
 
-    Refused envelopes are made null rather than filtered, so that texts are parsed once and not again for a filter.
+    A refused activity and one without a trace have no points; a trace below the floor refuses its activity.
     """
-    good = judged.withColumn("envelope", F.when(F.col("bad").isNull(), F.col("envelope")))
-    d, s = F.col("envelope.detail"), F.col("envelope.streams")
-    timed = good.withColumns({"kind": intake.sport_kind(d["sport_type"]), "timed": s["time"].isNotNull()})
-    return accepted(intake.trace_points(timed, "kind", "timed"), *KEYS)
+    rows = _traces(judged)
+    heads = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("user_id", "external_id", "kind", "bad")]
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            traces = _Traces(batch)
+            bad = pc.coalesce(batch.column("bad"), pa.array(traces.violation(), pa.string()))
+            names = ["user_id", "external_id", "kind", "bad", *(c.split()[0] for c in SHAPE.split(", "))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), bad, *traces.shapes()], names=names)
 
-def sanitised_activities(judged: DataFrame, points: DataFrame) -> DataFrame:
-    """(user_id, external_id, kind, bad, n_points, rejected, breaks, segments, west, south, east, north) of every envelope.
+    return rows.mapInArrow(judge, ", ".join([*heads, SHAPE]))
 
-    A refused activity and one without a trace have no points; a trace below the floor refuses its activity.
-    """
+
+def flagged_points(judged: DataFrame) -> DataFrame:
+    """Points of the envelopes that are not refused, with kind, timed, kept and broke, and the segment of those kept; ``violation`` is the floor's of their walk."""
+    s = F.col("envelope.streams")
+    rows = _traces(judged, F.when(F.col("bad").isNull(), s["altitude"]["data"]).alias("heights"))
+    keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("kind", "timed", *KEYS))
+    schema = f"{keys}, seq int, t_ms long, lat double, lng double, altitude double, kept boolean, broke boolean, segment long, violation string"
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = _Traces(batch)
+            heights = batch.column("heights")
+            n = pc.fill_null(pc.list_value_length(heights), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            altitude = heights.flatten().take(pa.array(p.index_in(n), mask=p.seq >= n[p.w]))
+            w = pa.array(p.w)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(w) for c in ("kind", "timed", *KEYS)), pa.array(p.seq, pa.int32()), pa.array(p.t_ms), pa.array(p.lat), pa.array(p.lng), altitude,
+                 pa.array(p.kept), pa.array(p.broke), pa.array(p.segment, mask=~p.kept), pa.array(p.violation(), pa.string()).take(w)],
+                names=["kind", "timed", *KEYS, "seq", "t_ms", "lat", "lng", "altitude", "kept", "broke", "segment", "violation"],
+            )
+
+    return rows.mapInArrow(judge, schema)
+
+
+def sanitised_activities(judged: DataFrame, points: DataFrame) -> DataFrame:
+    """``activities`` of envelopes and a table of their flagged points, by one join."""
     d = F.col("envelope.detail")
     heads = judged.select("user_id", d["id"].alias("external_id"), intake.sport_kind(d["sport_type"]).alias("kind"), "bad")
     traces = shapes(points, *KEYS).withColumnsRenamed({k: f"t_{k}" for k in KEYS})
@@ -210,6 +364,4 @@ def sanitised_activities(judged: DataFrame, points: DataFrame) -> DataFrame:
 
 def sanitised_points(points: DataFrame) -> DataFrame:
     """(user_id, external_id, segment, seq, t_ms, lat, lng, altitude): accepted points of the traces that the floor lets through."""
-    whole = shapes(points, *KEYS).filter("violation IS NULL").select(*KEYS)
-    kept = split_gaps(points.filter("kept"), *KEYS)
-    return kept.join(whole, list(KEYS), "left_semi").select(*KEYS, "segment", "seq", "t_ms", "lat", "lng", "altitude")
+    return points.filter("kept AND violation IS NULL").select(*KEYS, "segment", "seq", "t_ms", "lat", "lng", "altitude")

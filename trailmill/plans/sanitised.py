@@ -7,7 +7,10 @@ from trailmill.operators import routes
 from trailmill.operators import sanitise as s
 from trailmill.plans.intake import _KIND, _SPORT, SPORTS, _pick
 from trailmill.plans.places import _SPEED, _metres
-from trailmill.sources.tables import table
+from trailmill.sources.tables import table, tasks
+
+#: Orders whose envelopes one task writes and reads: their work is far more than the orders' bytes.
+TASK_ENVELOPES = 10_000
 
 
 def faulty_envelopes(spark, sf_dir):
@@ -32,12 +35,13 @@ def faulty_envelopes(spark, sf_dir):
         F.when(k % 37 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm")).otherwise(start), F.lit('","timezone":"'), F.when(k % 41 == 0, "(GMT+01:00) Europe/Nowhere").otherwise("(GMT+01:00) Europe/Paris"),
         F.lit('"},"streams":'), streams, F.lit("}"),
     )
-    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("user_id"), raw.alias("raw"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = orders.repartition(tasks(spark, sf_dir, "orders", TASK_ENVELOPES), "o_orderkey")
+    return orders.select((F.col("o_custkey") % 20).alias("user_id"), raw.alias("raw"))
 
 
 def sanitised_activities(spark, sf_dir):
-    judged = s.refusals(i.read_envelopes(faulty_envelopes(spark, sf_dir)))
-    done = s.sanitised_activities(judged, s.flagged_points(judged))
+    done = s.activities(s.refusals(i.read_envelopes(faulty_envelopes(spark, sf_dir))))
     return done.select("user_id", F.coalesce("external_id", F.lit("")).alias("external_id"), "kind", "bad", *(c for c in done.columns if c not in ("user_id", "external_id", "kind", "bad")))
 
 
