@@ -145,3 +145,14 @@ def test_envelopes_are_dealt_by_their_number(spark, monkeypatch):
     for query in (sanitised.sanitised_activities, sanitised.sanitised_parts):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression [o_orderkey" in plan and ", 15" in plan and plan.count("from_json") <= 2 * plan.count("MapInArrow")
+
+
+def test_points_of_many_walks_are_dealt_by_their_number(spark, monkeypatch):
+    from trailmill.plans import sanitised
+
+    small = "/root/testdata/sf0.001"
+    before = sorted(map(repr, sanitised.sanitised_parts(spark, small).collect()))
+    monkeypatch.setattr(sanitised, "TASK_WALKS", 100)
+    out = sanitised.sanitised_parts(spark, small)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [user_id") == 3
+    assert sorted(map(repr, out.collect())) == before

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmill.functions import text
-from trailmill.operators import chronicle, dedupe, grid, places, rearm, reveal, routes, scoring
+from trailmill.operators import chronicle, dedupe, grid, places, rearm, reveal, routes, scoring, trace
 from trailmill.plans.registry import QUERIES
 from trailmill.sources import tables
 
@@ -146,6 +146,41 @@ def test_tasks_grow_with_the_table(spark, monkeypatch, name):
     assert sorted(map(repr, out.collect())) == before
 
 
+def test_dwells_are_settled_many_to_a_batch(spark):
+    """Dwells over many batches, side by side and of equal points, as by the median of each; no group's points are collected in one row."""
+    rnd, rows = random.Random(5), []
+    for u in range(6):
+        seq, t = 0, 0
+        for n, slow in ((3, False), (40, True), (1, False), (5, True), (2, True), (9, False)):
+            at = (40 + rnd.random(), 8 + rnd.random())
+            for _ in range(n):
+                wide = 0 if u == 5 else 1e-6 if slow else 0.01
+                rows.append(({"w": u, "x": f"id{u}"}, seq, t, at[0] + rnd.random() * wide, at[1] + rnd.random() * wide))
+                seq, t = seq + 1, t + 20_000
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "user_id struct<w:int,x:string>, seq int, t_ms long, lat double, lng double")
+    moved = trace.steps(df).withColumn("island", F.sum((F.coalesce(F.col("m") / F.col("s") >= 0.5, F.lit(True))).cast("int")).over(trace.by_walk()))
+    expected = {}
+    for r in moved.groupBy("user_id", "island").agg(F.array_sort(F.collect_list(F.struct("seq", "t_ms", "lat", "lng"))).alias("p")).collect():
+        p = r["p"]
+        if len(p) > 1 and p[-1]["t_ms"] - p[0]["t_ms"] >= 60_000:
+            flat = np.cos(np.radians(sum(q["lat"] for q in p) / len(p)))
+            spots = [[{"x": q["lng"] * float(flat), "y": q["lat"]} for q in p]]
+            (m,) = spark.createDataFrame([spots], "s array<struct<x:double,y:double>>").select(routes.median_place(F.col("s")).alias("m")).collect()
+            expected[r["user_id"]["w"], p[0]["seq"]] = ((p[0]["t_ms"] + p[-1]["t_ms"] + 1) // 2, m["m"]["y"], m["m"]["x"] / flat)
+        else:
+            expected |= {(r["user_id"]["w"], q["seq"]): (q["t_ms"], q["lat"], q["lng"]) for q in p}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = routes.collapse_dwells(df)
+        found = {(r["user_id"]["w"], r["seq"]): (r["t_ms"], r["lat"], r["lng"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found.keys() == expected.keys() and len(found) < len(rows)
+    assert all(found[k][0] == v[0] and np.allclose(found[k][1:], v[1:], rtol=0, atol=1e-9) for k, v in expected.items())
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_samples_of_a_web_are_dealt_by_points(spark, monkeypatch):
     from trailmill.plans import web
 

@@ -6,7 +6,7 @@ parts, the part goes into the key, so that the windows of ``trace`` serve.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trailmill.functions.geo import EARTH_M, metres, speed
 from trailmill.operators import trace
+from trailmill.sources.tables import spread
 
 ROUNDS = 32
 TOLERANCE_M = 2.0
@@ -46,22 +47,64 @@ def collapse_dwells(points: DataFrame, slow: float = trace.DWELL_SPEED, least_s:
     """(user_id, seq, t_ms, lat, lng): each dwell as one point, the median of its places at the middle of its time; others as they are."""
     fast = F.coalesce(speed(F.col("m"), F.col("s")) >= slow, F.lit(True)).cast("int")
     marked = trace.steps(points).withColumn("island", F.sum(fast).over(trace.by_walk()))
-    whole = Window.partitionBy("user_id", "island")
-    long = (F.count("*").over(whole) > 1) & ((F.max("t_ms").over(whole) - F.min("t_ms").over(whole)) / 1000 >= least_s)
-    rows = marked.withColumn("dwell", long).select("user_id", "island", "dwell", "seq", "t_ms", "lat", "lng")
-    inside = rows.filter("dwell").groupBy("user_id", "island").agg(
-        F.min("seq").alias("seq"), F.floor((F.min("t_ms") + F.max("t_ms")) / 2 + 0.5).alias("t_ms"), F.avg("lat").alias("lat0"), F.collect_list(F.struct("lat", "lng")).alias("spots")
-    )
-    flat = F.cos(F.radians("lat0"))
-    placed = inside.withColumn("at", median_place(F.transform("spots", lambda s: F.struct((s["lng"] * flat).alias("x"), s["lat"].alias("y")))))
-    return rows.filter("NOT dwell").select("user_id", "seq", "t_ms", "lat", "lng").unionByName(placed.select("user_id", "seq", "t_ms", F.col("at.y").alias("lat"), (F.col("at.x") / flat).alias("lng")))
-
-
-def parts(points: DataFrame, gap_ms: int, slow: float, least_s: float, teleport: float, jump_m: float, jump_s: float) -> DataFrame:
-    """(user_id, segment, part, seq, t_ms, lat, lng): split at gaps, then within each segment cleaned, dwells collapsed, split at implausible jumps."""
+    # Rows come in order out of the window, so the sort costs nothing; an island is a run of them.
+    rows = marked.select("user_id", "island", "seq", "t_ms", "lat", "lng").sortWithinPartitions("user_id", "seq")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("island").schema)
+    return rows.mapInArrow(lambda batches: _held_whole(batches, lambda table: _settled(table, least_s), "user_id", "island"), schema)
+
+
+def median_places(x: np.ndarray, y: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``median_place`` of many groups, whose places follow each other from ``starts``."""
+    n = np.diff(np.append(starts, len(x)))
+    ax, ay = (np.add.reduceat(v, starts) / n for v in (x, y))
+    met, left = np.zeros(len(n), bool), np.arange(len(n))
+    for _ in range(ROUNDS):
+        of = np.repeat(np.arange(len(left)), n[left])
+        d = np.sqrt((x - ax[left][of]) ** 2 + (y - ay[left][of]) ** 2)
+        at = np.cumsum(n[left]) - n[left]
+        met = np.minimum.reduceat(d, at) == 0
+        if met.any():  # these stay where they are
+            stay = ~met[of]
+            x, y, d, left = x[stay], y[stay], d[stay], left[~met]
+            if not len(left):
+                break
+            at = np.cumsum(n[left]) - n[left]
+        w = np.add.reduceat(1 / d, at)
+        ax[left], ay[left] = np.add.reduceat(x / d, at) / w, np.add.reduceat(y / d, at) / w
+    return ax, ay
+
+
+def _settled(islands: pa.Table, least_s: float) -> pa.Table:
+    """Each island of sorted points that is a dwell as one point, the points of the others as they are."""
+    starts = _starts(islands, "user_id", "island")
+    n = np.diff(np.append(starts, islands.num_rows))
+    t = islands.column("t_ms").to_numpy()
+    first, last = (f.reduceat(t, starts) for f in (np.minimum, np.maximum))
+    dwell = (n > 1) & ((last - first) / 1000 >= least_s)
+    rows = islands.drop_columns("island")
+    if not dwell.any():
+        return rows
+    inside = np.repeat(dwell, n)
+    lat, lng = (islands.column(c).to_numpy()[inside] for c in ("lat", "lng"))
+    n = n[dwell]
+    begin = np.cumsum(n) - n
+    flat = np.cos(np.radians(np.add.reduceat(lat, begin) / n))
+    x, y = median_places(lng * np.repeat(flat, n), lat, begin)
+    middle = np.floor((first[dwell] + last[dwell]) / 2 + 0.5).astype(np.int64)
+    placed = rows.select(["user_id", "seq"]).take(pa.array(starts[dwell])).append_column("t_ms", pa.array(middle)).append_column("lat", pa.array(y)).append_column("lng", pa.array(x / flat))
+    return pa.concat_tables([rows.filter(pa.array(~inside)), placed.cast(rows.schema)]).combine_chunks()
+
+
+def parts(points: DataFrame, gap_ms: int, slow: float, least_s: float, teleport: float, jump_m: float, jump_s: float, tasks: int = 0) -> DataFrame:
+    """(user_id, segment, part, seq, t_ms, lat, lng): split at gaps, then within each segment cleaned, dwells collapsed, split at implausible jumps.
+
+    ``tasks``: over how many tasks the points are dealt, if more than the session's cores.
+    """
+    points = spread(points, tasks, "user_id")
     split = trace.split_gaps(points, gap_ms).withColumn("user_id", F.struct("user_id", "segment")).drop("segment")
+    split = spread(split.repartition("user_id"), tasks, "user_id")  # serves the cleaning, which would deal by rejects too, and the dwells
     still = collapse_dwells(trace.clean(split).filter("reject IS NULL").drop("reject"), slow, least_s)
-    jumps = trace.split_implausible(still, teleport, jump_m, jump_s).withColumnRenamed("segment", "part")
+    jumps = trace.split_implausible(spread(still, tasks, "user_id"), teleport, jump_m, jump_s).withColumnRenamed("segment", "part")
     return jumps.select("user_id.user_id", "user_id.segment", "part", "seq", "t_ms", "lat", "lng")
 
 
@@ -114,48 +157,52 @@ def simplified(points: DataFrame, tolerance_m: float = TOLERANCE_M) -> DataFrame
     """
     scale = EARTH_M * np.pi / 180
 
-    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            start = int(_starts(batch)[-1])
-            if not start and held and _same_part(held[-1], batch):
-                held.append(batch)  # the whole batch goes on with the part
-                continue
-            if not start:
-                yield from whole(held)
-                held = [batch]
-                continue
-            yield from whole([*held, batch.slice(0, start)])
-            held = [batch.slice(start)]
-        yield from whole(held)
-
-    def whole(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
+    def whole(table: pa.Table) -> pa.Table:
         lat, lng = (table.column(c).to_numpy() for c in ("lat", "lng"))
-        starts = _starts(table)
+        starts = _starts(table, "user_id", "segment")
         ends = np.append(starts[1:], table.num_rows)
         keep = np.ones(table.num_rows, bool)
         for k in np.flatnonzero(ends - starts > 2):
             a, b = starts[k], ends[k]
             keep[a:b] = kept_of(lng[a:b] * scale * np.cos(np.radians(lat[a])), lat[a:b] * scale, tolerance_m)
-        yield from table.filter(pa.array(keep)).to_batches()
+        return table.filter(pa.array(keep))
 
     # Its work is far more than its bytes: the number of tasks is given, lest small partitions be put together.
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = points.select("user_id", "segment", "seq", "lat", "lng").repartition(n, "user_id", "segment").sortWithinPartitions("user_id", "segment", "seq")
-    return rows.mapInArrow(thinned, rows.schema)
+    return rows.mapInArrow(lambda batches: _held_whole(batches, whole, "user_id", "segment"), rows.schema)
+
+
+def _held_whole(batches: Iterator[pa.RecordBatch], done: Callable[[pa.Table], pa.Table], *keys: str) -> Iterator[pa.RecordBatch]:
+    """``done`` of sorted rows, many groups of the keys at once and none cut: the last of a batch waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        start = int(_starts(batch, *keys)[-1])
+        if not start and held and _same(held[-1], batch, *keys):
+            held.append(batch)  # the whole batch goes on with the group
+            continue
+        if start:
+            held.append(batch.slice(0, start))
+        if held:
+            yield from done(pa.Table.from_batches(held).combine_chunks()).to_batches()
+        held = [batch.slice(start)]
+    if held:
+        yield from done(pa.Table.from_batches(held).combine_chunks()).to_batches()
 
 
-def _starts(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
-    """Where parts begin in rows that are sorted by (user_id, segment)."""
+def _starts(rows: pa.RecordBatch | pa.Table, *keys: str) -> np.ndarray:
+    """Where groups begin in rows that are sorted by keys, structs of keys among them."""
     new = np.zeros(rows.num_rows, bool)
     new[0] = True
-    for c in ("user_id", "segment"):
-        code = _whole(rows.column(c)).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    columns = [_whole(rows.column(c)) for c in keys]
+    while columns:
+        column = columns.pop()
+        if pa.types.is_struct(column.type):
+            columns += [column.is_null(), *column.flatten()]
+            continue
+        code = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
         new[1:] |= code[1:] != code[:-1]
     return np.flatnonzero(new)
 
@@ -164,8 +211,8 @@ def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _same_part(before: pa.RecordBatch, after: pa.RecordBatch) -> bool:
-    return all(before.column(c)[-1].as_py() == after.column(c)[0].as_py() for c in ("user_id", "segment"))
+def _same(before: pa.RecordBatch, after: pa.RecordBatch, *keys: str) -> bool:
+    return all(before.column(c)[-1].as_py() == after.column(c)[0].as_py() for c in keys)
 
 
 def read_tracks(raw: DataFrame, *keys: str) -> DataFrame:

@@ -11,6 +11,8 @@ from trailmill.sources.tables import table, tasks
 
 #: Orders whose envelopes one task writes and reads: their work is far more than the orders' bytes.
 TASK_ENVELOPES = 10_000
+#: And orders whose points, about a million, one task sorts.
+TASK_WALKS = 50_000
 
 
 def faulty_envelopes(spark, sf_dir):
@@ -49,7 +51,7 @@ def sanitised_parts(spark, sf_dir):
     """What is left of the traces, on through cleaning, dwells and jumps, per activity."""
     points = s.flagged_points(s.refusals(i.read_envelopes(faulty_envelopes(spark, sf_dir))))
     walks = s.sanitised_points(points).select(F.struct("user_id", "external_id", "segment").alias("user_id"), "seq", "t_ms", "lat", "lng", F.lit(None).cast("double").alias("accuracy"))
-    parts = routes.parts(walks, 30_000, 0.5, 60.0, 12.5, 250.0, 120.0)
+    parts = routes.parts(walks, 30_000, 0.5, 60.0, 12.5, 250.0, 120.0, tasks(spark, sf_dir, "orders", TASK_WALKS))
     return parts.groupBy("user_id.user_id", "user_id.external_id").agg(
         F.count("*").alias("n"), F.count_distinct(F.col("user_id.segment"), "part").alias("parts"), F.round(F.sum("lat"), 5).alias("lat_sum"), F.sum("t_ms").alias("t_sum")
     )
