@@ -443,6 +443,34 @@ def test_a_hot_band_of_several_clusters(spark, monkeypatch, many):
     assert kept_by_spark(spark, texts) == kept_by_brute(texts) == {(c * 10, 0) for c in range(9)}
 
 
+@pytest.mark.parametrize("many", [0, line_dedup.MANY])
+def test_a_hot_band_of_lines_below_the_threshold(spark, monkeypatch, many):
+    """Lines of a similarity of about 0.6 to each other, and a few above: verified pairs grow with the lines, not with their square."""
+    import random
+
+    rows, written, rng = [], line_dedup.written, random.Random(8)
+
+    def counted(df, label):
+        table = written(df, label)
+        if label == "line-candidates":
+            rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    monkeypatch.setattr(line_dedup, "bands", lambda low: F.array(F.lit(1).cast("long")))
+    monkeypatch.setattr(line_dedup, "written", counted)
+    base, texts = brute.sentence(77, 60).split(), []
+    for k in range(120):
+        words = list(base)
+        for at in rng.sample(range(4, 56), 4):
+            words[at] = f"w{k}x{at}yzuvw"
+        texts.append((2 * k, " ".join(words)))
+        if k % 20 == 0:
+            texts.append((2 * k + 1, " ".join([*words, "end"])))
+    assert kept_by_spark(spark, texts) == kept_by_brute(texts)
+    assert sum(rows) <= 4 * len(texts)
+
+
 # 9 benchmark
 
 BENCH = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
