@@ -187,3 +187,15 @@ def test_samples_of_a_web_are_dealt_by_points(spark, monkeypatch):
     monkeypatch.setattr(web, "POINTS_A_TASK", 50)
     plan = web.trace_web(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [user_id" in plan and ", 20" in plan
+
+
+def test_cells_and_samples_of_walks_are_not_broadcast(spark):
+    """A walk that comes back: cells appear at their first pass; what points are made into is dealt, and never sent through the driver."""
+    walk = [(1, 0, 0, k, 50.0, 8.0 + 0.002 * x) for k, x in enumerate((0, 1, 2, 1, 0))] + [(1, 1, 0, 0, 50.0, 8.0)]
+    walks = spark.createDataFrame(walk, "user_id long, segment long, part int, seq int, lat double, lng double")
+    cells = spark.createDataFrame([(1, 0, c, 50.0001, 8.0 + 0.002 * x) for c, x in ((5, 1.5), (6, 0.5), (7, 2.0))] + [(1, 0, 8, 50.01, 8.002), (1, 1, 5, 50.0, 8.0)], "user_id long, segment long, cell long, lat double, lng double")
+    for tasks in (0, 13):
+        df = reveal.reveal_order(walks, cells, "user_id", "segment", tasks=tasks)
+        assert {(r["segment"], r["cell"]): r["arc"] for r in df.collect()} == pytest.approx({(0, 5): 0.375, (0, 6): 0.125, (0, 7): 0.5, (0, 8): 0.25}, abs=0.005)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and (", 13), REPARTITION_BY_NUM" in plan) == (tasks == 13)

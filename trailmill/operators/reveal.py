@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmill.functions.geo import EARTH_M, metres
+from trailmill.sources.tables import spread
 
 REVEAL_M = 65.0
 SAMPLE_M = 5.0
@@ -78,29 +79,37 @@ def plane_samples(walks: DataFrame, step_m: float, *keys: str) -> DataFrame:
     )
 
 
-def reveal_order(walks: DataFrame, cells: DataFrame, *keys: str, step_m: float = SAMPLE_M, radius_m: float = REVEAL_M) -> DataFrame:
+def reveal_order(walks: DataFrame, cells: DataFrame, *keys: str, step_m: float = SAMPLE_M, radius_m: float = REVEAL_M, tasks: int = 0) -> DataFrame:
     """(keys, cell, arc): the share of the walk at which each cell appears.
 
     That is the nearest sample within the first pass, the first unbroken run of
     samples within the radius; without one, the nearest of all; the earlier of
     equal ones, squares of distances being rounded to four decimals.  ``cells``: (keys, cell, lat, lng).  Cells and samples meet in
-    tiles as wide as the radius, those without a pass then alone.
+    tiles as wide as the radius, those without a pass then alone.  All joins are
+    sorted: Spark goes by the size of the points, not of the cells and samples
+    made of them, and would send either through the driver.  ``tasks``: over how
+    many tasks they are dealt, if more than the session's cores.
     """
     samples = plane_samples(walks, step_m, *keys)
-    scale = samples.groupBy(*keys).agg(F.first("scale").alias("cell_scale"))
-    placed = cells.join(scale, list(keys)).select(*keys, "cell", (F.col("lng") * F.col("cell_scale")).alias("cx"), (F.col("lat") * NORTH_M).alias("cy"))
+    # A pass of one row a walk: the scale of its samples, which they need not be made for.
+    paths = walks.withColumn("size", F.count("*").over(Window.partitionBy(*keys, "part"))).filter("size > 1")
+    scale = paths.groupBy(*keys).agg((F.cos(F.radians(F.min_by("lat", F.struct("part", "seq")))) * EAST_M).alias("cell_scale"))
+    placed = cells.join(scale.hint("merge"), list(keys)).select(*keys, "cell", (F.col("lng") * F.col("cell_scale")).alias("cx"), (F.col("lat") * NORTH_M).alias("cy"))
     tile = lambda c: F.floor(F.col(c) / radius_m)
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     wide = placed.withColumn("o", around).select(*keys, "cell", "cx", "cy", (tile("cx") + F.col("o.dx")).alias("tx"), (tile("cy") + F.col("o.dy")).alias("ty"))
-    met = samples.withColumns({"tx": tile("x"), "ty": tile("y")}).join(wide, [*keys, "tx", "ty"])
+    tiled = [*keys, "tx", "ty"]
+    met = spread(samples.withColumns({"tx": tile("x"), "ty": tile("y")}), tasks, *tiled).join(spread(wide, tasks, *tiled).hint("merge"), tiled)
     d = F.round((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")), 4)
     share = F.when(F.col("walked") > 0, F.col("along") / F.col("walked")).otherwise(0.0)
     inside = met.withColumns({"d": d, "arc": share}).filter(F.col("d") <= radius_m * radius_m).select(*keys, "cell", "i", "d", "arc")
-    islands = inside.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(*keys, "cell").orderBy("i")))
-    best = islands.groupBy(*keys, "cell", "island").agg(F.min(F.struct("d", "i", "arc")).alias("b"))
-    first = best.groupBy(*keys, "cell").agg(F.min_by("b", "island").alias("b"))
+    by_i = Window.partitionBy(*keys, "cell").orderBy("i")
+    # Samples of the first pass follow its first one without a gap; the order that shows it serves the grouping too.
+    counted = spread(inside, tasks, *keys, "cell").withColumns({"n": F.row_number().over(by_i), "from": F.first("i").over(by_i)})
+    first = counted.filter("i = from + n - 1").groupBy(*keys, "cell").agg(F.min(F.struct("d", "i", "arc")).alias("b"))
     passed = first.select(*keys, "cell", "b.arc")
-    alone = placed.join(passed.select(*keys, "cell"), [*keys, "cell"], "left_anti").join(samples, list(keys)).withColumns({"d": d, "arc": share})
+    left = placed.join(passed.select(*keys, "cell").hint("merge"), [*keys, "cell"], "left_anti")
+    alone = samples.join(left.hint("merge"), list(keys)).withColumns({"d": d, "arc": share})
     nearest = alone.groupBy(*keys, "cell").agg(F.min(F.struct("d", "i", "arc")).alias("b")).select(*keys, "cell", "b.arc")
     return passed.unionByName(nearest)
 

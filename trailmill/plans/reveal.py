@@ -6,10 +6,12 @@ from trailmill.operators import cells as c
 from trailmill.operators import reveal as r
 from trailmill.plans.ground import _GROUND, TRAIL, WALK, _short, parts, parts_sql
 from trailmill.plans.places import _metres
-from trailmill.sources.tables import TRAILS_SQL, table
+from trailmill.sources.tables import TRAILS_SQL, table, tasks
 
 STEP_M = 30.0
 NEAR_M = 150.0
+#: A point of a walk meets some seventy pairs of a cell and a sample.
+POINTS_A_TASK = 20_000
 
 
 def corridor_samples(spark, sf_dir):
@@ -20,9 +22,9 @@ def corridor_samples(spark, sf_dir):
 def cell_reveals(spark, sf_dir):
     """When each cell of a walk appears; cells are known by their centres here."""
     walked = parts(spark, sf_dir)
-    shown = c.corridor(walked, *WALK).withColumn("at", c.centre(F.col("cell"))).select(*WALK, "cell", "at.lat", "at.lng")
-    order = r.reveal_order(walked, shown, *WALK)
-    return order.join(shown, [*WALK, "cell"]).select(*WALK, F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), F.round("arc", 6).alias("arc"))
+    shown = c.corridor(walked, *WALK).filter("cell IS NOT NULL").withColumn("at", c.centre(F.col("cell"))).select(*WALK, "cell", "at.lat", "at.lng")
+    order = r.reveal_order(walked, shown, *WALK, tasks=tasks(spark, sf_dir, "events", POINTS_A_TASK)).withColumn("at", c.centre(F.col("cell")))
+    return order.select(*WALK, F.round("at.lat", 6).alias("lat"), F.round("at.lng", 6).alias("lng"), F.round("arc", 6).alias("arc"))
 
 
 def places(spark, sf_dir):
