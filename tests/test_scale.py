@@ -199,3 +199,15 @@ def test_cells_and_samples_of_walks_are_not_broadcast(spark):
         assert {(r["segment"], r["cell"]): r["arc"] for r in df.collect()} == pytest.approx({(0, 5): 0.375, (0, 6): 0.125, (0, 7): 0.5, (0, 8): 0.25}, abs=0.005)
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and (", 13), REPARTITION_BY_NUM" in plan) == (tasks == 13)
+
+
+def test_spots_meet_walks_once_and_by_code_that_is_compiled(spark):
+    """Three hundred places at two spots, one given twice; edges over the antimeridian, of one point and just too far."""
+    asked = [(k, 50.0, 8.0) for k in range(299)] + [(299, -17.0, 179.9995), (299, -17.0, 179.9995), (300, None, 8.0)]
+    edges = [(1, 50.0, 7.999, 50.0, 8.001), (1, 50.0005, 8.0, 50.001, 8.0), (2, 50.001, 8.0, 50.001, 8.0), (3, 50.0014, 7.0, 50.0014, 9.0), (4, -17.001, 179.0, -17.001, -179.0)]
+    places = spark.createDataFrame(asked, "k int, lat double, lng double")
+    df = reveal.walks_near(places, spark.createDataFrame(edges, "walk int, lat1 double, lng1 double, lat2 double, lng2 double"), 150.0, ["k"], "walk", tasks=13)
+    rows = sorted((r["k"], r["walk"], round(r["m"], 3)) for r in df.collect())
+    assert rows == sorted([(k, w, m) for k in range(299) for w, m in ((1, 0.0), (2, 111.195))] + [(299, 4, 111.195)])
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 2 and not any("SQRT" in line for line in joins)

@@ -23,8 +23,9 @@ METRES_PER_DEGREE = EARTH_M * 3.141592653589793 / 180
 
 
 def short_way(degrees: Column) -> Column:
-    """A difference of longitudes, the short way round."""
-    return F.pmod(degrees + 180, F.lit(360.0)) - 180
+    """A difference of longitudes, the short way round; most need no remainder, which is slow."""
+    turned = degrees + 180
+    return F.when((turned >= 0) & (turned < 360), turned).otherwise(F.pmod(turned, F.lit(360.0))) - 180
 
 
 def carried_samples(walks: DataFrame, step_m: float, *keys: str) -> DataFrame:
@@ -149,26 +150,40 @@ def covered(edges: DataFrame, radius_m: float) -> DataFrame:
     return rows.drop("w", "e", "s", "n")
 
 
-def metres_from_edge(lat: Column, lng: Column) -> Column:
-    """From a place to the edge (lat1, lng1, lat2, lng2), on the plane around the place."""
-    scale = F.lit(METRES_PER_DEGREE)
-    flat = F.cos(F.radians(lat)) * scale
-    ax, ay = short_way(F.col("lng1") - lng) * flat, (F.col("lat1") - lat) * scale
-    dx, dy = short_way(F.col("lng2") - F.col("lng1")) * flat, (F.col("lat2") - F.col("lat1")) * scale
-    length = dx * dx + dy * dy
-    t = F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.nullif(length, F.lit(0.0)))))
-    return F.sqrt((ax + t * dx) * (ax + t * dx) + (ay + t * dy) * (ay + t * dy))
+def with_metres(met: DataFrame) -> DataFrame:
+    """With m, metres from a place (p_lat, p_lng) to the edge that goes from (lat1, lng1) by (north, east) degrees, on the plane around the place.
+
+    ``flat``: metres of a degree along the place's parallel.  Each step is a
+    column of its own: as one expression, which Spark writes out at every
+    mention, it is more code than the JVM compiles.
+    """
+    square = lambda c: F.col(c) * F.col(c)
+    sides = met.withColumns({
+        "ax": short_way(F.col("lng1") - F.col("p_lng")) * F.col("flat"), "ay": (F.col("lat1") - F.col("p_lat")) * METRES_PER_DEGREE,
+        "dx": F.col("east") * F.col("flat"), "dy": F.col("north") * METRES_PER_DEGREE,
+    })
+    long = sides.withColumn("length", square("dx") + square("dy"))
+    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(F.col("ax") * F.col("dx") + F.col("ay") * F.col("dy")) / F.nullif(F.col("length"), F.lit(0.0))))
+    foot = long.withColumn("t", F.when(F.col("length") == 0, 0.0).otherwise(along))
+    ends = foot.withColumns({"fx": F.col("ax") + F.col("t") * F.col("dx"), "fy": F.col("ay") + F.col("t") * F.col("dy")})
+    return ends.withColumn("m", F.sqrt(square("fx") + square("fy")))
 
 
-def walks_near(asked: DataFrame, edges: DataFrame, radius_m: float, by: list[str], *keys: str) -> DataFrame:
+def walks_near(asked: DataFrame, edges: DataFrame, radius_m: float, by: list[str], *keys: str, tasks: int = 0) -> DataFrame:
     """(by, keys, m): walks with an edge within the radius of each place (by, lat, lng), with the distance of the nearest.
 
-    A place is looked up once a level; a walk that is met under several tiles or by several edges is one row.
-    The join is sorted: Spark knows the size of the places and not that they are exploded, and would send them all through the driver.
+    Each spot is looked up once a level, whatever places are at it; a walk that is met under several tiles or by several edges is one row.
+    A place that is given more than once is at one spot.  Joins are sorted: Spark knows the size of the places and not that they are exploded,
+    and would send them all through the driver.  ``tasks``: over how many tasks tiles and spots are dealt, if more than the session's cores.
     """
+    places = asked.select(*by, F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng")).distinct()
     levels = F.explode(F.sequence(F.lit(0), F.lit(FINEST))).alias("level")
-    at = asked.select(*by, F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), levels)
+    at = places.select("p_lat", "p_lng").distinct().select("p_lat", "p_lng", (F.cos(F.radians("p_lat")) * METRES_PER_DEGREE).alias("flat"), levels)
     tile = F.pow(F.lit(2.0), FINEST - F.col("level")).cast("long")
     at = at.withColumns({"tx": F.pmod(_index(F.col("p_lng"), F.col("level")), tile), "ty": _index(F.col("p_lat"), F.col("level"))})
-    met = covered(edges, radius_m).join(at.hint("merge"), ["level", "tx", "ty"]).withColumn("m", metres_from_edge(F.col("p_lat"), F.col("p_lng")))
-    return met.filter(F.col("m") <= radius_m).groupBy(*by, *keys).agg(F.min("m").alias("m"))
+    under = covered(edges, radius_m).select(*keys, "level", "tx", "ty", "lat1", "lng1", short_way(F.col("lng2") - F.col("lng1")).alias("east"), (F.col("lat2") - F.col("lat1")).alias("north"))
+    tiled, spot = ["level", "tx", "ty"], ["p_lat", "p_lng"]
+    met = with_metres(spread(under, tasks, *tiled).join(spread(at, tasks, *tiled).hint("merge"), tiled))
+    # The least is judged, not each: a condition of the join would be the whole of the above in one expression.
+    near = met.groupBy(*spot, *keys).agg(F.min("m").alias("m")).filter(F.col("m") <= radius_m)
+    return spread(near, tasks, *spot).join(spread(places, tasks, *spot).hint("merge"), spot).select(*by, *keys, "m")

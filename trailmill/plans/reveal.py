@@ -36,7 +36,8 @@ def places(spark, sf_dir):
 
 def nearby_walks(spark, sf_dir):
     edges = r.edges_of(parts(spark, sf_dir), *WALK)
-    return r.walks_near(places(spark, sf_dir), edges, NEAR_M, ["c_custkey"], *WALK).withColumn("m", F.round("m", 3))
+    near = r.walks_near(places(spark, sf_dir), edges, NEAR_M, ["c_custkey"], *WALK, tasks=tasks(spark, sf_dir, "events", POINTS_A_TASK))
+    return near.withColumn("m", F.round("m", 3))
 
 
 QUERIES = {f.__name__: f for f in (corridor_samples, cell_reveals, nearby_walks)}
