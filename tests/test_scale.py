@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,37 @@ def test_spots_meet_walks_once_and_by_code_that_is_compiled(spark):
     assert rows == sorted([(k, w, m) for k in range(299) for w, m in ((1, 0.0), (2, 111.195))] + [(299, 4, 111.195)])
     joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert len(joins) == 2 and not any("SQRT" in line for line in joins)
+
+
+def test_pairs_are_swept_in_order_of_start(spark):
+    """Against all pairs, in batches of three rows, with edges of buckets, unknown distances, NaN, equal ids and starts before 1970; no join makes rows to be dropped."""
+    rnd, start = random.Random(11), dt.datetime(1969, 12, 31, 22)
+    rows = [(rnd.choice([1, 2, None]), i // 2 if i % 50 == 1 else i, start + dt.timedelta(seconds=rnd.choice([0, 1, 300, 1500, 1499]) * rnd.randrange(9)), rnd.choice([0, 300, 301, 600, None]), rnd.choice([None, 50.0, 150.0, 5000.0, 5150.0, float("nan")]), False) for i in range(300)]
+    rnd.shuffle(rows)
+
+    def same(a, b):
+        if a[0] is None or a[0] != b[0] or None in (a[3], b[3]) or abs((a[2] - b[2]).total_seconds()) > 300 or abs(a[3] - b[3]) > 300:
+            return False
+        if None in (a[4], b[4]) or a[4] != a[4] or b[4] != b[4]:
+            return True
+        return abs(a[4] - b[4]) <= max(100, 0.03 * max(a[4], b[4]))
+
+    expected = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and same(a, b))
+    df = spark.createDataFrame(rows, "user_id long, rec_id long, at timestamp_ntz, elapsed_s long, distance_m double, has_sets boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for tasks in (0, 13):
+            out = dedupe.near_pairs(df, tasks)
+            assert sorted(map(tuple, out.collect())) == expected and len(expected) > 1000
+            assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_crowded_start_is_swept_some_pairs_at_a_time(monkeypatch):
+    n = 200
+    kinds = {"user_id": ["u"] * n, "bucket": [0] * n, "offset": [k // 50 for k in range(n)], "own": [True] * n, "rec_id": list(range(n)), "elapsed_s": [0] * n, "distance_m": [None, 1.0] * (n // 2)}
+    monkeypatch.setattr(dedupe, "SWEPT", 500)
+    out = list(dedupe.met_pairs(iter(pa.table(kinds).cast(pa.schema([("user_id", pa.string()), ("bucket", pa.int64()), ("offset", pa.int64()), ("own", pa.bool_()), ("rec_id", pa.int64()), ("elapsed_s", pa.int64()), ("distance_m", pa.float64())])).to_batches(70))))
+    assert max(b.num_rows for b in out) <= 500 + n
+    assert sorted((r["a"], r["b"]) for b in out for r in b.to_pylist()) == list(itertools.combinations(range(n), 2))

@@ -4,13 +4,16 @@ Recordings are (user_id, rec_id, at, elapsed_s, distance_m, has_sets).  Two are
 of one activity when their starts and lengths differ by five minutes at most,
 and their distances, if both are known, by 100 m or 3 % of the larger.  Starts
 fall into half-hour buckets; a recording near a bucket's edge also gets the
-bucket beyond it, so an equi-join on (user, bucket) finds every pair.
+bucket beyond it, so every pair shares a (user, bucket).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +21,8 @@ BUCKET_S = 1800
 START_S = 300
 ELAPSED_S = 300
 DISTANCE_M, DISTANCE_SHARE = 100.0, 0.03
-#: Most pairs that a search for duplicates compares at once.
-PAIRS = 1_000_000
+#: Most pairs that a search for duplicates compares at once, and that a sweep does: these fit a core's cache.
+PAIRS, SWEPT = 1_000_000, 200_000
 
 
 def seconds(at: Column) -> Column:
@@ -39,25 +42,70 @@ def bucket_keys(recordings: DataFrame) -> DataFrame:
     return rows.select("rec_id", F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), F.col("bucket").cast("string")), 256).alias("key"))
 
 
-def same_activity(a: str, b: str) -> Column:
-    col = lambda side, c: F.col(f"{side}.{c}")
-    near = (F.abs(col(a, "at_s") - col(b, "at_s")) <= START_S) & (F.abs(col(a, "elapsed_s") - col(b, "elapsed_s")) <= ELAPSED_S)
-    tolerance = F.greatest(F.lit(DISTANCE_M), F.greatest(col(a, "distance_m"), col(b, "distance_m")) * DISTANCE_SHARE)
-    known = col(a, "distance_m").isNotNull() & col(b, "distance_m").isNotNull()
-    return near & (~known | (F.abs(col(a, "distance_m") - col(b, "distance_m")) <= tolerance))
+def far_apart(distance: np.ndarray, known: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the distances at a and b are both known and differ by more than the tolerance; NaN is above all and its own equal."""
+    with np.errstate(invalid="ignore"):
+        tolerance = np.maximum(DISTANCE_M, np.maximum(distance[a], distance[b]) * DISTANCE_SHARE)
+        return known[a] & known[b] & ~((np.abs(distance[a] - distance[b]) <= tolerance) | np.isnan(tolerance))
+
 
+def met_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(user_id, a, b) of rows (user_id, bucket, offset, own, rec_id, elapsed_s, distance_m) in order of the first three.
 
-def near_pairs(recordings: DataFrame) -> DataFrame:
+    Each own row meets those of its bucket that are up to the tolerance before
+    it, SWEPT of them at once; of a batch only these wait for the next.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        old = sum(x.num_rows for x in held)
+        (rows,) = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()
+        user, ids = rows.column("user_id"), rows.column("rec_id")
+        bucket, offset, own, elapsed, number = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "offset", "own", "elapsed_s", "rec_id"))
+        distance, known = rows.column("distance_m").fill_null(0.0).to_numpy(), rows.column("distance_m").is_valid().to_numpy(zero_copy_only=False)
+        new = np.ones(len(bucket), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | pc.not_equal(user[1:], user[:-1]).to_numpy(zero_copy_only=False)
+        line = np.cumsum(new) * (2 * BUCKET_S) + offset  # buckets in a row, too far from each other to meet
+        low, at = np.searchsorted(line, line - START_S), np.arange(len(line))
+        size = np.where(own & (at >= old), at - low, 0)
+        ends = np.cumsum(size)
+        first = old
+        while first < len(line):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SWEPT, side="right")))
+            many = size[first:last]
+            b = np.repeat(at[first:last], many)
+            a = np.arange(len(b)) + np.repeat(low[first:last] - (np.cumsum(many) - many), many)
+            first = last
+            near = (np.abs(elapsed[a] - elapsed[b]) <= ELAPSED_S) & (number[a] != number[b])
+            a, b = a[near], b[near]
+            near = ~far_apart(distance, known, a, b)
+            a, b = a[near], b[near]
+            turned = number[a] > number[b]
+            less, more = np.where(turned, b, a), np.where(turned, a, b)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([user.take(pa.array(less)), ids.take(pa.array(less)), ids.take(pa.array(more))], names=["user_id", "a", "b"])
+        held = [rows.slice(low[-1])]
+
+
+def near_pairs(recordings: DataFrame, tasks: int = 0) -> DataFrame:
     """(user_id, a, b) with a < b; pairs only, no closure.
 
-    A pair is taken in the smaller bucket that it shares, so no distinct is
-    needed; a user with most of the recordings spreads over their buckets.
+    A pair is met in the bucket of its later start, which the earlier one also
+    gets if it lies within the tolerance before it; so no distinct is needed,
+    and a user with most of the recordings spreads over their buckets.  Only
+    recordings that start near each other are compared.  ``tasks``: over how many
+    tasks buckets are dealt at least.
     """
-    keyed = recordings.withColumn("at_s", seconds(F.col("at"))).withColumn("all_buckets", buckets(F.col("at_s"))).withColumn("bucket", F.explode("all_buckets"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    found = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rec_id") < F.col("b.rec_id")) & same_activity("a", "b"))
-    first = F.array_min(F.array_intersect("a.all_buckets", "b.all_buckets")) == F.col("a.bucket")
-    return found.filter(first).select(F.col("a.user_id").alias("user_id"), F.col("a.rec_id").alias("a"), F.col("b.rec_id").alias("b"))
+    user, rec = (recordings.schema[c].dataType.simpleString() for c in ("user_id", "rec_id"))
+    rows = recordings.filter("user_id IS NOT NULL AND rec_id IS NOT NULL AND at IS NOT NULL AND elapsed_s IS NOT NULL").withColumn("at_s", seconds(F.col("at")))
+    bucket = lambda at_s: F.floor(at_s / BUCKET_S).cast("long")
+    in_both = F.explode(F.array_distinct(F.array(bucket(F.col("at_s")), bucket(F.col("at_s") + START_S))))
+    keyed = rows.withColumn("bucket", in_both).withColumn("offset", F.col("at_s") - F.col("bucket") * BUCKET_S)
+    # The work is far more than the bytes: the number of tasks is given, lest small partitions be put together.
+    n = max(tasks, int(recordings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = keyed.select("user_id", "bucket", "offset", (F.col("offset") >= 0).alias("own"), "rec_id", "elapsed_s", F.col("distance_m").cast("double").alias("distance_m")).repartition(n, "user_id", "bucket")
+    return dealt.sortWithinPartitions("user_id", "bucket", "offset").mapInArrow(met_pairs, f"user_id {user}, a {rec}, b {rec}")
 
 
 def first_matches(at: np.ndarray, elapsed: np.ndarray, distance: np.ndarray, known: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -73,9 +121,7 @@ def first_matches(at: np.ndarray, elapsed: np.ndarray, distance: np.ndarray, kno
         for part in np.array_split(waiting, -(-len(waiting) * len(a) // PAIRS)):
             b = part[:, None]
             near = (ids[a] < ids[b]) & (np.abs(at[a] - at[b]) <= START_S) & (np.abs(elapsed[a] - elapsed[b]) <= ELAPSED_S)
-            with np.errstate(invalid="ignore"):
-                tolerance = np.maximum(DISTANCE_M, np.maximum(distance[a], distance[b]) * DISTANCE_SHARE)
-                near &= ~(known[a] & known[b]) | (np.abs(distance[a] - distance[b]) <= tolerance) | np.isnan(tolerance)
+            near &= ~far_apart(distance, known, a, b)
             found[part] = np.where(near.any(axis=1), start + near.argmax(axis=1), -1)
         waiting = waiting[(found[waiting] < 0) & (ids[waiting] > ids[a[-1]])]
         start, width = end, width * 2

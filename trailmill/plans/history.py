@@ -6,7 +6,10 @@ from trailmill.operators import chronicle as c
 from trailmill.operators import dedupe as d
 from trailmill.operators import discovery
 from trailmill.plans.discovery import CLASSIFIED_SQL, classified
-from trailmill.sources.tables import STARTED_SQL, ACTIVITIES_SQL, RECORDINGS_SQL, activities, recordings
+from trailmill.sources.tables import STARTED_SQL, ACTIVITIES_SQL, RECORDINGS_SQL, activities, recordings, tasks
+
+#: Each is paired with all near it, so tasks go by fewer than they would sort.
+RECORDINGS_A_TASK = 100_000
 
 #: A small sentence table of this engine's own; tables are data and any can be given.
 SENTENCES = [
@@ -24,7 +27,7 @@ def bucket_keys(spark, sf_dir):
 
 
 def band_dedupe(spark, sf_dir):
-    return d.near_pairs(recordings(spark, sf_dir))
+    return d.near_pairs(recordings(spark, sf_dir), tasks(spark, sf_dir, "events", RECORDINGS_A_TASK))
 
 
 def duplicate_lookup(spark, sf_dir):
