@@ -101,9 +101,12 @@ def reveal_order(walks: DataFrame, cells: DataFrame, *keys: str, step_m: float =
     wide = placed.withColumn("o", around).select(*keys, "cell", "cx", "cy", (tile("cx") + F.col("o.dx")).alias("tx"), (tile("cy") + F.col("o.dy")).alias("ty"))
     tiled = [*keys, "tx", "ty"]
     met = spread(samples.withColumns({"tx": tile("x"), "ty": tile("y")}), tasks, *tiled).join(spread(wide, tasks, *tiled).hint("merge"), tiled)
-    d = F.round((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")), 4)
+    off = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
+    d = F.round(off, 4)
     share = F.when(F.col("walked") > 0, F.col("along") / F.col("walked")).otherwise(0.0)
-    inside = met.withColumns({"d": d, "arc": share}).filter(F.col("d") <= radius_m * radius_m).select(*keys, "cell", "i", "d", "arc")
+    # Rounding goes by decimals and is slow: most pairs are too far by more than it moves.
+    close = met.filter((off <= radius_m * radius_m + 0.001) & (d <= radius_m * radius_m))
+    inside = close.withColumns({"d": d, "arc": share}).select(*keys, "cell", "i", "d", "arc")
     by_i = Window.partitionBy(*keys, "cell").orderBy("i")
     # Samples of the first pass follow its first one without a gap; the order that shows it serves the grouping too.
     counted = spread(inside, tasks, *keys, "cell").withColumns({"n": F.row_number().over(by_i), "from": F.first("i").over(by_i)})
